@@ -130,14 +130,29 @@ def round_copies(units: DataFrame, seed: int = 0, block: int = 128) -> DataFrame
     return total
 
 
-def mix_copies(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, block: int = 128) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row of `docs`."""
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+def mix_copies(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, block: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, keep...) of every row of `docs`."""
+    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep))
     aims = targets(sizes, weights, share, cap)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = sizes.join(aims.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     units = cut(units.withColumn("sure", F.floor(due + EPS).cast("int")).withColumn("frac", F.greatest(due - F.col("sure"), F.lit(0.0))))
-    return round_copies(units, seed, block).select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("got")).cast("int").alias("copies"))
+    return round_copies(units, seed, block).select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("got")).cast("int").alias("copies"), *keep)
+
+
+def apply_mix(docs: DataFrame, **how) -> DataFrame:
+    """`docs` with each row as often as the mix takes it, none for documents left out.
+
+    Rows equal in doc_id, source and text are joined as one with their copies added up.
+    """
+    mark = F.xxhash64("doc_id", "source", "text")
+    marked = docs.withColumn("__mark", mark)
+    taken = mix_copies(marked, keep=("__mark",), **how).groupBy("doc_id", "__mark").agg(F.sum("copies").cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    taken = cut(taken)
+    if not taken.where("__rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["doc_id", "__mark"])
+    both = marked.join(taken.where("__n > 0").withColumnRenamed("doc_id", "__id"), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (marked["__mark"] == taken["__mark"]))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
