@@ -7,9 +7,10 @@ is at least `percent` / 100. Sets and shingles are identified by 64-bit hashes.
 1. Equal sets collapse to one. Shingles that are frequent inside some partition become "heavy"
    and go last in the global order, the others are ordered by hash; any one order is exact, this
    one keeps index lists short. At most HEAVY_BOUND heavy shingles exist, whatever the input.
-2. Each set is indexed under its prefix in that order, with size and position. Sets that share no
-   indexed shingle with a set of fitting size can't link; the others get their contents fetched
-   by one more pass over the texts (a fixed-size bitmap says which).
+2. Each set is indexed under its prefix in that order, with size and position. Pairs of list
+   neighbours that sizes, positions and parity bitmaps (512 bits, an upper bound of the overlap,
+   so exact) allow name the sets that may link; only their contents are fetched, by one more pass
+   over the texts (a fixed-size bitmap says which).
 3. Stars: in rounds of independent min-hashes, sets with one minimum meet in groups of bounded
    size, and each set joins the first leader that it links with. The members' relation to their
    leader then answers for them: two members of one star are connected without being compared.
@@ -88,6 +89,13 @@ def _list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
+def _parity(sets: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """512 bits of each set as 8 numbers: each shingle flips one. Differing bits bound the symmetric difference from below."""
+    spot = (mix(sets ^ np.uint64(0xA4093822299F31D0)) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(row * 512 + spot, minlength=n_rows * 512).astype(np.uint8).reshape(n_rows, 512) & 1
+    return np.packbits(odd, axis=1).view(np.int64).ravel()
+
+
 def _frequent(k: int):
     """Shingles that occur twice or more in a stretch of a partition, with their counts, and (0, shingles) for the total."""
 
@@ -140,17 +148,17 @@ def _prefixes(k: int, percent: int, heavy):
                     spot = np.minimum(np.searchsorted(keys, sets[maybe]), len(keys) - 1)
                     is_heavy[maybe] = keys[spot] == sets[maybe]
                 row = np.repeat(np.arange(b - a), n)
-                light = np.cumsum(~is_heavy)  # rank among the row's light shingles, then among its heavy ones
-                base = np.append(0, light)[at[:-1]]
-                n_light = np.append(0, light)[at[1:]] - base
-                rank = np.where(is_heavy, np.arange(len(sets)) - at[:-1][row] - (light - base[row]) + n_light[row], light - base[row] - 1)
+                upto = np.cumsum(~is_heavy)  # rank among the row's light shingles, then among its heavy ones
+                base = np.append(0, upto)[at[:-1]]
+                n_light = np.append(0, upto)[at[1:]] - base
+                rank = np.where(is_heavy, np.arange(len(sets)) - at[:-1][row] - (upto - base[row]) + n_light[row], upto - base[row] - 1)
                 keep = np.flatnonzero(rank < p[row])
                 out, first = np.empty(len(keep), np.uint64), np.append(0, np.cumsum(p))
                 out[first[:-1][row[keep]] + rank[keep]] = sets[keep]
-                sure = n_light < p  # heavy shingles in the prefix: surely shared
+                light = np.minimum(n_light, p)  # fewer than p: heavy shingles in the prefix, surely shared
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_signed(sid)), pa.array(n.astype(np.int32)), pa.array(sure), pa.array(_map_place(sid, doc[a:b])), _list_column(_signed(out), first)],
-                    ["doc_id", "sid", "n", "sure", "place", "prefix"],
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_signed(sid)), pa.array(n.astype(np.int32)), pa.array(light.astype(np.int32)), pa.array(_map_place(sid, doc[a:b])), _list_column(_signed(out), first), _list_column(_parity(sets, row, b - a), np.arange(b - a + 1) * 8)],
+                    ["doc_id", "sid", "n", "light", "place", "prefix", "bits"],
                 )
 
     return run
@@ -165,21 +173,43 @@ def _runs(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _involved(percent: int):
-    """Sets that stand beside one of fitting size in some index list (rows sorted by tok, n)."""
+def _neighbours(percent: int, reach: int = 64):
+    """Index lists (rows tok, n, i, sid sorted by tok and n): pairs that may link, each with the `reach` next in size.
+
+    Sets with more fitting neighbours than that are named as pairs with themselves: they count as
+    involved without a check, so a long list costs no more than its length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        tail = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tok, n, sid = (np.asarray(batch.column(i)) for i in range(3))
-            if last is not None:
-                tok, n, sid = (np.concatenate([[x], y]) for x, y in zip(last, (tok, n, sid), strict=True))
-            fits = (tok[1:] == tok[:-1]) & (_need(n[1:].astype(np.int64), percent) <= n[:-1]) & (sid[1:] != sid[:-1])
-            hit = np.append(False, fits) | np.append(fits, False)
-            last = (tok[-1], n[-1], sid[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(sid[hit]))], ["sid"])
+            tok, n, i, sid = (np.asarray(batch.column(c)) for c in range(4))
+            old = 0
+            if tail is not None and tail[0][0] == tok[0]:
+                old = len(tail[0])
+                tok, n, i, sid = (np.concatenate([x, y]) for x, y in zip(tail, (tok, n, i, sid), strict=True))
+            n, i = n.astype(np.int64), i.astype(np.int64)
+            x, found = np.arange(len(tok)), []
+            for step in range(1, reach + 2):
+                x = x[x + step < len(tok)]
+                x = x[(tok[x + step] == tok[x]) & (_need(n[x + step], percent) <= n[x])]
+                if not len(x):
+                    break
+                a, b = x, x + step
+                if step > reach:
+                    found += [(sid[a], sid[a]), (sid[b], sid[b])]
+                    break
+                fits = (b >= old) & (sid[a] != sid[b]) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= _overlap(n[a], n[b], percent))
+                found.append((np.minimum(sid[a][fits], sid[b][fits]), np.maximum(sid[a][fits], sid[b][fits])))
+            last = max(int(np.searchsorted(tok, tok[-1])), len(tok) - reach - 1)
+            tail = tok[last:], n[last:], i[last:], sid[last:]
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((b, a))
+                one = order[_runs(a[order], b[order])]
+                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
 
     return run
 
@@ -200,9 +230,7 @@ def _contents(k: int, chosen):
                 lists = [sets[at[r] : at[r + 1]] for r in take]
                 flat, first = np.concatenate(lists), np.append(0, np.cumsum(n[take]))
                 row = np.repeat(np.arange(len(take)), n[take])
-                spot = mix(flat ^ np.uint64(0xA4093822299F31D0)) >> np.uint64(55)
-                parity = np.bincount(row * 512 + spot.astype(np.int64), minlength=len(take) * 512).astype(np.uint8).reshape(len(take), 512) & 1
-                packed = np.packbits(parity, axis=1).view(np.int64).ravel()
+                packed = _parity(flat, row, len(take))
                 mins = [_signed(np.minimum.reduceat(mix(flat ^ np.uint64(r * 0x082EFA98EC4E6C89 + 1 & (1 << 64) - 1)), first[:-1])) for r in range(ROUNDS)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(sid[take])), pa.array(n[take].astype(np.int32)), _list_column(_signed(flat), first), _list_column(packed, np.arange(len(take) + 1) * 8), *[pa.array(m) for m in mins]],
@@ -324,16 +352,18 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int32())], ["a", "b", "both"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
-    """(a, b, d): the distances of pairs (a, b) of sets, of those within `bound` only.
-
-    The bitmaps travel first (64 bytes a set); contents follow for pairs that may be within the bound.
-    """
-    head = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+def _within(pairs: DataFrame, heads: DataFrame, bound: float) -> DataFrame:
+    """(a, b, na, nb) of the pairs whose parity bitmaps allow a distance within `bound` (64 bytes a set travel)."""
+    head = lambda x: heads.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = F.least((F.col("na") + F.col("nb") - differ) / 2, F.col("na"), F.col("nb"))
-    near = pairs.join(head("a"), "a").join(head("b"), "b").where(1 - most / (F.col("na") + F.col("nb") - most) <= bound + 1e-9).select("a", "b", "na", "nb")
-    near = cut(near)
+    both = pairs.join(head("a"), "a").join(head("b"), "b")
+    return both.where(1 - most / (F.col("na") + F.col("nb") - most) <= bound + 1e-9).select("a", "b", "na", "nb")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
+    """(a, b, d): the distances of pairs (a, b) of sets, of those within `bound` only; bitmaps are held against each other before contents."""
+    near = cut(_within(pairs, sets, bound))
     body = lambda x: sets.select(F.col("sid").alias(x), F.col("toks").alias(f"t{x}"))
     both = near.select("a", "b").join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_distances, "a long, b long, both int")
     out = near.join(both, ["a", "b"])
@@ -346,13 +376,14 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     limit = 1 - percent / 100
     heavy = spark.sparkContext.broadcast(_heavy(texts, k))  # HEAVY_BOUND numbers at most
-    every = cut(texts.mapInArrow(_prefixes(k, percent, heavy), "doc_id long, sid long, n int, sure boolean, place int, prefix array<long>"))
+    every = cut(texts.mapInArrow(_prefixes(k, percent, heavy), "doc_id long, sid long, n int, light int, place int, prefix array<long>, bits array<long>"))
     rows = every.select("doc_id", "sid", "n")
-    unique = cut(every.where("n > 0").groupBy("sid").agg(F.first(F.struct("n", "sure", "place", "prefix")).alias("x")).select("sid", "x.*"))
+    unique = cut(every.where("n > 0").groupBy("sid").agg(F.first(F.struct("n", "light", "place", "prefix", "bits")).alias("x")).select("sid", "x.*"))
 
-    entries = unique.where("not sure").select("n", "sid", F.explode("prefix").alias("tok")).select("tok", "n", "sid").repartition("tok").sortWithinPartitions("tok", "n", "sid")
-    beside = entries.mapInArrow(_involved(percent), "sid long").distinct()
-    chosen = cut(unique.join(beside.withColumn("beside", F.lit(True)), "sid", "left").where("sure or beside").select("sid", "n", "place", "prefix"))
+    entries = unique.select("n", "sid", F.posexplode(F.slice("prefix", F.lit(1), F.col("light"))).alias("i", "tok")).select("tok", "n", "i", "sid").repartition("tok").sortWithinPartitions("tok", "n", "sid")
+    beside = cut(_within(entries.mapInArrow(_neighbours(percent), "a long, b long").distinct(), unique.select("sid", "n", "bits"), limit))
+    beside = beside.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("beside", F.lit(True))
+    chosen = cut(unique.join(beside, "sid", "left").where((F.col("light") < F.size("prefix")) | F.col("beside")).select("sid", "n", "place", "prefix"))
     byte = F.col("place").bitwiseAND(7)
     marks = chosen.groupBy(F.shiftright("place", 3).alias("at")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(8)]), byte + 1)).alias("v")).toArrow()  # 2 ** (MAP_BITS - 3) rows at most
     bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
@@ -360,7 +391,9 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
         bitmap[np.asarray(marks.column(0))] = np.asarray(marks.column(1)).astype(np.uint8)
     mins = ", ".join(f"mh{r} long" for r in range(ROUNDS))
     wanted = spark.sparkContext.broadcast(bitmap)
-    sets = cut(texts.mapInArrow(_contents(k, wanted), f"sid long, n int, toks array<long>, bits array<long>, {mins}").dropDuplicates(["sid"]))
+    sets = cut(texts.mapInArrow(_contents(k, wanted), f"sid long, n int, toks array<long>, bits array<long>, {mins}"))
+    if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # only where whole rows repeat
+        sets = cut(sets.dropDuplicates(["sid"]))
 
     # Stars: leaders of one round that join another leader pass their members on.
     star = sets.select("sid", F.col("sid").alias("star"), F.lit(0.0).alias("d"))
