@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import blocks, gram_sets, mix, words
-from .state import components, cut
+from .state import components, cut, cut_and_release
 
 HEAVY_BOUND = 1 << 17
 HEAVY_LEAST = 32
@@ -363,7 +363,7 @@ def _within(pairs: DataFrame, heads: DataFrame, bound: float) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     """(a, b, d): the distances of pairs (a, b) of sets, of those within `bound` only; bitmaps are held against each other before contents."""
-    near = cut(_within(pairs, sets, bound))
+    near = cut_and_release(_within(pairs, sets, bound))
     body = lambda x: sets.select(F.col("sid").alias(x), F.col("toks").alias(f"t{x}"))
     both = near.select("a", "b").join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_distances, "a long, b long, both int")
     out = near.join(both, ["a", "b"])
@@ -376,14 +376,14 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     limit = 1 - percent / 100
     heavy = spark.sparkContext.broadcast(_heavy(texts, k))  # HEAVY_BOUND numbers at most
-    every = cut(texts.mapInArrow(_prefixes(k, percent, heavy), "doc_id long, sid long, n int, light int, place int, prefix array<long>, bits array<long>"))
+    every = cut_and_release(texts.mapInArrow(_prefixes(k, percent, heavy), "doc_id long, sid long, n int, light int, place int, prefix array<long>, bits array<long>"))
     rows = every.select("doc_id", "sid", "n")
-    unique = cut(every.where("n > 0").groupBy("sid").agg(F.first(F.struct("n", "light", "place", "prefix", "bits")).alias("x")).select("sid", "x.*"))
+    unique = cut_and_release(every.where("n > 0").groupBy("sid").agg(F.first(F.struct("n", "light", "place", "prefix", "bits")).alias("x")).select("sid", "x.*"))
 
     entries = unique.select("n", "sid", F.posexplode(F.slice("prefix", F.lit(1), F.col("light"))).alias("i", "tok")).select("tok", "n", "i", "sid").repartition("tok").sortWithinPartitions("tok", "n", "sid")
-    beside = cut(_within(entries.mapInArrow(_neighbours(percent), "a long, b long").distinct(), unique.select("sid", "n", "bits"), limit))
+    beside = cut_and_release(_within(entries.mapInArrow(_neighbours(percent), "a long, b long").distinct(), unique.select("sid", "n", "bits"), limit))
     beside = beside.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("beside", F.lit(True))
-    chosen = cut(unique.join(beside, "sid", "left").where((F.col("light") < F.size("prefix")) | F.col("beside")).select("sid", "n", "place", "prefix"))
+    chosen = cut_and_release(unique.join(beside, "sid", "left").where((F.col("light") < F.size("prefix")) | F.col("beside")).select("sid", "n", "place", "prefix"))
     byte = F.col("place").bitwiseAND(7)
     marks = chosen.groupBy(F.shiftright("place", 3).alias("at")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(8)]), byte + 1)).alias("v")).toArrow()  # 2 ** (MAP_BITS - 3) rows at most
     bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
@@ -391,7 +391,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
         bitmap[np.asarray(marks.column(0))] = np.asarray(marks.column(1)).astype(np.uint8)
     mins = ", ".join(f"mh{r} long" for r in range(ROUNDS))
     wanted = spark.sparkContext.broadcast(bitmap)
-    sets = cut(texts.mapInArrow(_contents(k, wanted), f"sid long, n int, toks array<long>, bits array<long>, {mins}"))
+    sets = cut_and_release(texts.mapInArrow(_contents(k, wanted), f"sid long, n int, toks array<long>, bits array<long>, {mins}"))
     if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # only where whole rows repeat
         sets = cut(sets.dropDuplicates(["sid"]))
 
@@ -402,7 +402,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
         counts = live.groupBy(F.col(f"mh{r}").alias("key")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         grouped = live.withColumnRenamed(f"mh{r}", "key").join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP)).cast("int"))
         grouped = grouped.select("key", "salt", "n", "sid", "toks").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n"), "sid")
-        joined = cut(grouped.mapInArrow(_stars(percent), "sid long, star long, d double"))
+        joined = cut_and_release(grouped.mapInArrow(_stars(percent), "sid long, star long, d double"))
         up = joined.select(F.col("sid").alias("star"), F.col("star").alias("lead"), F.col("d").alias("dd"))
         star = cut(star.join(up, "star", "left").select("sid", F.coalesce("lead", "star").alias("star"), (F.col("d") + F.coalesce("dd", F.lit(0.0))).alias("d")))
         live = live.join(joined.select("sid"), "sid", "left_anti")
@@ -411,7 +411,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
 
     indexed = chosen.join(star, "sid").select("star", "n", "prefix").mapInArrow(_spread(percent), "tok long, star long, n int, i int")
     listed = indexed.repartition("tok").sortWithinPartitions("tok", "n", "star", "i")
-    pairs = cut(listed.mapInArrow(_list_pairs(percent), "a long, b long").distinct())
+    pairs = cut_and_release(listed.mapInArrow(_list_pairs(percent), "a long, b long").distinct())
     radius = star.groupBy("star").agg(F.max("d").alias("r"))
     widest = radius.agg(F.max("r")).first()[0] or 0.0
     apart = _verify(pairs, sets, limit + 2 * widest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_and_release(df: DataFrame) -> DataFrame:
+    """As cut(), and let Spark delete the shuffle files behind it now.
+
+    Spark deletes a shuffle's files once the driver has collected the plan that made it as garbage,
+    which a driver with little to do may not for long; long chains of large shuffles then pile up.
+    """
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected graph given by its edges.
 
