@@ -8,8 +8,7 @@ is at least `percent` / 100. Sets and shingles are identified by 64-bit hashes.
    and go last in the global order, the others are ordered by hash; any one order is exact, this
    one keeps index lists short. At most HEAVY_BOUND heavy shingles exist, whatever the input.
 2. Each set is indexed under its prefix in that order, with size and position. Pairs of list
-   neighbours that sizes, positions and parity bitmaps (512 bits, an upper bound of the overlap,
-   so exact) allow name the sets that may link; only their contents are fetched, by one more pass
+   neighbours that sizes, positions and parity bitmaps (an upper bound of the overlap, so exact) allow name the sets that may link; only their contents are fetched, by one more pass
    over the texts (a fixed-size bitmap says which).
 3. Stars: in rounds of independent min-hashes, sets with one minimum meet in groups of bounded
    size, and each set joins the first leader that it links with. The members' relation to their
@@ -18,8 +17,7 @@ is at least `percent` / 100. Sets and shingles are identified by 64-bit hashes.
    position; this is combined before the shuffle, so a huge family is a few rows). Blocks of
    sizes that can't fit are skipped, and positions that leave too few shingles are skipped.
    Out come pairs of stars.
-5. A pair of leaders is checked, first by a 512-bit parity bitmap (an upper bound of the overlap,
-   so exact), then by content. As the Jaccard distance is a metric, two stars further apart than
+5. A pair of leaders is checked, first by parity bitmaps, then by content. As the Jaccard distance is a metric, two stars further apart than
    the limit plus both radii have no linked members. The few pairs in between are settled member
    by member: against the other leader first, then those that can still link against each other.
 6. Components of all links, by distributed contraction.
@@ -89,11 +87,19 @@ def _list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
-def _parity(sets: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """512 bits of each set as 8 numbers: each shingle flips one. Differing bits bound the symmetric difference from below."""
-    spot = (mix(sets ^ np.uint64(0xA4093822299F31D0)) >> np.uint64(55)).astype(np.int64)
-    odd = np.bincount(row * 512 + spot, minlength=n_rows * 512).astype(np.uint8).reshape(n_rows, 512) & 1
-    return np.packbits(odd, axis=1).view(np.int64).ravel()
+def _parity(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Each set's parity bitmap: every shingle flips one of as many bits as the set has members, or more (a power of two, at least 512).
+
+    Differing bits bound the symmetric difference of two sets from below. Halves of a bitmap
+    xor to the bitmap of half the length, so sets of neighbouring sizes compare too.
+    """
+    n = np.diff(at)
+    width = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.append(0, np.cumsum(width))
+    row = np.repeat(np.arange(len(n)), n)
+    cell = (mix(sets ^ np.uint64(0xA4093822299F31D0)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(first[row] + cell, minlength=int(first[-1])).astype(np.uint8) & 1
+    return _list_column(np.packbits(odd).view(np.int64), first // 64)
 
 
 def _frequent(k: int):
@@ -157,7 +163,7 @@ def _prefixes(k: int, percent: int, heavy):
                 out[first[:-1][row[keep]] + rank[keep]] = sets[keep]
                 light = np.minimum(n_light, p)  # fewer than p: heavy shingles in the prefix, surely shared
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_signed(sid)), pa.array(n.astype(np.int32)), pa.array(light.astype(np.int32)), pa.array(_map_place(sid, doc[a:b])), _list_column(_signed(out), first), _list_column(_parity(sets, row, b - a), np.arange(b - a + 1) * 8)],
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_signed(sid)), pa.array(n.astype(np.int32)), pa.array(light.astype(np.int32)), pa.array(_map_place(sid, doc[a:b])), _list_column(_signed(out), first), _parity(sets, at)],
                     ["doc_id", "sid", "n", "light", "place", "prefix", "bits"],
                 )
 
@@ -215,7 +221,7 @@ def _neighbours(percent: int, reach: int = 64):
 
 
 def _contents(k: int, chosen):
-    """Sets of the documents that the bitmap names: shingles, a 512-bit parity bitmap, min-hashes."""
+    """Sets of the documents that the bitmap names: shingles, a parity bitmap, min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = chosen.value
@@ -229,11 +235,9 @@ def _contents(k: int, chosen):
                     continue
                 lists = [sets[at[r] : at[r + 1]] for r in take]
                 flat, first = np.concatenate(lists), np.append(0, np.cumsum(n[take]))
-                row = np.repeat(np.arange(len(take)), n[take])
-                packed = _parity(flat, row, len(take))
                 mins = [_signed(np.minimum.reduceat(mix(flat ^ np.uint64(r * 0x082EFA98EC4E6C89 + 1 & (1 << 64) - 1)), first[:-1])) for r in range(ROUNDS)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(sid[take])), pa.array(n[take].astype(np.int32)), _list_column(_signed(flat), first), _list_column(packed, np.arange(len(take) + 1) * 8), *[pa.array(m) for m in mins]],
+                    [pa.array(_signed(sid[take])), pa.array(n[take].astype(np.int32)), _list_column(_signed(flat), first), _parity(flat, first), *[pa.array(m) for m in mins]],
                     ["sid", "n", "toks", "bits", *[f"mh{r}" for r in range(ROUNDS)]],
                 )
 
@@ -353,9 +357,13 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within(pairs: DataFrame, heads: DataFrame, bound: float) -> DataFrame:
-    """(a, b, na, nb) of the pairs whose parity bitmaps allow a distance within `bound` (64 bytes a set travel)."""
+    """(a, b, na, nb) of the pairs whose parity bitmaps allow a distance within `bound` (about two bits a shingle travel)."""
     head = lambda x: heads.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
+    one = lambda x, y: F.when(F.size(x) == 2 * F.size(y), fold(x)).otherwise(F.col(x))
+    bits = F.zip_with(one("bitsa", "bitsb"), one("bitsb", "bitsa"), lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0)))
+    differ = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
     most = F.least((F.col("na") + F.col("nb") - differ) / 2, F.col("na"), F.col("nb"))
     both = pairs.join(head("a"), "a").join(head("b"), "b")
     return both.where(1 - most / (F.col("na") + F.col("nb") - most) <= bound + 1e-9).select("a", "b", "na", "nb")
