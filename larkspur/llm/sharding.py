@@ -62,8 +62,8 @@ def rebalance(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     """The next version of `current` for `n_shards` (no fewer than before).
 
     In each shard slots stay, largest first, while their sum is within the new mean; the others
-    go to the least loaded shard, largest first. What stays is untouched, so a new shard only
-    receives.
+    go to the least loaded shard, largest first: mostly a new shard, now and then an old one with
+    room left. What stays is untouched, and a new shard only receives.
     """
     held = sizes.join(current, "vslot")
     mean = F.sum("bytes").over(Window.partitionBy(F.lit(1))) / n_shards
