@@ -60,9 +60,10 @@ PATTERNS = [
     ("phone", r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<!\w|\d-)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|-\d)"),
     ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,2}}"),
 ]
-ENTITY = "|".join(p for _, p in PATTERNS)
+#: No pattern matches right after an ASCII letter, nor begins with another character than these: most places are left at once.
+ENTITY = r"(?<![A-Za-z])(?=[\p{Lu}a-z0-9._%+(-])(?:" + "|".join(p for _, p in PATTERNS) + ")"
 #: A cheap necessary condition: most texts need no matching at all.
-HINT = r"[@\d]|" + _TITLES + r"|password|passwd|pwd|secret|token|api_key|AKIA|gh[pousr]_|sk-|[A-Fa-f]{32}"
+HINT = r"[@\d]|(?<![A-Za-z])(?:" + _TITLES + r"|password|passwd|pwd|secret|token|api_key|AKIA|gh[pousr]_|sk-|[A-Fa-f]{32})"
 
 
 def kind_of(e: Column) -> Column:
@@ -86,18 +87,26 @@ def _stream(*by: Column) -> Column:
     return F.sha2(F.concat_ws("\x01", *by), 256)
 
 
+def _bound(value: Column, body) -> Column:
+    """`body` of `value`, which is computed once however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _fit_format(e: Column, hexes: Column, keep: Column) -> Column:
     """`e` with its digits and ASCII letters replaced from a hex stream, the first `keep` of them kept.
 
     Stream places count replaceable characters only, so separators do not matter.
     """
-    numbers = F.translate(hexes, "abcdef", "274951")
-    small = F.translate(hexes, "0123456789abcdef", "bcdfghjklmnpqrst")
     hex_only = ~e.rlike("[g-zG-Z]") & e.rlike(r"^[0-9a-fA-F]+$")
+    small = F.when(hex_only, F.translate(hexes, "0123456789", "abcdefabcd")).otherwise(F.translate(hexes, "0123456789abcdef", "bcdfghjklmnpqrst"))
+    streams = F.struct(e.alias("e"), keep.alias("keep"), F.translate(hexes, "abcdef", "274951").alias("numbers"), small.alias("small"))
+    return _bound(streams, lambda v: _from_streams(v["e"], v["numbers"], v["small"], v["keep"]))
+
 
+def _from_streams(e: Column, numbers: Column, small: Column, keep: Column) -> Column:
     def step(s: Column, c: Column) -> Column:
         at = F.substring(numbers, s["k"] % 64 + 1, F.lit(1))
-        letter = F.when(hex_only, F.substring(F.translate(hexes, "0123456789", "abcdefabcd"), s["k"] % 64 + 1, F.lit(1))).otherwise(F.substring(small, s["k"] % 64 + 1, F.lit(1)))
+        letter = F.substring(small, s["k"] % 64 + 1, F.lit(1))
         kind = F.when(c.rlike("[0-9]"), at).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter))
         made = F.when(kind.isNull() | (s["k"] < keep), c).otherwise(kind)
         return F.struct(F.concat(s["out"], made).alias("out"), (s["k"] + F.when(kind.isNull(), 0).otherwise(1)).alias("k"))
@@ -142,7 +151,11 @@ def _name(e: Column, hexes: Column, attempt: Column) -> Column:
 
 def surrogate(e: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a mention `e`; the same for all mentions of one canonical value, but for format."""
-    hexes = _stream(F.lit(key), canon, attempt.cast("string"))
+    drawn = F.struct(e.alias("e"), kind.alias("kind"), attempt.alias("attempt"), _stream(F.lit(key), canon, attempt.cast("string")).alias("hexes"))
+    return _bound(drawn, lambda v: _drawn(v["e"], v["kind"], v["attempt"], v["hexes"], key))
+
+
+def _drawn(e: Column, kind: Column, attempt: Column, hexes: Column, key: str) -> Column:
     none = F.lit(0)
     local, domain = F.substring_index(F.lower(e), "@", 1), F.substring_index(F.lower(e), "@", -1)
     place = F.translate(F.substring(_stream(F.lit(key), F.lit("domain"), domain), 1, 10), "0123456789abcdef", "bcdfghjklmnpqrst")
@@ -169,12 +182,13 @@ def _mentions(text: Column) -> Column:
 
 def redraws(docs: DataFrame, key: str, max_rounds: int = 64) -> DataFrame | None:
     """(canon, attempt) of the entities whose first surrogate clashed, or None if there are none."""
-    found = docs.select(F.explode(_mentions(F.col("text"))).alias("e")).withColumn("kind", kind_of(F.col("e")))
+    # explode() would have the texts searched twice more, by the filters that the optimizer derives from it
+    found = docs.select(F.explode_outer(_mentions(F.col("text"))).alias("e")).where("e IS NOT NULL").withColumn("kind", kind_of(F.col("e")))
     found = found.withColumn("canon", canonical(F.col("kind"), F.col("e"))).groupBy("canon").agg(F.min("e").alias("e"), F.min("kind").alias("kind"))
     drawn = cut(found.withColumn("attempt", F.lit(0)))
     for _ in range(max_rounds):
-        made = surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("attempt"), key)
-        seen = drawn.withColumn("new", canonical(F.col("kind"), made))
+        made = drawn.withColumn("made", surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        seen = cut(made.withColumn("new", canonical(F.col("kind"), F.col("made"))).drop("made"))
         first = seen.groupBy("new").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n"))
         shared = first.where("n > 1")
         real = seen.select("canon").withColumnRenamed("canon", "new").join(first.select("new"), "new", "left_semi")
@@ -207,8 +221,8 @@ def pseudonymize(docs: DataFrame, key: str = "larkspur") -> DataFrame:
         def made(x: Column) -> Column:
             return surrogate(x["e"], x["kind"], x["canon"], F.coalesce(F.try_element_at(F.col("__m"), x["canon"]), F.lit(0)), key)
 
-        named = F.transform(F.array(F.struct(e.alias("e"), kind_of(e).alias("kind"))), lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")))
-        return F.get(F.transform(named, made), 0)
+        kinds = F.struct(e.alias("e"), kind_of(e).alias("kind"))
+        return _bound(kinds, lambda x: _bound(F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")), made))
 
     parts = F.split(F.col("text"), ENTITY, -1)
     filled = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__s"), i), F.lit(""))))
