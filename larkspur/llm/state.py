@@ -15,23 +15,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there: lost executors lose nothing."""
+    """Write `df` to the shared checkpoint folder and read it from there: lost executors lose nothing.
+
+    Then let Spark delete the shuffle files behind it. Spark does so once the driver has collected
+    the plan that made them as garbage, which a driver with little to do may not for long; long
+    chains of large shuffles then pile up, and so do their plans and generated code on its heap.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def cut_and_release(df: DataFrame) -> DataFrame:
-    """As cut(), and let Spark delete the shuffle files behind it now.
-
-    Spark deletes a shuffle's files once the driver has collected the plan that made it as garbage,
-    which a driver with little to do may not for long; long chains of large shuffles then pile up.
-    """
-    out = cut(df)
+    out = df.checkpoint()
     del df
     gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    sc._jvm.System.gc()
     return out
 
 
