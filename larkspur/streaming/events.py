@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rollup import Template
@@ -21,6 +21,39 @@ def backoff(failures: Column, base_ms: int, cap_ms: int, seed: Column) -> Column
     return (plain * (F.lit(1000) + jitter) / 1000).cast("long")
 
 
+def due(queue: DataFrame, moment: str, depth: int) -> DataFrame:
+    """The items to dispatch at `moment`, in flight: pending and due, at most `depth` a destination, the earliest first.
+
+    Items of a destination that are in flight already count against its depth.
+    """
+    at = F.expr(f"timestamp_ntz'{moment}'")
+    flying = queue.where("status = 'InFlight'").groupBy("destination").agg(F.count(F.lit(1)).alias("__f"))
+    ready = queue.where((F.col("status") == "Pending") & (F.col("scheduled_at") <= at))
+    turn = F.row_number().over(Window.partitionBy("destination").orderBy("scheduled_at", "id"))
+    first = ready.withColumn("__n", turn).where(F.col("__n") <= depth).join(flying, "destination", "left")
+    return first.where(F.col("__n") + F.coalesce("__f", F.lit(0)) <= depth).select(*[F.lit("InFlight").alias(c) if c == "status" else c for c in queue.columns])
+
+
+def settle(items: DataFrame, results: DataFrame, moment: str, max_attempts: int, base_ms: int, cap_ms: int) -> DataFrame:
+    """Items in flight after their handler's `results` (id, error; null error: done).
+
+    A failed item is pending again after its backoff, or failed for good at `max_attempts`; items
+    without a result stay in flight. Upserting the outcome by id twice changes nothing.
+    """
+    told = results.select("id", F.col("error").alias("__e"), F.lit(True).alias("__r"))
+    both = items.where("status = 'InFlight'").join(told, "id", "left")
+    bad, tries = F.col("__e").isNotNull(), F.col("attempt_count") + 1
+    wait = F.timestamp_add("MILLISECOND", backoff(F.col("attempt_count"), base_ms, cap_ms, F.col("id")), F.expr(f"timestamp_ntz'{moment}'"))
+    again = bad & (tries < max_attempts)
+    new = {
+        "status": F.when(F.col("__r").isNull(), F.lit("InFlight")).when(~bad, F.lit("Done")).when(again, F.lit("Pending")).otherwise(F.lit("Failed")),
+        "attempt_count": F.when(bad, tries).otherwise(F.col("attempt_count")),
+        "last_error": F.coalesce("__e", "last_error"),
+        "scheduled_at": F.when(again, wait).otherwise(F.col("scheduled_at")),
+    }
+    return both.select(*[new[c].alias(c) if c in new else c for c in items.columns])
+
+
 def stream_rollup(source: DataFrame, template: Template, grain: str, path: str, checkpoint: str, late: str = "10 minutes"):
     """Keep the level of `grain` at `path` from a stream.
 

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,23 @@ def test_stream_rollup(spark, tmp_path):
     assert got and all(want[k] == n for k, n in got.items())
 
 
+def test_queue(spark):
+    from larkspur.streaming.events import due, settle
+
+    rows = [(1, "a", "Pending", "2024-01-01 00:00:00", 0), (2, "a", "Pending", "2024-01-01 00:00:01", 2), (3, "a", "InFlight", "2024-01-01 00:00:00", 0), (4, "b", "Pending", "2024-01-02 00:00:00", 0), (5, "b", "Pending", "2024-01-01 00:00:00", 0), (6, "c", "Done", "2024-01-01 00:00:00", 0)]
+    queue = spark.createDataFrame([(*r, None) for r in rows], "id long, destination string, status string, scheduled_at string, attempt_count int, last_error string").withColumn("scheduled_at", F.col("scheduled_at").cast("timestamp_ntz"))
+    now = "2024-01-01 12:00:00"
+    assert sorted(r.id for r in due(queue, now, 2).collect()) == [1, 5]
+    flying = due(queue, now, 3)
+    assert {r.status for r in flying.collect()} == {"InFlight"} and flying.count() == 3
+    got = {r.id: r for r in settle(flying, spark.createDataFrame([(1, "slow"), (2, "down"), (5, None)], "id long, error string"), now, 3, 1000, 60000).collect()}
+    assert [got[i].status for i in (1, 2, 5)] == ["Pending", "Failed", "Done"]
+    assert [got[i].attempt_count for i in (1, 2, 5)] == [1, 3, 0] and got[2].last_error == "down"
+    wait = (got[1].scheduled_at - datetime.datetime(2024, 1, 1, 12)).total_seconds()
+    assert 0.8 <= wait <= 1.2
+    assert settle(flying, spark.createDataFrame([], "id long, error string"), now, 3, 1000, 60000).where("status = 'InFlight'").count() == 3
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(cq.QUERIES) == set(cq.ORACLES)
