@@ -10,7 +10,11 @@ script (Latin, Cyrillic or Greek); addresses stay addresses.
 
 Collision checks keep distinct entities distinct: all distinct entities of the input are held
 against each other's surrogates and against each other's values, and those that clash draw anew
-until none does. Entities are few beside the texts, and are combined before they are shuffled.
+until none does. With each new draw, names, the local parts of addresses, secrets and (from
+the fourth on) telephone numbers get longer by one syllable, letter or digit of the key's stream, so
+that no number of distinct entities exhausts them; IP addresses, cards and social security numbers keep
+their length, and have millions of values. Entities are few beside the texts, and are combined before
+they are shuffled.
 Only entities that had to draw anew travel back to documents; mostly there are none, and then the
 texts are rewritten in one pass without any shuffle.
 
@@ -46,6 +50,9 @@ FAMILY = {
     "cyrillic": "Белов Волков Громов Жуков Зимин Ильин Козлов Лапин Марков Носов Орлов Панов Рыбин Соколов Титов Фомин".split(),
     "greek": "Αλεξίου Βασιλείου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Παύλου".split(),
 }
+# Syllables that lengthen family names by script, letters and digits that lengthen other values.
+SYLLABLES = {s: [a + b for a in onsets for b in vowels] for s, onsets, vowels in (("latin", "bdfgklmnprstvz", "aeiou"), ("cyrillic", "бвгдзклмнпрстф", "аеиоу"), ("greek", "βγδζκλμνπρστφχ", "αεηιο"))}
+LETTERS, DIGITS = list("bcdfghjklmnpqrst"), list("0123456789")
 
 _TITLES = "|".join((*FEMALE, *MALE))
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
@@ -130,21 +137,27 @@ def _pick(values: list[str], hexes: Column, at: int) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.conv(F.substring(hexes, at, 6), 16, 10).cast("int") % len(values))
 
 
+def _longer(hexes: Column, by: Column, values: list[str]) -> Column:
+    """`by` of `values` joined, each from a stream of its own; empty for none."""
+    drawn = F.transform(F.sequence(F.lit(1), by), lambda i: _pick(values, _stream(hexes, i.cast("string")), 1))
+    return F.when(by > 0, F.array_join(drawn, "")).otherwise("")
+
+
 def _name(e: Column, hexes: Column, attempt: Column) -> Column:
-    """Title kept, then as many names as before (and another family name for every eighth new draw)."""
+    """Title kept, then as many names as before, the last longer by a syllable for every new draw."""
     title = F.regexp_extract(e, rf"^((?:{_TITLES})\.?[ ])", 1)
     rest = F.substring(e, F.length(title) + 1, F.length(e))
     female = F.regexp_replace(title, r"[. ]", "").isin(*FEMALE)
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     n = F.size(F.split(rest, " "))
-    given = F.lit(None).cast("string")
-    family = [F.lit(None).cast("string") for _ in range(3)]
+    given, more = F.lit(None).cast("string"), F.lit(None).cast("string")
+    family = [F.lit(None).cast("string") for _ in range(2)]
     for s in FAMILY:
         both = F.when(female, _pick(GIVEN[f"{s}_f"], hexes, 1)).otherwise(_pick(GIVEN[f"{s}_m"], hexes, 1))
         given = F.when(script == s, both).otherwise(given)
         family = [F.when(script == s, _pick(FAMILY[s], hexes, 8 + 7 * i)).otherwise(f) for i, f in enumerate(family)]
-    double = lambda f, more: F.when(attempt >= 8, F.concat(f, F.lit("-"), more)).otherwise(f)
-    last = double(family[0], family[2])
+        more = F.when(script == s, _longer(hexes, attempt, SYLLABLES[s])).otherwise(more)
+    last = F.concat(family[0], more)
     made = F.when(n == 1, last).when(n == 2, F.concat_ws(" ", given, last)).otherwise(F.concat_ws(" ", given, family[1], last))
     return F.concat(title, made)
 
@@ -165,13 +178,13 @@ def _drawn(e: Column, kind: Column, attempt: Column, hexes: Column, key: str) ->
     octet = lambda i: (F.conv(F.substring(hexes, i, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     country = F.length(F.regexp_replace(F.regexp_extract(e, r"^\+(\d{1,3})", 1), r"\D", ""))
     return (
-        F.when(kind == "email", F.concat(_fit_format(local, hexes, none), F.lit("@"), place, F.lit(".example.org")))
+        F.when(kind == "email", F.concat(_fit_format(local, hexes, none), _longer(hexes, attempt, LETTERS), F.lit("@"), place, F.lit(".example.org")))
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)))
         .when(kind == "card", _luhn(_fit_format(e, hexes, F.lit(1))))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_fit_format(e, hexes, none), F.lit(2), F.length(e))))
-        .when(kind == "phone", _fit_format(e, hexes, country))
+        .when(kind == "phone", F.concat(_fit_format(e, hexes, country), _longer(hexes, attempt - 3, DIGITS)))
         .when(kind == "name", _name(e, hexes, attempt))
-        .otherwise(F.concat(label, _fit_format(secret, hexes, prefix)))
+        .otherwise(F.concat(label, _fit_format(secret, hexes, prefix), _longer(hexes, attempt, LETTERS)))
     )
 
 
@@ -180,13 +193,13 @@ def _mentions(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def redraws(docs: DataFrame, key: str, max_rounds: int = 64) -> DataFrame | None:
+def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     """(canon, attempt) of the entities whose first surrogate clashed, or None if there are none."""
     # explode() would have the texts searched twice more, by the filters that the optimizer derives from it
     found = docs.select(F.explode_outer(_mentions(F.col("text"))).alias("e")).where("e IS NOT NULL").withColumn("kind", kind_of(F.col("e")))
     found = found.withColumn("canon", canonical(F.col("kind"), F.col("e"))).groupBy("canon").agg(F.min("e").alias("e"), F.min("kind").alias("kind"))
     drawn = cut(found.withColumn("attempt", F.lit(0)))
-    for _ in range(max_rounds):
+    while True:
         made = drawn.withColumn("made", surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("attempt"), key))
         seen = cut(made.withColumn("new", canonical(F.col("kind"), F.col("made"))).drop("made"))
         first = seen.groupBy("new").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n"))
@@ -198,8 +211,6 @@ def redraws(docs: DataFrame, key: str, max_rounds: int = 64) -> DataFrame | None
             break
         again = seen.join(clash, "new", "left")
         drawn = cut(again.select("canon", "e", "kind", (F.col("attempt") + F.when(F.col("real") | (F.col("owner") != F.col("canon")), 1).otherwise(0)).alias("attempt")))
-    else:
-        raise RuntimeError("surrogates still clash; allow more rounds")
     again = drawn.where("attempt > 0").select("canon", "attempt")
     return None if again.isEmpty() else again
 

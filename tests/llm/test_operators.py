@@ -210,6 +210,24 @@ def test_pii_distinct(spark):
     assert len({r.text for r in pii.pseudonymize(names).collect()}) == 400
 
 
+@pytest.mark.parametrize("first, script, n", [("A", "Latin", 4400), ("А", "Cyrillic", 400), ("Α", "Greek", 200)])
+def test_pii_more_names_than_the_pool(spark, first, script, n):
+    small = F.array(*[F.lit(chr(ord(first.lower()) + i)) for i in range(16)])
+    at = [F.get(small, F.shiftright("id", 4 * k).cast("int") % 16) for k in range(4)]
+    names = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr " + first), *at).alias("text"))
+    real = {r.text for r in names.collect()}
+    made = {r.text for r in pii.pseudonymize(names).collect()}
+    assert len(real) == len(made) == n and not real & made
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+" if script == "Latin" else r"Mr [А-Я][а-яё]+" if script == "Cyrillic" else r"Mr [Α-Ω][α-ωά-ώϊ]+", x) for x in made)
+
+
+def test_pii_short_values_do_not_run_out(spark):
+    texts = [f"write to {chr(97 + i)}@one.org" for i in range(26)] + [f"call +123{i:02d} now" for i in range(80)] + ["password: --------"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.text for r in pii.pseudonymize(rows).collect()}
+    assert len(made) == len(texts) and not made & set(texts)
+
+
 def test_language_id(spark, none):
     rng = random.Random(1)
     say = {"xx": "ba bo bu be".split(), "yy": "ki ko ku ke".split()}
