@@ -413,6 +413,11 @@ def doc_shred(ctx):
     return out.where("path = '$.k'").select("event_id", "path", "value")
 
 
+@_code("SELECT event_id, fullkey AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN type = 'VARCHAR' THEN 'STRING' ELSE type END AS kind, CASE WHEN type NOT IN ('OBJECT', 'ARRAY') THEN atom ->> '$' END AS value FROM events, json_tree(props)")
+def doc_shred_nodes(ctx):
+    return documents.shred(ctx.frame("events"), "event_id", "props")
+
+
 # --- connectors, queues, evolution
 @_code("SELECT o_orderkey, least(1000 * power(2, o_orderkey % 9), 60000)::BIGINT AS plain FROM orders")
 def queue_backoff(ctx):

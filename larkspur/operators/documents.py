@@ -25,11 +25,11 @@ def census(df: DataFrame, body: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select("key", "present", (F.col("present") / F.col("total")).alias("share"))  # one row
 
 
-def shred(df: DataFrame, key: str, body: str, depth: int = 8) -> DataFrame:
-    """(key, path, kind, value) of the nodes of each document, level by level down to `depth`."""
+def shred(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path, kind, value) of all nodes of each document, level by level until one is empty."""
     level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(body).alias("v")).where("v is not null")
     out = None
-    for _ in range(depth):
+    while True:
         kind = F.schema_of_variant("v")
         nodes = level.select(key, "path", F.regexp_extract(kind, "^[A-Z]+", 0).alias("kind"), F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.try_variant_get("v", "$", "string")).alias("value"))
         out = nodes if out is None else out.unionByName(nodes)
@@ -37,5 +37,4 @@ def shred(df: DataFrame, key: str, body: str, depth: int = 8) -> DataFrame:
         objects.createOrReplaceTempView("__larkspur_level")
         level = objects.sparkSession.sql(f"select t.{key}, concat(t.path, case when e.key is null then concat('[', e.pos, ']') else concat('.', e.key) end) as path, e.value as v from __larkspur_level t, lateral variant_explode(t.v) e")
         if level.isEmpty():
-            break
-    return out
+            return out

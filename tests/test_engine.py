@@ -149,6 +149,17 @@ def test_queue(spark):
     assert settle(flying, spark.createDataFrame([], "id long, error string"), now, 3, 1000, 60000).where("status = 'InFlight'").count() == 3
 
 
+def test_shred_reaches_every_level(spark):
+    from larkspur.operators import documents
+
+    deep, path = "7", ""
+    for i in range(11):
+        deep, path = (f'{{"a": {deep}}}', ".a" + path) if i % 2 else (f"[{deep}]", "[0]" + path)
+    nodes = documents.shred(spark.createDataFrame([(1, deep), (2, '{"b": "x"}'), (3, None)], "id long, body string"), "id", "body").collect()
+    assert sorted(n.id for n in nodes) == [1] * 12 + [2] * 2
+    assert {(n.path, n.value) for n in nodes if n.value is not None} == {("$" + path, "7"), ("$.b", "x")}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(cq.QUERIES) == set(cq.ORACLES)
