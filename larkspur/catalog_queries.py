@@ -141,6 +141,11 @@ def nonkey_equi_join(ctx):
     return run(parse("customer where c_acctbal > 9500").join("supplier", on=(("c_nationkey", "s_nationkey"),)).project("c_custkey", "s_suppkey"), ctx)
 
 
+@_code("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+def nonkey_equi_join_all(ctx):
+    return run(parse("customer").join("supplier", on=(("c_nationkey", "s_nationkey"),)).project("c_custkey", "s_suppkey"), ctx)
+
+
 # --- aggregates
 _text("group_multi", "lineitem group l_returnflag group l_linestatus { l_returnflag, l_linestatus, l_quantity sum as qty, l_orderkey count as n }", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY ALL")
 _text("group_distinct", "orders group o_orderpriority { o_orderpriority }", "SELECT DISTINCT o_orderpriority FROM orders")
@@ -369,6 +374,12 @@ def assert_equality(ctx):
     return integrity.paths_equal(rows, F.col("a"), F.col("b")).select("l_orderkey", "l_partkey")
 
 
+@_code("SELECT l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey")
+def assert_equality_all(ctx):
+    rows = run("lineitem { l_orderkey, l_partkey, l_orderkey.o_custkey.c_nationkey as a, l_suppkey.s_nationkey as b }", ctx)
+    return integrity.paths_equal(rows, F.col("a"), F.col("b")).select("l_orderkey", "l_partkey")
+
+
 @_code("SELECT CASE WHEN c_acctbal >= 0 THEN 'accepted' ELSE 'refused' END AS side, count(*) AS n FROM customer GROUP BY 1")
 def mode_split(ctx):
     ok, bad = integrity.split(ctx.frame("customer"), F.col("c_acctbal") >= 0, "enforce always")

@@ -160,6 +160,17 @@ def test_shred_reaches_every_level(spark):
     assert {(n.path, n.value) for n in nodes if n.value is not None} == {("$" + path, "7"), ("$.b", "x")}
 
 
+def test_whole_tables_are_audited_and_joined(spark, ctx):
+    n = {r.c_nationkey: r.n for r in ctx.frame("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).collect()}
+    m = {r.s_nationkey: r.n for r in ctx.frame("supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert cq.QUERIES["nonkey_equi_join_all"](spark, SF).count() == sum(k * m.get(x, 0) for x, k in n.items())
+    cust = {r.c_custkey: r.c_nationkey for r in ctx.frame("customer").collect()}
+    order = {r.o_orderkey: cust[r.o_custkey] for r in ctx.frame("orders").collect()}
+    supp = {r.s_suppkey: r.s_nationkey for r in ctx.frame("supplier").collect()}
+    want = sum(order[r.l_orderkey] != supp[r.l_suppkey] for r in ctx.frame("lineitem").collect())
+    assert cq.QUERIES["assert_equality_all"](spark, SF).count() == want
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(cq.QUERIES) == set(cq.ORACLES)
