@@ -1,8 +1,8 @@
 r"""Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters and digits (A-Z lower-cased; bytes beyond ASCII count as letters). The
-benchmark's windows of `min_match` words are the seeds; a document's windows are hashed by the
-same running Karp-Rabin scheme and joined with them. Seeds on one diagonal join to runs, and the
+benchmark's windows of `min_match` words are the seeds; a document's windows are hashed in the
+same way, each from its own words (no hash is rolled), and joined with them. Seeds on one diagonal join to runs, and the
 longest run is marked again and again, in the document and in the item, until no unmarked run of
 `min_match` words is left; a run that meets marked words is cut to its unmarked parts. An item is
 leaked into a document if the tiles cover at least `coverage` of the item's words, in any order.
