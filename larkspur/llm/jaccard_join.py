@@ -1,26 +1,30 @@
-r"""N-gram Jaccard join with set relations: exact links between shingle sets, as components.
+r"""N-gram Jaccard join by set-relation skipping: exact links between shingle sets, as components.
 
 A document's set is its distinct k-word shingles (words `[^\x20\x09-\x0D]+`, A-Z lower-cased);
 with 1 to k-1 words all its words are one shingle. Two sets link when their Jaccard similarity
-is at least `percent` / 100. Sets and shingles are identified by 64-bit hashes.
-
-1. Equal sets collapse to one. Shingles that are frequent inside some partition become "heavy"
-   and go last in the global order, the others are ordered by hash; any one order is exact, this
-   one keeps index lists short. At most HEAVY_BOUND heavy shingles exist, whatever the input.
-2. Each set is indexed under its prefix in that order, with size and position. Pairs of list
-   neighbours that sizes, positions and parity bitmaps (an upper bound of the overlap, so exact) allow name the sets that may link; only their contents are fetched, by one more pass
-   over the texts (a fixed-size bitmap says which).
-3. Stars: in rounds of independent min-hashes, sets with one minimum meet in groups of bounded
-   size, and each set joins the first leader that it links with. The members' relation to their
-   leader then answers for them: two members of one star are connected without being compared.
-4. Index lists are streamed sorted by size. A list holds one entry a star and size (the least
-   position; this is combined before the shuffle, so a huge family is a few rows). Blocks of
-   sizes that can't fit are skipped, and positions that leave too few shingles are skipped.
-   Out come pairs of stars.
-5. A pair of leaders is checked, first by parity bitmaps, then by content. As the Jaccard distance is a metric, two stars further apart than
-   the limit plus both radii have no linked members. The few pairs in between are settled member
-   by member: against the other leader first, then those that can still link against each other.
-6. Components of all links, by distributed contraction.
+is at least `percent` / 100. Sets are identified by 64-bit hashes, shingles by 48-bit ones.
+
+1. One pass over the texts. Every task packs its shingles into chunks, sorted, and deals them out
+   by range; the ranges count in how many documents each shingle is and answer the chunks, for
+   shingles of two documents or more, with a class of that count. A shingle that is frequent
+   within a chunk travels once a chunk, whatever its rows. The order of shingles is: class, then
+   hash. Those of one document come first and match nothing, so a set whose prefix holds no
+   other is linked with nothing and is done. The others' shared shingles are their contents, as
+   overlaps consist of shared shingles only. Equal sets collapse to one.
+2. Stars: in rounds of independent min-hashes, sets with one minimum meet in groups of bounded
+   size, and each joins the first leader that it links with. Members keep their difference to
+   their leader, and members of one star are connected without being compared.
+3. Index lists hold an entry for every shingle of a set's prefix, in blocks of one size and
+   position, in that order. Pairs of blocks whose sizes or positions leave too few common
+   shingles are skipped whole; within the rest, entries of one star skip each other, and parity
+   bitmaps (a lower bound of the symmetric difference, so exact) settle most others. A list
+   longer than `LIST` is dealt out as pairs of its parts, so none is held in one task.
+4. Each list first names the shortest pairs that would connect its stars, a forest, so no more
+   than its length. They are checked, and stars that link become one. Then all pairs that still
+   may link two different components are named and checked. A pair's overlap is derived: the
+   other set's overlap with the leader, which is computed once for all members of the leader's
+   star, and the part of the member's difference that the other set holds.
+5. Components of all links, by distributed contraction.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are linked with
 nothing; repeated rows are each returned, and equal doc_ids are one document; null doc_ids are
@@ -34,17 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import blocks, gram_sets, mix, words
 from .state import components, cut
 
-HEAVY_BOUND = 1 << 17
-HEAVY_LEAST = 32
-MAP_BITS = 23
+TOK_BITS = 48
+CHUNK_DOCS = (1 << 16) - 1
+CHUNK_TOKENS = 1 << 21
+HOT = 32  # a shingle of more documents of a chunk travels as a count
 GROUP = 256
 ROUNDS = 2
+LIST = 4096
+SHORT = 24  # lists up to this length are searched all at once
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -69,10 +78,6 @@ def _ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out ^ mix(n.astype(np.uint64))
 
 
-def _map_place(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return (mix(sid ^ mix(doc.astype(np.int64).view(np.uint64))) >> np.uint64(64 - MAP_BITS)).astype(np.int32)
-
-
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
     """The least size of a linked set, also the least overlap with any set: ceil(percent * n / 100)."""
     return -(-n * percent // 100)
@@ -87,87 +92,50 @@ def _list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
-def _parity(sets: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Each set's parity bitmap: every shingle flips one of as many bits as the set has members, or more (a power of two, at least 512).
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity bitmap of a set of n shingles: a power of two, at least 256 and n."""
+    return np.maximum(256, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def _parity(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's parity bitmap, in which every shingle flips one bit, as words; and each set's first word.
 
     Differing bits bound the symmetric difference of two sets from below. Halves of a bitmap
     xor to the bitmap of half the length, so sets of neighbouring sizes compare too.
     """
     n = np.diff(at)
-    width = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    width = _width(n)
     first = np.append(0, np.cumsum(width))
     row = np.repeat(np.arange(len(n)), n)
     cell = (mix(sets ^ np.uint64(0xA4093822299F31D0)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(first[row] + cell, minlength=int(first[-1])).astype(np.uint8) & 1
-    return _list_column(np.packbits(odd).view(np.int64), first // 64)
+    return np.packbits(odd).view(np.int64), first // 64
 
 
-def _frequent(k: int):
-    """Shingles that occur twice or more in a stretch of a partition, with their counts, and (0, shingles) for the total."""
+def _minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ROUNDS min-hashes of each set, one row a set (0 for empty sets)."""
+    full = np.diff(at) > 0
+    out = np.zeros((len(full), ROUNDS), np.uint64)
+    if full.any():
+        for r in range(ROUNDS):
+            salt = np.uint64(r * 0x082EFA98EC4E6C89 + 1 & (1 << 64) - 1)
+            out[full, r] = np.minimum.reduceat(mix(sets ^ salt), at[:-1][full])
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, total = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(parts))
-            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            n = np.diff(np.append(at, len(x)))
-            return pa.RecordBatch.from_arrays([pa.array(_signed(x[at[n > 1]])), pa.array(n[n > 1])], ["tok", "n"])
 
-        for batch in batches:
-            for _, _, sets, _ in _sets(batch.column(0), k):
-                parts.append(sets)
-                size += len(sets)
-                total += len(sets)
-                if size > 1 << 22:
-                    yield flush()
-                    parts, size = [], 0
-        if size:
-            yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["tok", "n"])
+def _pack(x: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte plane by byte plane: planes of zeros take no room once compressed."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    wide = max(1, (int(gap.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([wide]) + gap.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
-    return run
-
-
-def _heavy(docs: DataFrame, k: int) -> np.ndarray:
-    """The heavy shingles, sorted. A shingle counted at least total / HEAVY_BOUND times: there are no more than HEAVY_BOUND."""
-    seen = cut(docs.select("text").mapInArrow(_frequent(k), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST))
-    total = seen.where("tok = 0").agg(F.sum("n")).first()[0] or 0
-    rows = seen.where((F.col("tok") != 0) & (F.col("n") >= total / HEAVY_BOUND)).select("tok").toArrow()
-    return np.sort(np.asarray(rows.column(0).combine_chunks() if rows.num_rows else np.zeros(0, np.int64)).view(np.uint64))
-
-
-def _prefixes(k: int, percent: int, heavy):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = heavy.value
-        bits = np.zeros(1 << 20, bool)
-        bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-        for batch in batches:
-            doc = np.asarray(batch.column(0).fill_null(0))
-            for a, b, sets, at in _sets(batch.column(1), k):
-                n = np.diff(at)
-                sid = _ids(sets, at)
-                p = np.where(n > 0, n - _need(n, percent) + 1, 0)
-                is_heavy = bits[(sets >> np.uint64(44)).astype(np.int64)]
-                maybe = np.flatnonzero(is_heavy)
-                if len(maybe):
-                    spot = np.minimum(np.searchsorted(keys, sets[maybe]), len(keys) - 1)
-                    is_heavy[maybe] = keys[spot] == sets[maybe]
-                row = np.repeat(np.arange(b - a), n)
-                upto = np.cumsum(~is_heavy)  # rank among the row's light shingles, then among its heavy ones
-                base = np.append(0, upto)[at[:-1]]
-                n_light = np.append(0, upto)[at[1:]] - base
-                rank = np.where(is_heavy, np.arange(len(sets)) - at[:-1][row] - (upto - base[row]) + n_light[row], upto - base[row] - 1)
-                keep = np.flatnonzero(rank < p[row])
-                out, first = np.empty(len(keep), np.uint64), np.append(0, np.cumsum(p))
-                out[first[:-1][row[keep]] + rank[keep]] = sets[keep]
-                light = np.minimum(n_light, p)  # fewer than p: heavy shingles in the prefix, surely shared
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_signed(sid)), pa.array(n.astype(np.int32)), pa.array(light.astype(np.int32)), pa.array(_map_place(sid, doc[a:b])), _list_column(_signed(out), first), _parity(sets, at)],
-                    ["doc_id", "sid", "n", "light", "place", "prefix", "bits"],
-                )
 
-    return run
+def _unpack(body: bytes) -> np.ndarray:
+    raw = np.frombuffer(body, np.uint8)
+    planes = raw[1:].reshape(int(raw[0]), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 def _runs(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -179,67 +147,158 @@ def _runs(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _neighbours(percent: int, reach: int = 64):
-    """Index lists (rows tok, n, i, sid sorted by tok and n): pairs that may link, each with the `reach` next in size.
-
-    Sets with more fitting neighbours than that are named as pairs with themselves: they count as
-    involved without a check, so a long list costs no more than its length.
-    """
+DEALT = "part int, chunk long, toks binary, idx binary, hot array<long>, hotn array<long>, doc array<long>, sid array<long>, n array<int>, bits array<long>, mins array<long>"
+DEALT_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("toks", pa.binary()), ("idx", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("hot", "hotn", "doc", "sid")], ("n", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64()))])
+ANSWERED = "chunk long, head boolean, toks binary, idx binary, hot array<long>, hotn array<long>, doc array<long>, sid array<long>, n array<int>, bits array<long>, mins array<long>"
+ANSWERED_ARROW = pa.schema([DEALT_ARROW.field("chunk"), ("head", pa.bool_()), *[DEALT_ARROW.field(c) for c in DEALT_ARROW.names[2:]]])
+
+
+def _deal(k: int, range_bits: int):
+    """Texts as chunks: rows of shingles for each range (`part`), and a head with all else of the chunk's documents."""
+
+    def chunk_rows(chunk: int, held: list) -> pa.RecordBatch:
+        doc = pa.concat_arrays([h[0] for h in held])
+        sets = np.concatenate([h[1] for h in held])
+        n = np.concatenate([h[2] for h in held])
+        at = np.append(0, np.cumsum(n))
+        row = np.repeat(np.arange(len(n)), n).astype(np.uint64)
+        key = np.sort((sets >> np.uint64(16)) << np.uint64(16) | row)
+        tok = key >> np.uint64(16)
+        begins = _runs(tok)
+        count = np.diff(np.append(begins, len(tok)))
+        many = count > HOT
+        few = ~np.repeat(many, count)
+        few_tok, few_row = tok[few], (key[few] & np.uint64(0xFFFF)).astype(np.uint16)
+        hot_tok, hot_n = tok[begins[many]], count[many]
+        edges = np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(TOK_BITS - range_bits)
+        few_at, hot_at = np.searchsorted(few_tok, edges).tolist(), np.searchsorted(hot_tok, edges).tolist()
+        parts = [j for j in range(1 << range_bits) if few_at[j] < few_at[j + 1] or hot_at[j] < hot_at[j + 1]]
+        bits, _ = _parity(sets, at)
+        none = [None] * len(parts)
+        columns = [
+            pa.array([*parts, chunk % (1 << range_bits)], pa.int32()),
+            pa.array([chunk] * (len(parts) + 1), pa.int64()),
+            pa.array([*[_pack(few_tok[few_at[j] : few_at[j + 1]]) for j in parts], None], pa.binary()),
+            pa.array([*[few_row[few_at[j] : few_at[j + 1]].tobytes() for j in parts], None], pa.binary()),
+            pa.array([*[_signed(hot_tok[hot_at[j] : hot_at[j + 1]]) for j in parts], _signed(key[~few])], pa.list_(pa.int64())),
+            pa.array([*[hot_n[hot_at[j] : hot_at[j + 1]] for j in parts], None], pa.list_(pa.int64())),
+            pa.array([*none, doc.to_pylist()], pa.list_(pa.int64())),
+            pa.array([*none, _signed(_ids(sets, at))], pa.list_(pa.int64())),
+            pa.array([*none, n.astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([*none, bits], pa.list_(pa.int64())),
+            pa.array([*none, _signed(_minima(sets, at)).reshape(-1)], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=DEALT_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        chunk = TaskContext.get().partitionId() << 32
+        held, docs, size = [], 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tok, n, i, sid = (np.asarray(batch.column(c)) for c in range(4))
-            old = 0
-            if tail is not None and tail[0][0] == tok[0]:
-                old = len(tail[0])
-                tok, n, i, sid = (np.concatenate([x, y]) for x, y in zip(tail, (tok, n, i, sid), strict=True))
-            n, i = n.astype(np.int64), i.astype(np.int64)
-            x, found = np.arange(len(tok)), []
-            for step in range(1, reach + 2):
-                x = x[x + step < len(tok)]
-                x = x[(tok[x + step] == tok[x]) & (_need(n[x + step], percent) <= n[x])]
-                if not len(x):
-                    break
-                a, b = x, x + step
-                if step > reach:
-                    found += [(sid[a], sid[a]), (sid[b], sid[b])]
-                    break
-                fits = (b >= old) & (sid[a] != sid[b]) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= _overlap(n[a], n[b], percent))
-                found.append((np.minimum(sid[a][fits], sid[b][fits]), np.maximum(sid[a][fits], sid[b][fits])))
-            last = max(int(np.searchsorted(tok, tok[-1])), len(tok) - reach - 1)
-            tail = tok[last:], n[last:], i[last:], sid[last:]
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                order = np.lexsort((b, a))
-                one = order[_runs(a[order], b[order])]
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
+            for a, b, sets, at in _sets(batch.column(1), k):
+                for r in range(0, b - a, CHUNK_DOCS):
+                    e = min(r + CHUNK_DOCS, b - a)
+                    if held and (docs + e - r > CHUNK_DOCS or size + at[e] - at[r] > CHUNK_TOKENS):
+                        yield chunk_rows(chunk, held)
+                        chunk, held, docs, size = chunk + 1, [], 0, 0
+                    held.append((batch.column(0).slice(a + r, e - r), sets[at[r] : at[e]], np.diff(at[r : e + 1])))
+                    docs, size = docs + e - r, size + int(at[e] - at[r])
+        if held:
+            yield chunk_rows(chunk, held)
 
     return run
 
 
-def _contents(k: int, chosen):
-    """Sets of the documents that the bitmap names: shingles, a parity bitmap, min-hashes."""
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole ranges: each chunk's shingles that two documents or more hold, with the class of their number (idx: 3 bytes an entry)."""
+    rows, heads = [], []
+    for batch in batches:
+        is_head = batch.column("n").is_valid()
+        heads = batch.filter(is_head)
+        if heads.num_rows:
+            yield pa.RecordBatch.from_arrays([heads.column("chunk"), pa.array([True] * heads.num_rows), *[heads.column(c) for c in DEALT_ARROW.names[2:]]], schema=ANSWERED_ARROW)
+        own = batch.filter(pc.invert(is_head))
+        for r in range(own.num_rows):
+            hot, hot_n = (np.asarray(own.column(c)[r].values, dtype=np.int64) for c in ("hot", "hotn"))
+            rows.append((own.column("chunk")[r].as_py(), _unpack(own.column("toks")[r].as_py()), own.column("idx")[r].as_py(), hot.view(np.uint64), hot_n))
+    if not rows:
+        return
+    few = np.sort(np.concatenate([x[1] for x in rows]))
+    begins = _runs(few)
+    tok = np.concatenate([few[begins], *[x[3] for x in rows]])
+    count = np.concatenate([np.diff(np.append(begins, len(few))), *[x[4] for x in rows]])
+    order = np.argsort(tok, kind="stable")
+    tok, count = tok[order], count[order]
+    begins = _runs(tok)
+    tok, count = tok[begins], np.add.reduceat(count, begins)
+    rank = np.where(count == 1, 0, np.minimum(1 + np.floor(8 * np.log2(count)), 255)).astype(np.uint8)
+    for x in range(0, len(rows), 4096):
+        out = []
+        for chunk, toks, idx, hot, _ in rows[x : x + 4096]:
+            cls, hot_cls = rank[np.searchsorted(tok, toks)], rank[np.searchsorted(tok, hot)]
+            keep = cls > 0
+            if keep.any() or len(hot):
+                out.append((chunk, _pack(toks[keep]), np.frombuffer(idx, np.uint16)[keep].tobytes() + cls[keep].tobytes(), _signed(hot), hot_cls.astype(np.int64)))
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        none = [None] * len(out)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([False] * len(out), pa.bool_()), *[pa.array(cols[i], ANSWERED_ARROW.field(i + 1).type) for i in range(1, 5)], *[pa.array(none, ANSWERED_ARROW.field(i).type) for i in range(6, 11)]], schema=ANSWERED_ARROW)
+
+
+def _assemble(percent: int):
+    """Heads and answers sorted by chunk, heads first: a row a document, with contents if its prefix holds shared shingles."""
+
+    def documents(head: dict, answers: list) -> pa.RecordBatch:
+        doc, sid, n = head["doc"], np.asarray(head["sid"]), np.asarray(head["n"]).astype(np.int64)
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint8))]
+        hot = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for toks, body, hot_tok, hot_cls in answers:
+            m = len(body) // 3
+            parts.append((_unpack(toks), np.frombuffer(body, np.uint16, m), np.frombuffer(body, np.uint8, m, 2 * m)))
+            hot.append((hot_tok, hot_cls))
+        tok, row, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hot_tok, hot_cls = (np.concatenate(x) for x in zip(*hot, strict=True))
+        key = np.asarray(head["hot"], dtype=np.int64).view(np.uint64)
+        if len(key):
+            order = np.argsort(hot_tok)
+            at = order[np.searchsorted(hot_tok[order], (key >> np.uint64(16)).view(np.int64))]
+            tok, row, cls = np.append(tok, key >> np.uint64(16)), np.append(row, (key & np.uint64(0xFFFF)).astype(np.uint16)), np.append(cls, hot_cls[at].astype(np.uint8))
+        shared = np.bincount(row, minlength=len(n))
+        alone = n - shared
+        prefix = n - _need(n, percent) + 1
+        live = (n > 0) & (alone < prefix)
+        mine = live[row]
+        tok, row, cls = tok[mine], row[mine].astype(np.int64), cls[mine]
+        order = np.lexsort((tok, row))
+        tok, row, cls = tok[order], row[order], cls[order]
+        kept = np.where(live, shared, 0)
+        at = np.append(0, np.cumsum(kept))
+        by_class = np.argsort(row * 256 + cls, kind="stable")
+        rank = np.arange(len(tok)) - at[row]  # of rows in class order too, as their numbers are the same
+        head_of = by_class[rank < (prefix - alone)[row]]
+        head_n = np.where(live, np.minimum(prefix - alone, shared), 0)
+        width = np.where(live, _width(n) // 64, 0)
+        words_at = np.append(0, np.cumsum(_width(n) // 64))
+        take = np.repeat(words_at[:-1], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        mins = np.asarray(head["mins"]).reshape(-1, ROUNDS)
+        return pa.RecordBatch.from_arrays(
+            [doc, pa.array(sid), pa.array(n.astype(np.int32)), pa.array(live), pa.array(alone.astype(np.int32)), _list_column(_signed(tok[head_of]), np.append(0, np.cumsum(head_n))), _list_column(_signed(tok), at), _list_column(np.asarray(head["bits"])[take], np.append(0, np.cumsum(width))), *[pa.array(mins[:, r]) for r in range(ROUNDS)]],
+            ["doc_id", "sid", "n", "live", "alone", "prefix", "toks", "bits", *[f"mh{r}" for r in range(ROUNDS)]],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = chosen.value
+        chunk, head, answers = None, None, []
         for batch in batches:
-            doc = np.asarray(batch.column(0).fill_null(0))
-            for a, b, sets, at in _sets(batch.column(1), k):
-                n, sid = np.diff(at), _ids(sets, at)
-                place = _map_place(sid, doc[a:b])
-                take = np.flatnonzero((n > 0) & ((bitmap[place >> 3] >> (place & 7)) & 1).astype(bool))
-                if not len(take):
-                    continue
-                lists = [sets[at[r] : at[r + 1]] for r in take]
-                flat, first = np.concatenate(lists), np.append(0, np.cumsum(n[take]))
-                mins = [_signed(np.minimum.reduceat(mix(flat ^ np.uint64(r * 0x082EFA98EC4E6C89 + 1 & (1 << 64) - 1)), first[:-1])) for r in range(ROUNDS)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(sid[take])), pa.array(n[take].astype(np.int32)), _list_column(_signed(flat), first), _parity(flat, first), *[pa.array(m) for m in mins]],
-                    ["sid", "n", "toks", "bits", *[f"mh{r}" for r in range(ROUNDS)]],
-                )
+            chunks, is_head = batch.column("chunk").to_pylist(), batch.column("head").to_pylist()
+            for r in range(batch.num_rows):
+                if chunks[r] != chunk:
+                    if head is not None:
+                        yield documents(head, answers)
+                    chunk, head, answers = chunks[r], None, []
+                if is_head[r]:
+                    head = {c: batch.column(c)[r].values for c in ("doc", "sid", "n", "bits", "mins", "hot")}
+                else:
+                    answers.append((batch.column("toks")[r].as_py(), batch.column("idx")[r].as_py(), *[np.asarray(batch.column(c)[r].values, dtype=np.int64) for c in ("hot", "hotn")]))
+        if head is not None:
+            yield documents(head, answers)
 
     return run
 
@@ -248,13 +307,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct numbers."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
 
 
 def _stars(percent: int):
-    """Rows (key, salt, n, sid, toks) sorted by group and descending size: (sid, leader, distance) for each set that joins a leader."""
+    """Rows (key, salt, n, sid, toks) sorted by group and descending size: each set that joins a leader, and its difference to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []
@@ -265,210 +326,247 @@ def _stars(percent: int):
             for r in range(batch.num_rows):
                 if group != (key[r], salt[r]):
                     group, leaders = (key[r], salt[r]), []
-                toks = np.sort(flat[at[r] : at[r + 1]])
+                toks = flat[at[r] : at[r + 1]]
                 for m, lead, own in leaders:
                     if 100 * n[r] < percent * m:
                         continue
                     both = _common(toks, own)
                     if 100 * both >= percent * (n[r] + m - both):
-                        out.append((sid[r], lead, 1 - both / (n[r] + m - both)))
+                        out.append((sid[r], lead, np.setdiff1d(toks, own, True), np.setdiff1d(own, toks, True)))
                         break
                 else:
                     leaders.append((n[r], sid[r], toks))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out]) for i in range(3)], ["sid", "star", "d"])
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), *[pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]], ["sid", "lead", "more", "less"])
 
     return run
 
 
-def _spread(percent: int):
-    """Index entries (tok, star, n, i) of a partition's sets, one (the least i) for each tok, star and size."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sid, star, n, alone, prefix, bits): index entries (tok, n, i, star, sid, bits)."""
+    for batch in batches:
+        for x in range(0, batch.num_rows, 256):
+            part = batch.slice(x, 256)
+            toks = part.column(4)
+            offs = np.asarray(toks.offsets)
+            size = np.diff(offs)
+            row = np.repeat(np.arange(part.num_rows), size)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.asarray(part.column(3))[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([toks.values.slice(offs[0], len(row)), part.column(2).take(take), pa.array(rank.astype(np.int32)), part.column(1).take(take), part.column(0).take(take), part.column(5).take(take)], ["tok", "n", "i", "star", "sid", "bits"])
+
+
+class _Lists:
+    """Complete index lists, as arrays sorted by list, size and position."""
+
+    def __init__(self, batch: pa.RecordBatch, percent: int) -> None:
+        self.percent = percent
+        self.tok, self.cell, self.n, self.i, self.star, self.sid, self.side = (np.asarray(batch.column(c)) for c in range(7))
+        self.n, self.i = self.n.astype(np.int64), self.i.astype(np.int64)
+        offs = np.asarray(batch.column(7).offsets).astype(np.int64)
+        self.words, self.at, self.wide = np.asarray(batch.column(7).values).view(np.uint64), offs[:-1], np.diff(offs)
+        self.begins = _runs(self.tok, self.cell)
+        self.ends = np.append(self.begins[1:], len(self.tok))
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sizes and positions of the entries leave enough common shingles (size of a at most that of b)."""
+        na, nb = self.n[a], self.n[b]
+        return (_need(nb, self.percent) <= na) & (np.minimum(na - self.i[a], nb - self.i[b]) >= _overlap(na, nb, self.percent))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of entries of different stars whose bitmaps allow a link, and the least distance that they show."""
+        ok = (self.star[a] != self.star[b]) & ((self.side[a] != self.side[b]) | (self.side[a] < 0))
+        a, b = a[ok], b[ok]
+        differ = np.zeros(len(a), np.int64)
+        shapes = self.wide[a] * (1 << 32) + self.wide[b]
+        for shape in np.unique(shapes).tolist():
+            wa, wb = shape >> 32, shape & (1 << 32) - 1
+            w, of = min(wa, wb), np.flatnonzero(shapes == shape)
+            for x in range(0, len(of), 1 + (1 << 20) // w):
+                some = of[x : x + 1 + (1 << 20) // w]
+                left, right = (np.bitwise_xor.reduce(self.words[self.at[e][:, None] + np.arange(we)].reshape(len(e), we // w, w), axis=1) for e, we in ((a[some], wa), (b[some], wb)))
+                differ[some] = np.bitwise_count(left ^ right).sum(1)
+        na, nb = self.n[a], self.n[b]
+        most = np.minimum((na + nb - differ) // 2, na)
+        ok = most >= _overlap(na, nb, self.percent)
+        return a[ok], b[ok], (1 - most / (na + nb - most))[ok]
+
+    def short(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of all lists of up to SHORT entries: each entry with those one further, two further, ..."""
+        size = self.ends - self.begins
+        end = np.repeat(np.where(size <= SHORT, self.ends, 0), size)
+        x = np.arange(len(self.tok))
+        for step in range(1, SHORT):
+            x = x[x + step < end[x]]
+            if not len(x):
+                return
+            yield self.near(*(e[self.fits(x, x + step)] for e in (x, x + step)))
+
+    def long(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of the longer lists, block by block: a block is one size and position, and is skipped whole."""
+        for g in np.flatnonzero(self.ends - self.begins > SHORT).tolist():
+            b, e = int(self.begins[g]), int(self.ends[g])
+            if (self.star[b:e] == self.star[b]).all():
+                continue
+            first = b + _runs(self.n[b:e], self.i[b:e])
+            size = np.diff(np.append(first, e))
+            for y in range(len(first)):
+                x = np.flatnonzero(self.fits(first[: y + 1], np.repeat(first[y], y + 1)))
+                if not len(x):
+                    continue
+                others = np.repeat(first[x] - np.cumsum(size[x]) + size[x], size[x]) + np.arange(size[x].sum())
+                mine = np.arange(first[y], first[y] + size[y])
+                step = 1 + (1 << 18) // len(others)
+                for z in range(0, len(mine), step):
+                    left, right = np.tile(others, len(mine[z : z + step])), np.repeat(mine[z : z + step], len(others))
+                    ahead = left < right
+                    yield self.near(left[ahead], right[ahead])
+
+
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the edges a-b make a forest that connects all that they connect, the shortest first."""
+    root: dict[int, int] = {}
+    keep = []
+    for e in np.argsort(d, kind="stable").tolist():
+        ends = []
+        for x in (int(a[e]), int(b[e])):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            ends.append(x)
+        if ends[0] != ends[1]:
+            root[max(ends)] = min(ends)
+            keep.append(e)
+    return np.asarray(keep, np.int64)
+
+
+def _pairs(percent: int, forest: bool):
+    """Index lists (tok, cell, n, i, star, sid, side, bits), sorted: pairs (a, b) that may link, of different stars.
+
+    With `forest` only so many of a batch's lists as connect the stars, the shortest first.
+    """
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        lists = _Lists(batch, percent)
+        parts = [x for search in (lists.short, lists.long) for x in search() if len(x[0])]
+        if not parts:
+            return None
+        a, b, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sid = np.sort(np.stack([lists.sid[a], lists.sid[b]]), axis=0)
+        order = np.lexsort((sid[1], sid[0]))
+        one = order[_runs(sid[0][order], sid[1][order])]
+        if forest:
+            one = one[_forest(lists.star[a[one]], lists.star[b[one]], d[one])]
+        return pa.RecordBatch.from_arrays([pa.array(sid[0][one]), pa.array(sid[1][one])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            star, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            flat, at = np.asarray(batch.column(2).values), np.asarray(batch.column(2).offsets)
-            size = np.diff(at)
-            row = np.repeat(np.arange(len(star)), size)
-            tok, i = flat[at[0] : at[-1]], np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            order = np.lexsort((i, n[row], star[row], tok))
-            tok, s, m, i = tok[order], star[row][order], n[row][order], i[order]
-            one = _runs(tok, s, m)
-            yield pa.RecordBatch.from_arrays([pa.array(tok[one]), pa.array(s[one]), pa.array(m[one]), pa.array(i[one].astype(np.int32))], ["tok", "star", "n", "i"])
+            tok, cell = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            last = int(_runs(tok, cell)[-1])  # the list that may go on
+            ended = last > 0 or (held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (tok[0], cell[0]))
+            if ended:
+                whole = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+                held = []
+                if whole and (out := found(whole[0])) is not None:
+                    yield out
+            held.append(batch.slice(last))
+        if held and (out := found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
+            yield out
 
     return run
 
 
-def _list_pairs(percent: int):
-    """Index lists (rows sorted by tok, n): pairs of different stars that may hold linked sets.
+def _candidates(sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of sets (sid, star, n, alone, prefix, bits) of different stars that may link."""
+    shared = cut(sets.select("star", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min("star").alias("low"), F.max("star").alias("high")).where("low < high").select("tok", F.ceil(F.col("m") * 2 / LIST).cast("int").alias("parts")))
+    entries = sets.select("sid", "star", "n", "alone", "prefix", "bits").mapInArrow(_spread, "tok long, n int, i int, star long, sid long, bits array<long>").join(shared, "tok")
+    mine = F.when(F.col("parts") > 2, F.pmod(F.xxhash64("sid"), "parts")).otherwise(0).cast("int")
+    entries = entries.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("parts") > 2, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))))
+    cell = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine"))
+    dealt = entries.select("tok", cell.alias("cell"), "n", "i", "star", "sid", side.alias("side"), "bits").repartition("tok", "cell").sortWithinPartitions("tok", "cell", "n", "i", "sid")
+    return cut(dealt.mapInArrow(_pairs(percent, forest), "a long, b long").distinct())
 
-    A list is cut into blocks of one size; the blocks beyond the largest fitting size are skipped
-    by binary search, and so are entries whose positions leave too few shingles after the first
-    common one. Lists may go on over batches; only the sizes that can still fit are kept.
+
+def _derived(percent: int):
+    """Rows (a, b, na, nb, lead, ta, tl, more, less) sorted by a and lead: the pairs (a, b) that link.
+
+    The overlap of a with b is that with b's leader, and the part of b's difference that a holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_tok, window = None, None
+        last, base, ta = None, 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tok, star, n, i = (np.asarray(batch.column(c)) for c in range(4))
-            n, i = n.astype(np.int64), i.astype(np.int64)
-            begins = _runs(tok)
-            ends = np.append(begins[1:], len(tok))
-            goes_on = open_tok is not None and open_tok == tok[0]
-            todo = np.flatnonzero((ends - begins > 1) | ((begins == 0) & goes_on) | (ends == len(tok)))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for g in todo.tolist():
-                b, e = int(begins[g]), int(ends[g])
-                s, m, p, old = star[b:e], n[b:e], i[b:e], 0
-                if b == 0 and goes_on and window is not None:
-                    old = len(window[0])
-                    s, m, p = (np.concatenate([x, y]) for x, y in zip(window, (s, m, p), strict=True))
-                if len(s) > 1 and (s != s[0]).any():
-                    least = np.searchsorted(m, _need(m, percent))  # the first entry large enough for each
-                    for y in range(max(old, 1), len(s)):
-                        x = slice(int(least[y]), y)
-                        fits = (s[x] != s[y]) & (1 + np.minimum(m[x] - p[x], m[y] - p[y]) - 1 >= _overlap(m[x], m[y], percent))
-                        if fits.any():
-                            other = np.unique(s[x][fits])
-                            found.append((np.minimum(other, s[y]), np.maximum(other, s[y])))
-                if e == len(tok):
-                    keep = m >= _need(m[-1:], percent)[0]
-                    open_tok, window = tok[-1], (s[keep], m[keep], p[keep])
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                one = _runs(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
+            a, b, na, nb, lead = (np.asarray(batch.column(c)).tolist() for c in range(5))
+            lists = [(np.asarray(batch.column(c).values), np.asarray(batch.column(c).offsets)) for c in range(5, 9)]
+            got = []
+            for r in range(batch.num_rows):
+                of = lambda c: lists[c][0][lists[c][1][r] : lists[c][1][r + 1]]  # noqa: B023, E731
+                if last != (a[r], lead[r]):
+                    last, ta = (a[r], lead[r]), of(0)
+                    base = _common(ta, of(1))
+                both = base + _common(ta, of(2)) - _common(ta, of(3))
+                if 100 * both >= percent * (na[r] + nb[r] - both):
+                    got.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[r] for r in got], pa.int64()) for x in (a, b)], ["a", "b"])
 
     return run
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, ta, tb) with both contents: (a, b, both), the size of the intersection."""
-    for batch in batches:
-        (fa, oa), (fb, ob) = ((np.asarray(batch.column(c).values), np.asarray(batch.column(c).offsets)) for c in (2, 3))
-        both = [_common(np.sort(fa[oa[r] : oa[r + 1]]), np.sort(fb[ob[r] : ob[r + 1]])) for r in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int32())], ["a", "b", "both"])
-
-
-def _within(pairs: DataFrame, heads: DataFrame, bound: float) -> DataFrame:
-    """(a, b, na, nb) of the pairs whose parity bitmaps allow a distance within `bound` (about two bits a shingle travel)."""
-    head = lambda x: heads.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    half = lambda x: (F.size(x) / 2).cast("int")
-    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
-    one = lambda x, y: F.when(F.size(x) == 2 * F.size(y), fold(x)).otherwise(F.col(x))
-    bits = F.zip_with(one("bitsa", "bitsb"), one("bitsb", "bitsa"), lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0)))
-    differ = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
-    most = F.least((F.col("na") + F.col("nb") - differ) / 2, F.col("na"), F.col("nb"))
-    both = pairs.join(head("a"), "a").join(head("b"), "b")
-    return both.where(1 - most / (F.col("na") + F.col("nb") - most) <= bound + 1e-9).select("a", "b", "na", "nb")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
-    """(a, b, d): the distances of pairs (a, b) of sets, of those within `bound` only; bitmaps are held against each other before contents."""
-    near = cut(_within(pairs, sets, bound))
-    body = lambda x: sets.select(F.col("sid").alias(x), F.col("toks").alias(f"t{x}"))
-    both = near.select("a", "b").join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_distances, "a long, b long, both int")
-    out = near.join(both, ["a", "b"])
-    return cut(out.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"), "na", "nb", "both")).where(F.col("d") <= bound + 1e-9)
+def _linked(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the contents of `sets` and the differences of `members` to their leaders."""
+    diff = members.select(F.col("sid").alias("b"), "lead", "more", "less")
+    empty = F.array().cast("array<long>")
+    named = pairs.join(diff, "b", "left").select("a", "b", F.coalesce("lead", "b").alias("lead"), F.coalesce("more", empty).alias("more"), F.coalesce("less", empty).alias("less"))
+    body = lambda x, n, t: sets.select(F.col("sid").alias(x), F.col("n").alias(n), F.col("toks").alias(t))
+    full = named.join(body("a", "na", "ta"), "a").join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").join(body("lead", "nl", "tl"), "lead")
+    full = full.select("a", "b", "na", "nb", "lead", "ta", "tl", "more", "less").sortWithinPartitions("a", "lead", "b")
+    return cut(full.mapInArrow(_derived(percent), "a long, b long"))
 
 
 def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows (doc_id, sid, n) of every document, and (node, root) of the sets that are linked with others."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    limit = 1 - percent / 100
-    heavy = spark.sparkContext.broadcast(_heavy(texts, k))  # HEAVY_BOUND numbers at most
-    every = cut(texts.mapInArrow(_prefixes(k, percent, heavy), "doc_id long, sid long, n int, light int, place int, prefix array<long>, bits array<long>"))
-    rows = every.select("doc_id", "sid", "n")
-    unique = cut(every.where("n > 0").groupBy("sid").agg(F.first(F.struct("n", "light", "place", "prefix", "bits")).alias("x")).select("sid", "x.*"))
-
-    entries = unique.select("n", "sid", F.posexplode(F.slice("prefix", F.lit(1), F.col("light"))).alias("i", "tok")).select("tok", "n", "i", "sid").repartition("tok").sortWithinPartitions("tok", "n", "sid")
-    beside = cut(_within(entries.mapInArrow(_neighbours(percent), "a long, b long").distinct(), unique.select("sid", "n", "bits"), limit))
-    beside = beside.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("beside", F.lit(True))
-    chosen = cut(unique.join(beside, "sid", "left").where((F.col("light") < F.size("prefix")) | F.col("beside")).select("sid", "n", "place", "prefix"))
-    byte = F.col("place").bitwiseAND(7)
-    marks = chosen.groupBy(F.shiftright("place", 3).alias("at")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << x) for x in range(8)]), byte + 1)).alias("v")).toArrow()  # 2 ** (MAP_BITS - 3) rows at most
-    bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    if marks.num_rows:
-        bitmap[np.asarray(marks.column(0))] = np.asarray(marks.column(1)).astype(np.uint8)
+    range_bits = (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    dealt = texts.mapInArrow(_deal(k, range_bits), DEALT).repartition("part")
+    by_chunk = dealt.mapInArrow(_answer, ANSWERED).repartition("chunk").sortWithinPartitions("chunk", F.desc("head"))
     mins = ", ".join(f"mh{r} long" for r in range(ROUNDS))
-    wanted = spark.sparkContext.broadcast(bitmap)
-    sets = cut(texts.mapInArrow(_contents(k, wanted), f"sid long, n int, toks array<long>, bits array<long>, {mins}"))
-    if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # only where whole rows repeat
-        sets = cut(sets.dropDuplicates(["sid"]))
+    every = cut(by_chunk.mapInArrow(_assemble(percent), f"doc_id long, sid long, n int, live boolean, alone int, prefix array<long>, toks array<long>, bits array<long>, {mins}"))
+    rows = every.select("doc_id", "sid", "n")
+    sets = cut(every.where("live").drop("doc_id", "live").dropDuplicates(["sid"]))
 
     # Stars: leaders of one round that join another leader pass their members on.
-    star = sets.select("sid", F.col("sid").alias("star"), F.lit(0.0).alias("d"))
-    live = sets
+    star = sets.select("sid", F.col("sid").alias("star"))
+    members = None
     for r in range(ROUNDS):
-        counts = live.groupBy(F.col(f"mh{r}").alias("key")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        grouped = live.withColumnRenamed(f"mh{r}", "key").join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP)).cast("int"))
-        grouped = grouped.select("key", "salt", "n", "sid", "toks").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n"), "sid")
-        joined = cut(grouped.mapInArrow(_stars(percent), "sid long, star long, d double"))
-        up = joined.select(F.col("sid").alias("star"), F.col("star").alias("lead"), F.col("d").alias("dd"))
-        star = cut(star.join(up, "star", "left").select("sid", F.coalesce("lead", "star").alias("star"), (F.col("d") + F.coalesce("dd", F.lit(0.0))).alias("d")))
-        live = live.join(joined.select("sid"), "sid", "left_anti")
-        tied = joined.select(F.col("sid").alias("a"), F.col("star").alias("b"))
-        bonds = tied if r == 0 else bonds.unionByName(tied)
-
-    indexed = chosen.join(star, "sid").select("star", "n", "prefix").mapInArrow(_spread(percent), "tok long, star long, n int, i int")
-    listed = indexed.repartition("tok").sortWithinPartitions("tok", "n", "star", "i")
-    pairs = cut(listed.mapInArrow(_list_pairs(percent), "a long, b long").distinct())
-    radius = star.groupBy("star").agg(F.max("d").alias("r"))
-    widest = radius.agg(F.max("r")).first()[0] or 0.0
-    apart = _verify(pairs, sets, limit + 2 * widest)
-    linked = F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-    bonds = bonds.unionByName(apart.where(linked).select("a", "b"))
-    reach = lambda x: radius.select(F.col("star").alias(x), F.col("r").alias(f"r{x}"))
-    between = apart.where(~linked).join(reach("a"), "a").join(reach("b"), "b").where(F.col("d") <= limit + F.col("ra") + F.col("rb") + 1e-9).select("a", "b")
+        keys = (sets if r == 0 else sets.join(members.select("sid"), "sid", "left_anti")).select("sid", F.col(f"mh{r}").alias("key"))
+        many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        groups = cut(keys.join(many, "key").select("sid", "key", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP)).cast("int").alias("salt")))
+        grouped = groups.join(sets.select("sid", "n", "toks"), "sid").select("key", "salt", "n", "sid", "toks").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n"), "sid")
+        joined = cut(grouped.mapInArrow(_stars(percent), "sid long, lead long, more array<long>, less array<long>"))
+        star = cut(star.join(joined.select(F.col("sid").alias("star"), "lead"), "star", "left").select("sid", F.coalesce("lead", "star").alias("star")))
+        members = joined if members is None else members.unionByName(joined)
+    bonds = members.select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+
+    index = sets.select("sid", "n", "alone", "prefix", "bits").join(star, "sid")
+    bonds = bonds.unionByName(_linked(_candidates(index, percent, True), sets, members, percent))
     roots = components(bonds, "a", "b")
-    between = cut(_apart(between, roots))
-    if not between.isEmpty():
-        bonds = bonds.unionByName(_members(between, star, chosen, sets, percent))
-        roots = components(bonds, "a", "b")
+    index = index.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("star", F.coalesce("root", "star"))
+    more = _linked(_candidates(index, percent, False), sets, members, percent)
+    if not more.isEmpty():
+        roots = components(bonds.unionByName(more), "a", "b")
     return rows, roots
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not yet in one component."""
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root{x}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
-
-
-def _members(between: DataFrame, star: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of members of pairs of stars whose leaders leave it open.
-
-    Each member is held against the other leader first: this is linear, and a member further from
-    it than the limit plus the star's radius is out. The rest meets in common index entries only.
-    """
-    limit = 1 - percent / 100
-    sides = between.select("a", "b").unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mine = cut(sides.join(star.select(F.col("star").alias("a"), "sid"), "a").select("sid", F.col("a").alias("own"), F.col("b").alias("other")))
-    widest = star.agg(F.max("d")).first()[0] or 0.0
-    to_leader = _verify(mine.select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct(), sets, limit + widest)
-    linked = F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-    out = to_leader.where(linked).select("a", "b")
-    close = mine.join(to_leader.select(F.col("a").alias("sid"), F.col("b").alias("other")), ["sid", "other"])
-    entry = close.join(chosen.select("sid", F.explode("prefix").alias("tok")), "sid").select("sid", "tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
-    left = entry.where("own = x").select("x", "y", "tok", F.col("sid").alias("a"))
-    right = entry.where("own = y").select("x", "y", "tok", F.col("sid").alias("b"))
-    pairs = left.join(right, ["x", "y", "tok"]).select("a", "b").distinct()
-    return out.unionByName(_verify(pairs, sets, limit).where(linked).select("a", "b"))
-
-
 def join_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the least doc_id that links lead to."""
     rows, roots = links(docs, k, percent)
-    full = rows.where("n > 0").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("g"))
-    full = cut(full)
-    least = full.groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    full = cut(rows.where("n > 0").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("g")))
+    least = cut(full.groupBy("g").agg(F.min("doc_id").alias("component_id")))
     out = full.join(least, "g").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -477,6 +575,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each component: the one with the least doc_id.
 
     Rows that repeat the doc_id of a kept row go too; only if there are such ids are rows compared.
+    Rows with a null doc_id stay if their component has no doc_id, as do those without words.
     """
     found = cut(join_components(docs.select("doc_id", "text"), k, percent))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
