@@ -17,15 +17,21 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there: lost executors lose nothing.
 
+    What is returned knows nothing of the plan behind it. A checkpoint alone keeps the plan's
+    estimate of its size, in which every join multiplies; in loops the digits of that number
+    double with each round, until the planner does nothing but multiply.
+
     Then let Spark delete the shuffle files behind it. Spark does so once the driver has collected
     the plan that made them as garbage, which a driver with little to do may not for long; long
     chains of large shuffles then pile up, and so do their plans and generated code on its heap.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint()
-    del df
+        sc.setCheckpointDir(shared_folder(spark))
+    kept = df.checkpoint()
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+    del df, kept
     gc.collect()
     sc._jvm.System.gc()
     return out
