@@ -15,10 +15,12 @@ left over is small; each source's words then stay near its target.
 DataFrame functions only. Random numbers are hashes of the seed, the level and the document, so
 reruns agree.
 
+Equal rows are combined to one unit before. What a source then misses, or has too much, is made
+up by a copy more or less of a few documents that fit.
+
 Defined results: null text has size 0 and takes 0 words; sources are ordered by code point with
-null last; a source of size 0 has target 0; repeated rows are rounded as separate documents
-(those equal in all of doc_id, size and source share their draws); an empty table gives an empty
-mix. Extra columns are not read.
+null last; a source of size 0 has target 0; repeated rows share their joint copies as evenly as
+may be; an empty table gives an empty mix. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .state import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPS = 1e-9
+FLIPS = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -130,14 +133,59 @@ def round_copies(units: DataFrame, seed: int = 0, block: int = 128) -> DataFrame
     return total
 
 
-def mix_copies(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, block: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+def _settle(kinds: DataFrame, cap: float, seed: int, by: list[str]) -> DataFrame:
+    """`kinds` with `total` changed by one copy of a few documents, so that sources come close to their targets.
+
+    Rounding leaves a source within about one unit of its target, and a unit may be one huge
+    document. Of each source's documents at most FLIPS of each power of two in size, those with
+    the least hash, are asked in order of size; each that fits into what is missing (or too much)
+    gains (or loses) a copy.
+    """
+    off = kinds.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("total"))).alias("off"))
+    off = off.where(F.abs("off") >= 1).withColumnRenamed("source", "__s")
+    hashed = F.xxhash64(F.lit(seed), F.lit(-2), "doc_id", "size")
+    can = F.when(F.col("off") > 0, F.col("total") + 1 <= cap * F.col("rows")).otherwise(F.col("total") > 0)
+    open_ = kinds.join(off, F.col("source").eqNullSafe(F.col("__s"))).where(can & (F.col("size") > 0) & (F.col("size") <= F.abs("off")))
+    unit = F.struct(hashed.alias("h"), *by)
+    some = open_.groupBy("source", "off", F.floor(F.log2("size")).alias("class"), F.pmod(hashed, F.lit(FLIPS)).alias("of")).agg(F.min(unit).alias("x"))
+    asked = some.groupBy("source", "off").agg(F.sort_array(F.collect_list(F.struct("x.size", "x.h", *[F.col(f"x.{c}").alias(f"__{i}") for i, c in enumerate(by)])), asc=False).alias("xs"))  # FLIPS * 64 a source at most
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["size"] <= s["left"]
+        taken = F.when(fits, F.concat(s["xs"], F.array(x))).otherwise(s["xs"])
+        return F.struct((s["left"] - F.when(fits, x["size"]).otherwise(F.lit(0))).alias("left"), taken.alias("xs"))
+
+    start = F.struct(F.abs("off").alias("left"), F.slice("xs", 1, 0).alias("xs"))
+    flips = asked.select("source", F.signum("off").cast("long").alias("by"), F.explode(F.aggregate("xs", start, step)["xs"]).alias("x"))
+    flips = cut(flips.select("by", *[F.col(f"x.__{i}") for i in range(len(by))]))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & kinds[c].eqNullSafe(flips[f"__{i}"])
+    return kinds.join(flips, same, "left").withColumn("total", F.col("total") + F.coalesce("by", F.lit(0))).select(*kinds.columns)
+
+
+def mix_kinds(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, block: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, keep..., rows, source_size, target, total): equal rows, of which `total` copies are taken.
+
+    Equal rows are one unit: of their joint copies the whole part is certain and one fraction is
+    left to round, so that no number of equal rows makes a block large.
+    """
+    by = ["doc_id", "source", "size", *keep]
+    kinds = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep).groupBy(*by).agg(F.count(F.lit(1)).alias("rows")))
+    aims = targets(kinds.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, cap)
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("rows")
+    units = kinds.join(aims.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    units = cut(units.withColumn("sure", F.floor(due + EPS).cast("long")).withColumn("frac", F.greatest(due - F.col("sure"), F.lit(0.0))))
+    rounded = round_copies(units, seed, block).withColumn("total", F.col("sure") + F.col("got")).drop("sure", "frac", "got")
+    return _settle(cut(rounded.select(*by, "rows", "source_size", "target", "total")), cap, seed, by)
+
+
+def mix_copies(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, keep...) of every row of `docs`."""
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep))
-    aims = targets(sizes, weights, share, cap)
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = sizes.join(aims.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    units = cut(units.withColumn("sure", F.floor(due + EPS).cast("int")).withColumn("frac", F.greatest(due - F.col("sure"), F.lit(0.0))))
-    return round_copies(units, seed, block).select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("got")).cast("int").alias("copies"), *keep)
+    kinds = mix_kinds(docs, **how)
+    each = kinds.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("__i") <= F.col("total") % F.col("rows"), 1).otherwise(0)
+    return each.withColumn("copies", copies.cast("int")).drop("__i", "rows", "total")
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
@@ -145,14 +193,13 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
 
     Rows equal in doc_id, source and text are joined as one with their copies added up.
     """
-    mark = F.xxhash64("doc_id", "source", "text")
-    marked = docs.withColumn("__mark", mark)
-    taken = mix_copies(marked, keep=("__mark",), **how).groupBy("doc_id", "__mark").agg(F.sum("copies").cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows"))
-    taken = cut(taken)
+    marked = docs.withColumn("__mark", F.xxhash64("doc_id", "source", "text"))
+    taken = cut(mix_kinds(marked, keep=("__mark",), **how).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), F.col("total").alias("__n"), F.col("rows").alias("__rows")))
     if not taken.where("__rows > 1").isEmpty():
         marked = marked.dropDuplicates(["doc_id", "__mark"])
-    both = marked.join(taken.where("__n > 0").withColumnRenamed("doc_id", "__id"), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (marked["__mark"] == taken["__mark"]))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))
+    both = marked.join(taken.where("__n > 0"), same)
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[docs[c] for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 r"""Personal data: detected entities get keyed surrogates of the same type and format.
 
-Entities are found by one regular expression of anchored alternatives. A surrogate depends only on
-the key, the entity's type and its canonical value (case, separators and titles aside), so every
-mention of one entity in any document gets the same surrogate, in the mention's own format:
-digits for digits, letters for letters of the same case and script, separators kept. Cards keep
-their first digit and pass the Luhn test; telephone numbers keep the country code; e-mail domains
-are replaced as wholes under reserved names; names after a title follow its gender and their
-script (Latin, Cyrillic or Greek); addresses stay addresses.
+Entities are found by one regular expression of anchored alternatives. A surrogate is drawn by
+HMAC-SHA256 from a secret key, the entity's type and its canonical value (case, separators and
+titles aside), so every mention of one entity in any document gets the same surrogate, in the
+mention's own format: digits for digits, letters for letters of the same case and script,
+separators kept. Cards keep their first digit and pass the Luhn test; telephone numbers keep the
+country code; e-mail domains are replaced as wholes under reserved names; addresses stay
+addresses. Names after a title are replaced word by word, so that "Mr John Smith" and "Mr Smith"
+keep what they share: the last word is a family name, those before it are given names of the
+title's gender, all in the word's own script (Latin, Cyrillic or Greek) and case.
 
 Collision checks keep distinct entities distinct: all distinct entities of the input are held
 against each other's surrogates and against each other's values, and those that clash draw anew
@@ -16,23 +18,31 @@ that no number of distinct entities exhausts them; IP addresses, cards and socia
 their length, and have millions of values. Entities are few beside the texts, and are combined before
 they are shuffled.
 Only entities that had to draw anew travel back to documents; mostly there are none, and then the
-texts are rewritten in one pass without any shuffle.
+texts are rewritten in one pass without any shuffle. Up to SMALL of them are broadcast, more are
+joined.
 
 DataFrame functions only. Texts are matched whole; every quantifier is bounded or possessive and
 anchored at a token's start, so very long texts cost no more a character than short ones.
 
 Defined results: null text stays null with no entities; text without entities is unchanged;
-repeated rows are rewritten alike; an empty table gives an empty result; extra columns are kept,
-and those made here replace clashing ones.
+repeated rows are rewritten alike, whatever their doc_id, which is not read; an empty table gives
+an empty result; extra columns are kept, and those made here replace clashing ones.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .state import cut
 
+#: The setting that holds the secret key; where it is unset, a query draws one for its run.
+KEY_SETTING = "spark.larkspur.pii.key"
+SMALL = 100_000
+
 # Titles and the gender that they tell.
 FEMALE = ("Mrs", "Ms", "Miss", "Madame", "Mme", "Frau", "Señora", "Sra", "Госпожа", "Κυρία")
 MALE = ("Mr", "Monsieur", "Herr", "Señor", "Sr", "Господин", "Κύριος")
@@ -84,14 +94,19 @@ def canonical(kind: Column, e: Column) -> Column:
     """What mentions of one entity have in common; it begins with the kind."""
     digits = F.regexp_replace(e, r"[^0-9+]", "")
     secret = F.regexp_extract(e, r"([A-Za-z0-9_\-]+)$", 1)
-    name = F.regexp_replace(e, rf"^(?:{_TITLES})\.?[ ]", "")
-    value = F.when(kind == "email", F.lower(e)).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "password", secret).when(kind == "name", F.lower(name)).otherwise(e)
+    small = kind.isin("email", "given_f", "given_m", "family")
+    value = F.when(small, F.lower(e)).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "password", secret).otherwise(e)
     kept = F.when(kind == "password", F.lit("key")).otherwise(kind)  # one secret after a label or alone is one entity
     return F.concat(kept, F.lit(":"), value)
 
 
-def _stream(*by: Column) -> Column:
-    return F.sha2(F.concat_ws("\x01", *by), 256)
+def _stream(key: str, *by: Column) -> Column:
+    """64 hex digits: the HMAC-SHA256 of `by` under `key`."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    body = F.encode(F.concat_ws("\x01", *by), "UTF-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body), 256))), 256)
 
 
 def _bound(value: Column, body) -> Column:
@@ -139,39 +154,45 @@ def _pick(values: list[str], hexes: Column, at: int) -> Column:
 
 def _longer(hexes: Column, by: Column, values: list[str]) -> Column:
     """`by` of `values` joined, each from a stream of its own; empty for none."""
-    drawn = F.transform(F.sequence(F.lit(1), by), lambda i: _pick(values, _stream(hexes, i.cast("string")), 1))
+    drawn = F.transform(F.sequence(F.lit(1), by), lambda i: _pick(values, F.sha2(F.concat_ws(":", hexes, i.cast("string")), 256), 1))
     return F.when(by > 0, F.array_join(drawn, "")).otherwise("")
 
 
-def _name(e: Column, hexes: Column, attempt: Column) -> Column:
-    """Title kept, then as many names as before, the last longer by a syllable for every new draw."""
-    title = F.regexp_extract(e, rf"^((?:{_TITLES})\.?[ ])", 1)
-    rest = F.substring(e, F.length(title) + 1, F.length(e))
-    female = F.regexp_replace(title, r"[. ]", "").isin(*FEMALE)
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    n = F.size(F.split(rest, " "))
-    given, more = F.lit(None).cast("string"), F.lit(None).cast("string")
-    family = [F.lit(None).cast("string") for _ in range(2)]
+def _word(e: Column, kind: Column, hexes: Column, attempt: Column) -> Column:
+    """A given or family name in the script and case of `e`, longer by a syllable for every new draw."""
+    script = F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").when(e.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    made = F.lit(None).cast("string")
     for s in FAMILY:
-        both = F.when(female, _pick(GIVEN[f"{s}_f"], hexes, 1)).otherwise(_pick(GIVEN[f"{s}_m"], hexes, 1))
-        given = F.when(script == s, both).otherwise(given)
-        family = [F.when(script == s, _pick(FAMILY[s], hexes, 8 + 7 * i)).otherwise(f) for i, f in enumerate(family)]
-        more = F.when(script == s, _longer(hexes, attempt, SYLLABLES[s])).otherwise(more)
-    last = F.concat(family[0], more)
-    made = F.when(n == 1, last).when(n == 2, F.concat_ws(" ", given, last)).otherwise(F.concat_ws(" ", given, family[1], last))
-    return F.concat(title, made)
+        first = F.when(kind == "given_f", _pick(GIVEN[f"{s}_f"], hexes, 1)).when(kind == "given_m", _pick(GIVEN[f"{s}_m"], hexes, 1)).otherwise(_pick(FAMILY[s], hexes, 8))
+        made = F.when(script == s, F.concat(first, _longer(hexes, attempt, SYLLABLES[s]))).otherwise(made)
+    return F.when((F.upper(e) == e) & (F.length(e) > 1), F.upper(made)).otherwise(made)
+
+
+def _title(e: Column) -> Column:
+    return F.regexp_extract(e, rf"^((?:{_TITLES})\.?[ ])", 1)
+
+
+def _entities(e: Column, kind: Column) -> Column:
+    """What a mention consists of, as an array of (e, kind, canon): the words of a name, else the mention itself."""
+    title = _title(e)
+    given = F.when(F.regexp_replace(title, r"[. ]", "").isin(*FEMALE), "given_f").otherwise("given_m")
+    names = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
+    kinds = F.transform(names, lambda w, i: F.struct(w.alias("e"), F.when(i + 1 == F.size(names), "family").otherwise(given).alias("kind")))
+    whole = F.array(F.struct(e.alias("e"), kind.alias("kind")))
+    parts = F.when(kind == "name", kinds).otherwise(whole)
+    return F.transform(parts, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")))
 
 
 def surrogate(e: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a mention `e`; the same for all mentions of one canonical value, but for format."""
-    drawn = F.struct(e.alias("e"), kind.alias("kind"), attempt.alias("attempt"), _stream(F.lit(key), canon, attempt.cast("string")).alias("hexes"))
+    drawn = F.struct(e.alias("e"), kind.alias("kind"), attempt.alias("attempt"), _stream(key, canon, attempt.cast("string")).alias("hexes"))
     return _bound(drawn, lambda v: _drawn(v["e"], v["kind"], v["attempt"], v["hexes"], key))
 
 
 def _drawn(e: Column, kind: Column, attempt: Column, hexes: Column, key: str) -> Column:
     none = F.lit(0)
-    local, domain = F.substring_index(F.lower(e), "@", 1), F.substring_index(F.lower(e), "@", -1)
-    place = F.translate(F.substring(_stream(F.lit(key), F.lit("domain"), domain), 1, 10), "0123456789abcdef", "bcdfghjklmnpqrst")
+    local, domain = F.substring_index(e, "@", 1), F.substring_index(F.lower(e), "@", -1)
+    place = F.translate(F.substring(_stream(key, F.lit("domain"), domain), 1, 10), "0123456789abcdef", "bcdfghjklmnpqrst")
     label = F.regexp_extract(e, r"^(.*?)[A-Za-z0-9_\-]+$", 1)
     secret = F.regexp_extract(e, r"([A-Za-z0-9_\-]+)$", 1)
     prefix = F.when(secret.rlike("^AKIA"), 4).when(secret.rlike("^gh[pousr]_"), 3).when(secret.rlike("^sk-"), 2).otherwise(0)
@@ -183,7 +204,7 @@ def _drawn(e: Column, kind: Column, attempt: Column, hexes: Column, key: str) ->
         .when(kind == "card", _luhn(_fit_format(e, hexes, F.lit(1))))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_fit_format(e, hexes, none), F.lit(2), F.length(e))))
         .when(kind == "phone", F.concat(_fit_format(e, hexes, country), _longer(hexes, attempt - 3, DIGITS)))
-        .when(kind == "name", _name(e, hexes, attempt))
+        .when(kind.isin("given_f", "given_m", "family"), _word(e, kind, hexes, attempt))
         .otherwise(F.concat(label, _fit_format(secret, hexes, prefix), _longer(hexes, attempt, LETTERS)))
     )
 
@@ -196,8 +217,8 @@ def _mentions(text: Column) -> Column:
 def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     """(canon, attempt) of the entities whose first surrogate clashed, or None if there are none."""
     # explode() would have the texts searched twice more, by the filters that the optimizer derives from it
-    found = docs.select(F.explode_outer(_mentions(F.col("text"))).alias("e")).where("e IS NOT NULL").withColumn("kind", kind_of(F.col("e")))
-    found = found.withColumn("canon", canonical(F.col("kind"), F.col("e"))).groupBy("canon").agg(F.min("e").alias("e"), F.min("kind").alias("kind"))
+    found = docs.select(F.explode_outer(_mentions(F.col("text"))).alias("m")).where("m IS NOT NULL").select(F.explode_outer(_entities(F.col("m"), kind_of(F.col("m")))).alias("x"))
+    found = found.groupBy("x.canon").agg(F.min("x.e").alias("e"), F.min("x.kind").alias("kind"))
     drawn = cut(found.withColumn("attempt", F.lit(0)))
     while True:
         made = drawn.withColumn("made", surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("attempt"), key))
@@ -205,46 +226,60 @@ def redraws(docs: DataFrame, key: str) -> DataFrame | None:
         first = seen.groupBy("new").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n"))
         shared = first.where("n > 1")
         real = seen.select("canon").withColumnRenamed("canon", "new").join(first.select("new"), "new", "left_semi")
-        clash = shared.select("new", "owner").unionByName(real.select("new", F.lit(None).cast("string").alias("owner"))).groupBy("new").agg(F.min("owner").alias("owner"), F.max(F.col("owner").isNull()).alias("real"))
-        clash = cut(clash)
+        both = shared.select("new", "owner").unionByName(real.select("new", F.lit(None).cast("string").alias("owner")))
+        clash = cut(both.groupBy("new").agg(F.min("owner").alias("owner"), F.max(F.col("owner").isNull()).alias("real")))
         if clash.isEmpty():
             break
         again = seen.join(clash, "new", "left")
-        drawn = cut(again.select("canon", "e", "kind", (F.col("attempt") + F.when(F.col("real") | (F.col("owner") != F.col("canon")), 1).otherwise(0)).alias("attempt")))
+        anew = F.when(F.col("real") | (F.col("owner") != F.col("canon")), 1).otherwise(0)
+        drawn = cut(again.select("canon", "e", "kind", (F.col("attempt") + anew).alias("attempt")))
     again = drawn.where("attempt > 0").select("canon", "attempt")
     return None if again.isEmpty() else again
 
 
-def pseudonymize(docs: DataFrame, key: str = "larkspur") -> DataFrame:
-    """`docs` with its text rewritten, and `n_entities`. Needs doc_id only where surrogates clashed."""
+def _attempts(body: DataFrame, again: DataFrame) -> DataFrame:
+    """(__k, __m): for each text with entities that drew anew, by its hashes, their attempts by canonical value."""
+    each = body.where(F.size("__e") > 0).select("__k", F.explode("__e").alias("m")).select("__k", F.explode(_entities(F.col("m"), kind_of(F.col("m")))).alias("x"))
+    small = again.count() <= SMALL
+    each = each.select("__k", "x.canon").join(F.broadcast(again) if small else again, "canon").distinct()
+    return each.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("__m"))
+
+
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with its text rewritten under the secret `key`, and `n_entities`."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     columns = [c for c in docs.columns if c != "n_entities"]
     again = redraws(docs.select("text"), key)
     body = docs.select(*columns, _mentions(F.col("text")).alias("__e"))
     if again is not None:
-        each = body.where(F.size("__e") > 0).select("doc_id", F.explode("__e").alias("e"))
-        each = each.select("doc_id", canonical(kind_of(F.col("e")), F.col("e")).alias("canon")).distinct().join(again, "canon")
-        maps = each.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("__m"))
-        body = body.join(maps, "doc_id", "left")
+        body = body.withColumn("__k", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+        maps = cut(_attempts(body, again))
+        body = body.join(F.broadcast(maps) if maps.count() <= SMALL else maps, "__k", "left").drop("__k")
     else:
         body = body.withColumn("__m", F.lit(None).cast("map<string,int>"))
 
+    def replaced(x: Column) -> Column:
+        return surrogate(x["e"], x["kind"], x["canon"], F.coalesce(F.try_element_at(F.col("__m"), x["canon"]), F.lit(0)), key)
+
     def of(e: Column) -> Column:
-        def made(x: Column) -> Column:
-            return surrogate(x["e"], x["kind"], x["canon"], F.coalesce(F.try_element_at(F.col("__m"), x["canon"]), F.lit(0)), key)
+        def made(v: Column) -> Column:
+            words = F.array_join(F.transform(_entities(v["e"], v["kind"]), replaced), " ")
+            return F.when(v["kind"] == "name", F.concat(_title(v["e"]), words)).otherwise(words)
 
-        kinds = F.struct(e.alias("e"), kind_of(e).alias("kind"))
-        return _bound(kinds, lambda x: _bound(F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")), made))
+        return _bound(F.struct(e.alias("e"), kind_of(e).alias("kind")), made)
 
     parts = F.split(F.col("text"), ENTITY, -1)
     filled = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__s"), i), F.lit(""))))
     body = body.withColumn("__s", F.transform("__e", of))
     text = F.when(F.size("__e") > 0, F.array_join(filled, "")).otherwise(F.col("text"))
-    return body.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], F.coalesce(F.size("__e"), F.lit(0)).cast("long").alias("n_entities"))
+    n = F.coalesce(F.size("__e"), F.lit(0)).cast("long").alias("n_entities")
+    return body.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs)
+    return pseudonymize(docs, spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32))
 
 
 QUERIES = {"op9_pii": op9_pii}
