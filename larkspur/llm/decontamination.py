@@ -1,15 +1,23 @@
 r"""Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters and digits (A-Z lower-cased; bytes beyond ASCII count as letters). The
-benchmark's windows of `min_match` words are the seeds; a document's windows are hashed in the
-same way, each from its own words (no hash is rolled), and joined with them. Seeds on one diagonal join to runs, and the
-longest run is marked again and again, in the document and in the item, until no unmarked run of
-`min_match` words is left; a run that meets marked words is cut to its unmarked parts. An item is
-leaked into a document if the tiles cover at least `coverage` of the item's words, in any order.
+benchmark's windows of `min_match` words are the seeds; a document's windows that occur among
+them name the items that may be leaked. Such a pair is tiled: the longest match of unmarked words
+is found and all its non-overlapping places are marked in the document and in the item, again
+and again, until no match of `min_match` unmarked words is left. An item is leaked into a
+document if the tiles cover at least `coverage` of the item's words, in any order.
+
+Windows are hashed by running Karp-Rabin: the hash of the next window comes from the last one by
+taking out its first word and adding a new one (here for all windows at once, from running sums).
+The longest match is found by bisection, as two texts that share a window of some length share
+shorter ones too. Equal hashes are only candidates: what is marked has been compared word by word
+(by 64-bit hashes of the words).
 
 The benchmark is handled in blocks of at most about `block_words` words, each broadcast (its size
-is bound by the block) and held against all documents in one pass over the texts; nothing is
-shuffled, and a passage that thousands of documents share costs each of them alone.
+is bound by the block) and held against all documents in one pass over the texts. Nothing is
+shuffled, and a passage that thousands of documents share costs each of them alone. With more
+than one block, documents and what is found so far go through a checkpoint before the next, so
+that one block at a time is in memory.
 
 Defined results: null and empty texts and items match nothing; items shorter than `min_match`
 words must occur whole, as one run; repeated rows are judged one by one; repeated item ids with
@@ -18,105 +26,140 @@ different texts are separate items; an empty benchmark leaks nothing; extra colu
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import blocks, grams, words
+from .bytewords import blocks, words
+from .state import cut
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 BITS = 22
-
-
-def tile(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document place, item place, length) from equal windows of `width` words at `pairs`."""
-    runs: list[list[int]] = []
-    last: dict[int, list[int]] = {}
-    for i, j in sorted(pairs):
-        run = last.get(i - j)
-        if run and run[0] + run[2] - width + 1 == i:
-            run[2] += 1
-        else:
-            last[i - j] = run = [i, j, width]
-            runs.append(run)
-    heap = [(-n, i, j) for i, j, n in runs]
-    heapq.heapify(heap)
-    in_doc, in_item, out = set(), set(), []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        free = [t for t in range(-n) if i + t not in in_doc and j + t not in in_item]
-        if len(free) == -n:
-            in_doc.update(range(i, i - n))
-            in_item.update(range(j, j - n))
-            out.append((i, j, -n))
-            continue
-        begin = 0
-        for k in range(1, len(free) + 1):  # the unmarked parts go back
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if k - begin >= width:
-                    heapq.heappush(heap, (begin - k, i + free[begin], j + free[begin]))
-                begin = k
+_BASE = 0x9E3779B97F4A7C15
+_DOWN = pow(_BASE, -1, 1 << 64)
+
+
+class Running:
+    """Karp-Rabin hashes of all windows of a row of word hashes, of any width."""
+
+    def __init__(self, words_: np.ndarray):
+        turns = np.append(np.uint64(1), np.full(len(words_), _DOWN, np.uint64)).cumprod(dtype=np.uint64)
+        self.sums = np.append(np.uint64(0), np.cumsum(words_ * turns[:-1], dtype=np.uint64))
+        self.back = np.append(np.uint64(1), np.full(len(words_), _BASE, np.uint64)).cumprod(dtype=np.uint64)
+
+    def windows(self, width: int) -> np.ndarray:
+        """Sum of word[i + t] * DOWN ** t over the window's words, modulo 2 ** 64, for every i."""
+        if len(self.sums) <= width:
+            return np.zeros(0, np.uint64)
+        return (self.sums[width:] - self.sums[: len(self.sums) - width]) * self.back[: len(self.sums) - width]
+
+
+def _free(marked: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have no marked word."""
+    total = np.append(0, np.cumsum(marked))
+    return total[width:] == total[: len(total) - width]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document place, item place, length) of at least `width` words, the longest first."""
+    running, marked = (Running(doc), Running(item)), (np.zeros(len(doc), bool), np.zeros(len(item), bool))
+
+    def places(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        at = [np.flatnonzero(_free(m, n)) for m in marked]
+        return at, [r.windows(n)[x] for r, x in zip(running, at, strict=True)]
+
+    def shared(n: int) -> bool:
+        _, hashes = places(n)
+        return bool(np.isin(*hashes).any())
+
+    out: list[tuple[int, int, int]] = []
+    most = min(len(doc), len(item))
+    while most >= width and shared(width):
+        low, high = width, most  # windows of `low` words are shared
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if shared(mid) else (low, mid - 1)
+        (in_doc, in_item), (doc_hash, item_hash) = places(low)
+        where: dict[int, list[int]] = {}
+        for h, j in zip(item_hash.tolist(), in_item.tolist(), strict=True):
+            where.setdefault(h, []).append(j)
+        found, i = 0, -1
+        for h, d in zip(doc_hash.tolist(), in_doc.tolist(), strict=True):
+            if d < i or h not in where:
+                continue
+            where[h] = [j for j in where[h] if not marked[1][j : j + low].any()]
+            j = next((j for j in where[h] if np.array_equal(doc[d : d + low], item[j : j + low])), None)
+            if j is not None:
+                marked[0][d : d + low] = marked[1][j : j + low] = True
+                out.append((d, j, low))
+                found, i = found + 1, d + low
+        most = low if found else low - 1  # nothing: the hashes were equal by chance
     return out
 
 
 class Seeds:
-    """The windows of one block of the benchmark."""
+    """The windows of one block of the benchmark, by width: ascending hashes, and where each occurs."""
 
     def __init__(self, ids: list, texts: list[str | None], min_match: int):
-        self.ids, self.k = ids, min_match
-        column = pa.array([t or "" for t in texts], pa.large_string())
-        self.sizes, found = np.zeros(len(ids), np.int64), {}
-        for a, b, data, offs in blocks(column):
+        self.ids, self.words = ids, []
+        for _, _, data, offs in blocks(pa.array([t or "" for t in texts], pa.large_string())):
             h, _, first = words(data, offs, SEPARATOR)
-            self.sizes[a:b] = np.diff(first)
-            for width in {min(int(n), min_match) for n in np.diff(first) if n}:
-                g, at = grams(h, first, width)
-                for r in range(b - a):
-                    if min(self.sizes[a + r], min_match) == width:
-                        for j in range(at[r], at[r + 1]):
-                            found.setdefault(width, {}).setdefault(int(g[j]), []).append((a + r, int(j - at[r])))
-        self.at = found
-        self.keys = {w: np.array(sorted(x), np.uint64) for w, x in found.items()}
-        self.filter = {}
-        for w, keys in self.keys.items():
-            self.filter[w] = np.zeros(1 << BITS, bool)
-            self.filter[w][(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.words += np.split(h, first[1:-1])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.width = np.minimum(self.sizes, min_match)
+        self.at = {}
+        for width in np.unique(self.width[self.width > 0]).tolist():
+            mine = np.flatnonzero(self.width == width)
+            hashes = [Running(self.words[x]).windows(width) for x in mine]
+            h = np.concatenate(hashes)
+            item, place = np.repeat(mine, [len(x) for x in hashes]), np.concatenate([np.arange(len(x)) for x in hashes])
+            order = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[order], return_index=True)
+            sieve = np.zeros(1 << BITS, bool)
+            sieve[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.at[width] = keys, np.append(first, len(h)), item[order], place[order], sieve
+
+    def candidates(self, doc: np.ndarray, coverage: float) -> list[tuple[int, int]]:
+        """(width, item) of the items whose seeds in the document, even apart, could cover enough."""
+        out = []
+        running = Running(doc)
+        for width, (keys, first, item, place, sieve) in self.at.items():
+            g = running.windows(width)
+            g = np.unique(g[sieve[(g >> np.uint64(64 - BITS)).astype(np.int64)]])
+            spot = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            spot = spot[keys[spot] == g]
+            size = first[spot + 1] - first[spot]
+            each = np.repeat(first[spot] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            n = np.bincount(item[each], minlength=len(self.ids))  # every place of an item has one seed
+            out += [(width, x) for x in np.flatnonzero((n > 0) & (width * n >= coverage * self.sizes)).tolist()]
+        return out
 
     def leaks(self, texts: pa.Array, coverage: float) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
-        for a, _, data, offs in blocks(texts):
+        for a, b, data, offs in blocks(texts):
             h, _, first = words(data, offs, SEPARATOR)
-            n_words = np.diff(first)
-            for width, keys in self.keys.items():
-                g, at = grams(h, first, width)
-                hit = np.flatnonzero(self.filter[width][(g >> np.uint64(64 - BITS)).astype(np.int64)])
-                hit = hit[keys[np.minimum(np.searchsorted(keys, g[hit]), len(keys) - 1)] == g[hit]]
-                if not len(hit):
-                    continue
-                rows = np.searchsorted(at, hit, side="right") - 1
-                hit, rows = hit[n_words[rows] >= width], rows[n_words[rows] >= width]
-                ends = np.append(np.flatnonzero(np.diff(rows)) + 1, len(rows))
-                begin = 0
-                for end in ends.tolist() if len(rows) else []:
-                    r, pairs = int(rows[begin]), {}
-                    for i in hit[begin:end].tolist():
-                        for item, j in self.at[width][int(g[i])]:
-                            pairs.setdefault(item, []).append((i - int(at[r]), j))
-                    for item, p in pairs.items():
-                        n = int(self.sizes[item])
-                        if width * len({j for _, j in p}) < coverage * n:
-                            continue  # even apart, these windows can't cover enough
-                        tiles = tile(p, width)
-                        got = sum(t[2] for t in tiles)
-                        if got >= coverage * n:
-                            out[a + r].append({"item_id": self.ids[item], "coverage": got / n, "matched": got, "n_tiles": len(tiles), "tiles": [dict(zip(("doc_word", "item_word", "n_words"), t, strict=True)) for t in sorted(tiles)]})
-                    begin = end
+            for r in self._some(h, first):
+                doc = h[first[r] : first[r + 1]]
+                for width, item in self.candidates(doc, coverage):
+                    tiles = tile(doc, self.words[item], width)
+                    got, n = sum(t[2] for t in tiles), int(self.sizes[item])
+                    if got and got >= coverage * n:
+                        places = [dict(zip(("doc_word", "item_word", "n_words"), t, strict=True)) for t in sorted(tiles)]
+                        out[a + r].append({"item_id": self.ids[item], "coverage": got / n, "matched": got, "n_tiles": len(tiles), "tiles": places})
         return out
 
+    def _some(self, h: np.ndarray, first: np.ndarray) -> list[int]:
+        """The documents of a block that hold some seed: one running pass over all words of the block."""
+        hit = np.zeros(len(h), bool)
+        running = Running(h)
+        for width, (keys, _, _, _, sieve) in self.at.items():
+            g = running.windows(width)
+            maybe = np.flatnonzero(sieve[(g >> np.uint64(64 - BITS)).astype(np.int64)])
+            hit[maybe[keys[np.minimum(np.searchsorted(keys, g[maybe]), len(keys) - 1)] == g[maybe]]] = True
+        return np.unique(np.searchsorted(first, np.flatnonzero(hit), side="right") - 1).tolist()
+
 
 def _finder(shared, kind: str, coverage: float):
     @F.arrow_udf(kind)
@@ -134,19 +177,22 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, cov
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c == "leaks"])
     items = benchmark.select("item_id", "text").where("text is not null")
-    n_words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-n_words // (4 * block_words)) or 1
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = -(-size // (4 * block_words)) or 1
     kind = items.schema["item_id"].dataType.simpleString()
-    arrow = f"array<struct<item_id:{kind}" + ",coverage:double,matched:bigint,n_tiles:int,tiles:array<struct<doc_word:int,item_word:int,n_words:int>>>>"
-    out = F.expr(f"cast(array() as {arrow})")
+    tiles = "array<struct<doc_word:int,item_word:int,n_words:int>>"
+    found = f"array<struct<item_id:{kind},coverage:double,matched:bigint,n_tiles:int,tiles:{tiles}>>"
+    out = docs.withColumn("leaks", F.expr(f"cast(array() as {found})"))
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()  # about block_words words
         if not rows:
             continue
         shared = spark.sparkContext.broadcast(Seeds([r[0] for r in rows], [r[1] for r in rows], min_match))
-
-        out = F.concat(out, _finder(shared, arrow, coverage)(F.coalesce("text", F.lit(""))))
-    return docs.withColumn("leaks", out)
+        out = out.withColumn("leaks", F.concat("leaks", _finder(shared, found, coverage)(F.coalesce("text", F.lit("")))))
+        if n_blocks > 1:
+            out = cut(out)
+            shared.destroy()
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -48,7 +48,7 @@ from .state import components, cut
 
 TOK_BITS = 48
 CHUNK_DOCS = (1 << 16) - 1
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 HOT = 32  # a shingle of more documents of a chunk travels as a count
 GROUP = 256
 ROUNDS = 2

@@ -6,9 +6,12 @@ cross entropy is phrases * log2(sample size) / length, and the language that nee
 bits wins (ties: the first by name).
 
 Texts are read as lower-cased UTF-8 bytes; what is not a letter byte becomes one separator. The
-automata are dense transition tables, and many pieces of texts walk a table in step: a text is
-parsed in pieces of `PIECE` bytes, each from its first byte, and phrases are added up over the
-pieces, so the whole text counts and one very long text is as parallel as many short ones.
+automata are dense transition tables, and many pieces of `PIECE` bytes walk a table in step, so
+one very long text is as parallel as many short ones. Pieces are a matter of speed only: each is
+first parsed from its own first byte, then from the state in which the piece before it ends, up
+to the first phrase that begins at one place in both parses; from there on both are the same.
+Pieces that end in another state than before pass it on, until none does. So the phrases are
+those of one parse of the whole text.
 
 Bound on what is learned and broadcast: at most `n_excerpts` excerpts of `excerpt` characters a
 language and `max_languages` languages; more languages raise an error. The excerpts come from
@@ -83,23 +86,60 @@ class Automaton:
                 table[s, c] = t * self.width
         self.flat, self.root = table.ravel(), table[1].copy()
 
-    def phrases(self, steps: np.ndarray, active: list[int]) -> np.ndarray:
-        """Phrases of each piece; steps[t] has the pieces' t-th symbols, pieces sorted by length descending."""
+    def _walk(self, steps: np.ndarray, active: list[int], state: np.ndarray, begins: np.ndarray, until: bool) -> np.ndarray:
+        """Parse pieces (columns of `steps`, sorted by length descending) on from `state`, which is changed in place.
+
+        begins[t, piece] tells where phrases begin. With `until` it holds another parse: a piece
+        is left at the first phrase that begins in both, its state unchanged, and the parse is
+        overwritten up to there. Returns which pieces were left.
+        """
         begin = self.width
-        state = np.full(steps.shape[1], begin, np.int32)
-        count = np.zeros(steps.shape[1], np.int32)
+        synced = np.zeros(steps.shape[1], bool)
         for t, m in enumerate(active):
-            s = steps[t, :m]
-            to = self.flat[state[:m] + s]
+            lanes = np.flatnonzero(~synced[:m]) if until else slice(0, m)
+            if until and not len(lanes):
+                break
+            s, now = steps[t, lanes], state[lanes]
+            to = self.flat[now + s]
+            new = now == begin
             miss = np.flatnonzero(to == 0)
             if len(miss):
-                count[miss] += state[miss] != begin
+                new[miss] = True
                 again = self.root[s[miss]]
-                alone = again == 0  # a byte that the sample never has is a phrase by itself
-                count[miss] += alone
-                to[miss] = np.where(alone, begin, again)
-            state[:m] = to
-        return count + (state != begin)
+                to[miss] = np.where(again == 0, begin, again)  # a byte that the sample never has is a phrase by itself
+            if until:
+                same = new & begins[t, lanes]
+                synced[lanes[same]] = True
+                begins[t, lanes] = new
+                state[lanes[~same]] = to[~same]
+            else:
+                begins[t, :m] = new
+                state[:m] = to
+        return synced
+
+    def phrases(self, steps: np.ndarray, active: list[int], before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each piece; steps[t] has the pieces' t-th symbols, pieces sorted by length descending.
+
+        before[piece] is the piece that it follows in its text, or -1.
+        """
+        begins = np.zeros(steps.shape, bool)
+        ends = np.full(steps.shape[1], self.width, np.int32)
+        self._walk(steps, active, ends, begins, False)
+        length = np.zeros(steps.shape[1], np.int64)
+        for m in active:
+            length[:m] += 1
+        entered = np.full(steps.shape[1], self.width, np.int32)  # the state in which each piece was last parsed
+        while True:
+            now = np.where(before >= 0, ends[before], self.width)
+            todo = np.flatnonzero(now != entered)
+            if not len(todo):
+                return begins.sum(0)
+            entered[todo] = now[todo]
+            some = np.searchsorted(-length[todo], -np.arange(int(length[todo[0]])), side="left").tolist()
+            part, state = begins[:, todo], now[todo]
+            synced = self._walk(steps[:, todo], some, state, part, True)
+            begins[:, todo] = part
+            ends[todo[~synced]] = state[~synced]
 
 
 class Model:
@@ -132,9 +172,12 @@ class Model:
             for t in range(longest):
                 steps[t] = symbols[start + t]
             active = np.searchsorted(-length, -np.arange(longest), side="left").tolist()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            before = np.where(place[order] > 0, rank[np.maximum(order - 1, 0)], -1)
             bits = np.empty((len(self.langs), len(size)))
             for k, auto in enumerate(self.automata):
-                n = np.bincount(row, auto.phrases(steps, active), len(size))
+                n = np.bincount(row, auto.phrases(steps, active, before), len(size))
                 bits[k] = n * auto.bits / np.maximum(size, 1)
             win = bits.argmin(0)
             best[a:b] = win
@@ -143,11 +186,8 @@ class Model:
 
 
 def samples(labelled: DataFrame, n_excerpts: int = 96, excerpt: int = 320, max_languages: int = 256) -> dict[str, bytes]:
-    """Bounded excerpts by language from rows of (doc_id, text, lang); null lang and text are left out.
-
-    The first pass reads doc_id and lang only.
-    """
-    rows = labelled.where("lang is not null").withColumn("__h", F.xxhash64(F.col("doc_id").cast("string")))
+    """Bounded excerpts by language from rows of (doc_id, text, lang); null lang and texts without a letter are left out."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("__h", F.xxhash64(F.col("doc_id").cast("string")))
     bucket = F.pmod(F.xxhash64(F.lit(1), "__h"), F.lit(n_excerpts))
     least = rows.groupBy("lang", bucket.alias("b")).agg(F.min("__h").alias("h")).limit(n_excerpts * max_languages + 1).collect()
     if len({r["lang"] for r in least}) > max_languages or len(least) > n_excerpts * max_languages:
@@ -156,7 +196,7 @@ def samples(labelled: DataFrame, n_excerpts: int = 96, excerpt: int = 320, max_l
         return {}
     text = F.lower("text")
     at = F.pmod("__h", F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
-    chosen = rows.where(F.col("__h").isin([r["h"] for r in least]) & F.col("text").rlike(r"\p{L}")).select("lang", "__h", F.substring(text, at, F.lit(excerpt)).alias("x"))
+    chosen = rows.where(F.col("__h").isin([r["h"] for r in least])).select("lang", "__h", F.substring(text, at, F.lit(excerpt)).alias("x"))
     chosen = chosen.groupBy("lang", "__h").agg(F.min("x").alias("x"))  # repeated rows count once
     out: dict[str, list[str]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["__h"])):

@@ -2,20 +2,23 @@ r"""Quality classifier by co-training of a text view and a metadata view.
 
 Two logistic models see different columns: one the text's content (hashed words, repetition,
 symbols), one the page's metadata (source, language, length and layout of lines). Both start from
-the same labelled documents. In each round each model labels the documents of an unlabelled pool
-of which it is surest, in the proportion of the classes, and hands them to the other model. Then
-each view is calibrated on labelled documents that neither has seen, the calibrated log-odds are
-combined, and all documents are scored in one pass without a shuffle.
-
-Bounds on what is gathered: `max_labelled` labelled and `max_pool` unlabelled documents, those
-with the least hash of doc_id over all; features of fixed width. Models are fitted on the driver
-from these and broadcast (a few kB).
-
-Defined results: null text counts as empty, null metadata as the value "none"; labels that are null are left
-out and several labels of one document are averaged (ties: good); without labels of both classes
-every score is the share of good labels (0.5 without any). Repeated rows are scored alike; an
-empty table gives an empty result; extra columns are kept and those made here replace clashing
-ones.
+the same labelled documents. In each round both models score all unlabelled documents, in one
+pass over the table; each hands the documents of which it is surest, `per_round` in the
+proportion of the classes, to the other model as pseudo-labels. Then each view is calibrated on
+labelled documents that neither has seen, the calibrated log-odds are combined, and all documents
+are scored in one pass without a shuffle.
+
+Bounds on what is gathered: `max_labelled` labelled documents, those with the least hash of
+doc_id over all, and `per_round` pseudo-labels a view and round; features of fixed width. A
+partition hands on no more than `per_round` candidates a view, by doc_id. Models are fitted on
+the driver from these and broadcast (a few kB).
+
+Defined results: null text counts as empty, null metadata as the value "none", blank metadata as a
+value of its own; labels that are null are left out and several labels of one document are
+averaged (ties: good); without labels of both classes every score is the share of good labels
+(0.5 without any); of rows with one doc_id the one with the least hash is learned from, and rows
+with null doc_id are not. Repeated rows are scored alike; an empty table gives an empty result;
+extra columns are kept and those made here replace clashing ones.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SPACE, blocks, flat, grams, mix, words
+from .state import cut
 
 HASHED, SOURCES, LANGS = 256, 64, 16
 TEXT_WIDTH, META_WIDTH = HASHED + 8, SOURCES + LANGS + 5
@@ -70,7 +74,9 @@ def meta_features(texts: pa.Array, source: pa.Array, lang: pa.Array) -> np.ndarr
     rows = np.arange(len(texts))
     for column, at, width in ((source, 0, SOURCES), (lang, SOURCES, LANGS)):
         h, _, first = words(*flat(column.cast(pa.string()).fill_null("none")))
-        one = np.add.reduceat(np.append(h, np.uint64(0)), np.minimum(first[:-1], len(h))) if len(rows) else np.zeros(0, np.uint64)
+        one, full = np.zeros(len(rows), np.uint64), np.diff(first) > 0
+        if full.any():
+            one[full] = np.add.reduceat(h, first[:-1][full])
         out[rows, at + (one % np.uint64(width)).astype(np.int64)] = 1
     data, offs = flat(texts)
     data, offs = data[offs[0] : offs[-1]], offs - offs[0]
@@ -104,34 +110,34 @@ def _margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class CoTrained:
     """Two views' models, their calibrations and the combination's."""
 
-    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, share: float = 0.05):
+    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray):
         self.prior = float(y.mean()) if len(y) else 0.5
         self.views = None
         held = np.arange(len(y)) % 4 == 3
         if not (0 < y[~held].sum() < (~held).sum() and 0 < y[held].sum() < held.sum()):
             return
-        known = [[v[~held]] for v in labelled]
-        truth = [[y[~held]], [y[~held]]]
-        free = np.ones(len(pool[0]), bool)
-        fit = lambda v: _fit(np.concatenate(known[v]), np.concatenate(truth[v]))
-        views = [fit(0), fit(1)]
-        for _ in range(rounds):
-            n = int(share * len(free))
-            if n < 2 or free.sum() < 4 * n:
-                break
-            for v in (0, 1):
-                at = np.flatnonzero(free)
-                order = at[np.argsort(_margin(pool[v][at], views[v]), kind="stable")]
-                n_bad = max(1, round(n * (1 - self.prior)))
-                bad, good = order[:n_bad], order[len(order) - max(1, n - n_bad) :]
-                known[1 - v].append(pool[1 - v][np.append(bad, good)])
-                truth[1 - v].append(np.append(np.zeros(len(bad)), np.ones(len(good))))
-                free[bad] = free[good] = False
-            views = [fit(0), fit(1)]
-        z = [_margin(labelled[v][held], views[v]) for v in (0, 1)]
-        self.calibration = [_fit(z[v][:, None], y[held], 1e-3) for v in (0, 1)]
-        self.views = views
-        self.joint = _fit(np.stack([_margin(z[v][:, None], self.calibration[v]) for v in (0, 1)], 1), y[held], 1e-3)
+        self.held = [v[held] for v in labelled], y[held]
+        self.known = [[v[~held]] for v in labelled]
+        self.truth = [[y[~held]], [y[~held]]]
+        self._refit()
+
+    def _refit(self) -> None:
+        self.views = [_fit(np.concatenate(x), np.concatenate(t)) for x, t in zip(self.known, self.truth, strict=True)]
+        held, y = self.held
+        z = [_margin(x, w) for x, w in zip(held, self.views, strict=True)]
+        self.calibration = [_fit(m[:, None], y, 1e-3) for m in z]
+        self.joint = _fit(np.stack([_margin(m[:, None], c) for m, c in zip(z, self.calibration, strict=True)], 1), y, 1e-3)
+
+    def teach(self, lessons: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Refit with each view's lesson: features in that view, and labels that the other view gave."""
+        for v, (x, label) in enumerate(lessons):
+            self.known[v].append(x)
+            self.truth[v].append(label)
+        self._refit()
+
+    def __getstate__(self) -> dict:
+        """What scoring needs."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("held", "known", "truth")}
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text view, metadata view, both): calibrated probabilities of good quality."""
@@ -142,27 +148,76 @@ class CoTrained:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(_margin(np.stack(z, 1), self.joint))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, max_pool: int = 8000, rounds: int = 4) -> CoTrained:
-    """Fit on bounded samples of `docs` (doc_id, text, source, lang) and `labels` (doc_id, quality)."""
-    order = F.xxhash64(F.lit(17), "doc_id")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    some = known.orderBy(order, "doc_id").limit(max_labelled)
-    rest = docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(max_pool).withColumn("y", F.lit(-1))
-    ids = some.unionByName(rest).groupBy("doc_id").agg(F.max("y").alias("y"))  # max_labelled + max_pool rows at most
+def _features(batches):
+    """Rows (doc_id, y, text, source, lang): both views' features in place of the last three."""
+    for batch in batches:
+        t, m = text_features(batch.column(2)), meta_features(batch.column(2), batch.column(3), batch.column(4))
+        lists = [pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32())) for x in (t, m)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "y", "t", "m"])
+
+
+def _gather(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """doc_ids, `y` and both views' features of the documents that `ids` (doc_id, y; of bounded size) names, by doc_id."""
+    row = F.struct(F.xxhash64("text", "source", "lang").alias("h"), "text", "source", "lang")
+    body = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(row).alias("x")).select("doc_id", "y", "x.text", "x.source", "x.lang")
+    got = body.mapInArrow(_features, "doc_id long, y int, t array<float>, m array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    if not got.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), [np.zeros((0, w)) for w in (TEXT_WIDTH, META_WIDTH)]
+    wide = lambda c, w: np.asarray(got.column(c).combine_chunks().values, float).reshape(-1, w)
+    return np.asarray(got.column("doc_id").combine_chunks()), np.asarray(got.column("y").combine_chunks()), [wide("t", TEXT_WIDTH), wide("m", META_WIDTH)]
+
 
-    def features(batches):
+def _surest(model, known, most: tuple[int, int]):
+    """Rows (doc_id, text, source, lang): (view, y, rank, doc_id) of the `most` surest bad (y 0) and good (y 1) ones of a partition by view."""
+
+    def run(batches):
+        views, skip = model.value.views, known.value
+        best = {(v, y): (np.zeros(0), np.zeros(0, np.int64)) for v in (0, 1) for y in (0, 1)}
         for batch in batches:
-            t, m = text_features(batch.column(2)), meta_features(batch.column(2), batch.column(3), batch.column(4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(m.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["doc_id", "y", "t", "m"])
-
-    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    got = body.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text", "source", "lang").mapInArrow(features, "doc_id long, y int, t array<float>, m array<float>").toArrow().sort_by("doc_id")
-    y = np.asarray(got.column("y").combine_chunks()) if got.num_rows else np.zeros(0, np.int32)
-    wide = lambda c, w: np.asarray(got.column(c).combine_chunks().values, float).reshape(-1, w) if got.num_rows else np.zeros((0, w))
-    t, m = wide("t", TEXT_WIDTH), wide("m", META_WIDTH)
+            doc = np.asarray(batch.column(0))
+            free = ~np.isin(doc, skip)
+            both = text_features(batch.column(1)), meta_features(batch.column(1), batch.column(2), batch.column(3))
+            for (v, y), (rank, ids) in best.items():
+                z = np.round(_margin(both[v], views[v])[free], 6) * (-1 if y else 1)
+                rank, ids = np.append(rank, z), np.append(ids, doc[free])
+                order = np.lexsort((ids, rank))
+                _, first = np.unique(ids[order], return_index=True)
+                order = order[np.sort(first)][: most[y]]
+                best[v, y] = rank[order], ids[order]
+        for (v, y), (rank, ids) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(ids), pa.int32()), pa.array([y] * len(ids), pa.int32()), pa.array(rank), pa.array(ids)], ["view", "y", "rank", "doc_id"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, per_round: int = 400, rounds: int = 2) -> CoTrained:
+    """Fit on `docs` (doc_id, text, source, lang) and `labels` (doc_id, quality)."""
+    spark = docs.sparkSession
+    order = F.xxhash64(F.lit(17), "doc_id")
+    kept = [F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang")]]
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *kept)
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    ids, y, views = _gather(docs, known.orderBy(order, "doc_id").limit(max_labelled))
     turn = np.argsort(mix(np.arange(len(y), dtype=np.uint64)), kind="stable")
-    has, free = turn[y[turn] >= 0], turn[y[turn] < 0]
-    return CoTrained((t[has], m[has]), y[has].astype(float), (t[free], m[free]), rounds)
+    model = CoTrained((views[0][turn], views[1][turn]), y[turn].astype(float))
+    if model.views is None:
+        return model
+    n_bad = max(1, round(per_round * (1 - model.prior)))
+    most = n_bad, max(1, per_round - n_bad)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(np.sort(ids))
+        found = cut(docs.mapInArrow(_surest(*shared, most), "view int, y int, rank double, doc_id long").groupBy("view", "y", "doc_id").agg(F.min("rank").alias("rank")))
+        picks = [found.where((F.col("view") == v) & (F.col("y") == k)).orderBy("rank", "doc_id").limit(most[k]) for v in (0, 1) for k in (0, 1)]
+        named = cut(picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]))
+        if named.isEmpty():
+            break
+        lessons = []
+        for v in (0, 1):  # what the other view is sure of
+            got, label, views = _gather(docs, named.where(F.col("view") == 1 - v).select("doc_id", "y"))
+            lessons.append((views[v], label.astype(float)))
+            ids = np.append(ids, got)
+        model.teach(lessons)
+    return model
 
 
 def classify(docs: DataFrame, model: CoTrained) -> DataFrame:

@@ -14,6 +14,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this subpackage has written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there: lost executors lose nothing.
 

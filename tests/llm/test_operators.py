@@ -305,19 +305,37 @@ def test_language_id(spark, none):
     assert language_id.identify(none, labelled).count() == 0
 
 
-def test_phrases_against_brute_force():
-    sample, text = b"abracadabra abba", b"abbaxcadabzz abra"
-    model = language_id.Model({"a": sample})
-    used, import_np = model.used, pytest.importorskip("numpy")
-    steps = used[language_id.CLASS[import_np.frombuffer(text, import_np.uint8)]].reshape(-1, 1)
-    clean = lambda x: re.sub(rb"[^a-z]", b" ", x)
-    s, t, n, i = clean(sample), clean(text), 0, 0
-    while i < len(t):
+def brute_phrases(sample, text):
+    """Greedy longest matches by substring search; a byte that never occurs is a phrase by itself."""
+    n = i = 0
+    while i < len(text):
         j = i + 1
-        while j < len(t) and t[i : j + 1] in s:
+        while j <= len(text) and text[i:j] in sample:
             j += 1
-        n, i = n + 1, j
-    assert model.automata[0].phrases(steps, [1] * len(text))[0] == n
+        n, i = n + 1, max(j - 1, i + 1)
+    return n
+
+
+@pytest.mark.parametrize("piece", [3, 256])
+def test_language_id_against_brute_force(monkeypatch, piece):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rng = random.Random(piece)
+    say = {"xx": "ba bo bu be ab".split(), "yy": "ki ko ku ba".split(), "zz": "é ö bak".split()}
+    speak = lambda lang, n: " ".join("".join(rng.choices(say[lang], k=rng.randrange(1, 6))) for _ in range(n))
+    samples = {lang: speak(lang, 150).encode() for lang in say}
+    texts = [speak("xx", 900), speak("yy", 700) + speak("zz", 300), "q" * 700, "", "a", speak("zz", 1500), "bababa" * 400, "12" * 300 + "ki"]
+    model = language_id.Model(samples)
+    best, score = model.predict(pa.array(texts))
+    clean = lambda x: re.sub(rb"[^a-z\x80-\xff]", b" ", x)
+    for text, win, s in zip(texts, best, score, strict=True):
+        raw = clean(text.encode())
+        bits = [brute_phrases(clean(samples[lang]), raw) * math.log2(len(samples[lang])) / max(1, len(raw)) for lang in sorted(say)]
+        assert win == int(np.argmin(bits)) and s == pytest.approx(1 / sum(2 ** (-4 * (b - min(bits))) for b in bits))
 
 
 def test_decontamination(spark, docs, none):
@@ -331,17 +349,67 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminate(none, items).count() == 0
 
 
-def test_tiles_never_overlap():
+def brute_tiles(doc, item, width):
+    """Greedy string tiling by the book: of all matches of unmarked words the longest, the first in the document, then in the item."""
+    mine, theirs, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in mine and j + n not in theirs:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < width:
+            return out
+        out.append((i, j, n))
+        mine.update(range(i, i + n))
+        theirs.update(range(j, j + n))
+
+
+def test_tiles_against_brute_force():
+    import numpy as np
+
     rng = random.Random(3)
-    for _ in range(50):
-        doc, item = rng.choices("abc", k=40), rng.choices("abc", k=15)
-        pairs = [(i, j) for i in range(38) for j in range(13) if doc[i : i + 3] == item[j : j + 3]]
-        tiles = decontamination.tile(pairs, 3)
-        for i, j, n in tiles:
-            assert doc[i : i + n] == item[j : j + n]
-        for side in (0, 1):
-            marked = [t[side] + x for t in tiles for x in range(t[2])]
-            assert len(marked) == len(set(marked))
+    code = {c: np.uint64(rng.getrandbits(64)) for c in "abcdefgh"}
+    for k in range(120):
+        letters = "abcdefgh"[: 2 + k % 6]
+        item = rng.choices(letters, k=rng.randrange(1, 30))
+        doc = rng.choices(letters, k=rng.randrange(1, 20)) + item[5:] + rng.choices(letters, k=3) + item[:6]
+        if k == 0:
+            doc, item = ["a"] * 60, ["a"] * 25
+        got = decontamination.tile(*(np.array([code[c] for c in x], np.uint64) for x in (doc, item)), 3)
+        assert got == brute_tiles(doc, item, 3)
+
+
+@pytest.mark.parametrize("block_words", [1 << 20, 30])
+def test_decontamination_against_brute_force(spark, block_words):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(25)]
+    items = [(i, rng.choices(vocab, k=rng.choice([2, 4, 9, 30]))) for i in range(20)]
+    docs = []
+    for i in range(60):
+        w = rng.choices(vocab, k=rng.randrange(30))
+        for _ in range(rng.randrange(3)):
+            t = rng.choice(items)[1]
+            at = rng.randrange(len(t))
+            w += t[at:] + rng.choices(vocab, k=rng.randrange(2)) + t[:at]
+        docs.append((i, w))
+    docs += [docs[0], (70, ["w1"] * 3000), (71, rng.choices(vocab, k=20000))]
+    want = Counter()
+    for d, w in docs[:-1]:
+        for i, t in items:
+            tiles = brute_tiles(w[:40] if d == 70 else w, t, min(4, len(t)))
+            if 2 * sum(x[2] for x in tiles) >= len(t):
+                want[d, i, sum(x[2] for x in tiles), len(tiles)] += 1
+    frame = spark.createDataFrame([(d, ", ".join(w), "clash") for d, w in docs] + [(None, None, "x"), (None, "", "x")], "doc_id long, text string, leaks string")
+    bench = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in items] + [(99, None), (98, " ,")], "item_id long, text string")
+    got = decontamination.with_leaks(frame, bench, min_match=4, block_words=block_words)
+    assert got.count() == len(docs) + 2
+    rows = got.select("doc_id", F.explode("leaks").alias("x")).where("doc_id < 71").select("doc_id", "x.item_id", "x.matched", "x.n_tiles").collect()
+    assert Counter(map(tuple, rows)) == want
 
 
 def test_quality_classifier(spark, docs, none):
@@ -357,6 +425,35 @@ def test_quality_classifier(spark, docs, none):
     assert quality_classifier.classify(none, flat).count() == 0
 
 
+def test_metadata_does_not_depend_on_neighbours():
+    import numpy as np
+    import pyarrow as pa
+
+    source = ["", "web", "", "news", None, " \t", "two words"]
+    lang = ["en", "", None, "de", "", "en", "fr"]
+    texts = ["a b", "", "c\nd", "x" * 500, "", "e", "f"]
+    whole = quality_classifier.meta_features(*(pa.array(x, pa.string()) for x in (texts, source, lang)))
+    for size in (1, 2, 3, 5):
+        parts = [quality_classifier.meta_features(*(pa.array(x[i : i + size], pa.string()) for x in (texts, source, lang))) for i in range(0, len(texts), size)]
+        assert np.array_equal(whole, np.concatenate(parts))
+    assert (whole[:, : quality_classifier.SOURCES].sum(1) == 1).all() and np.array_equal(whole[0, : quality_classifier.SOURCES], whole[2, : quality_classifier.SOURCES])
+
+
+def test_pseudo_labels_come_from_all_documents(spark):
+    """The surest documents of the whole table teach, wherever they lie; labelled ones and repeats do not."""
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(30))
+    rows = [(i, good() if i % 2 else "junk # $ " * 15, "en", "s") for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string, source string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality_classifier.train(df, labels, per_round=20, rounds=2)
+    assert [sum(map(len, k[1:])) for k in model.known] == [40, 40]
+    taught = [t for x in model.truth for t in x[1:]]
+    assert all((t == 0).sum() == (t == 1).sum() == 10 for t in taught)
+    again = quality_classifier.train(df.repartition(3), labels, per_round=20, rounds=2)
+    assert [(a == b).all() for a, b in zip(model.views, again.views, strict=True)] == [True, True]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
