@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet
 and read again as the next stage's docs, so that a lost executor costs one stage's tasks at most.
+What a stage read is deleted once its own result is written. All stages keep the columns of
+documents, whatever their names; the last adds each row's shard and place to the text.
 """
 
 from __future__ import annotations
@@ -9,15 +11,18 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
-from larkspur.llm.state import shared_folder
+from larkspur.llm.state import remove, shared_folder
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the full policy rejects."""
-    led = quality_rules.ledger(docs)
-    return led.where(~quality_rules.rejected(quality_rules.FULL)).select(*docs.columns)
+    names = {c: f"in {c}" for c in docs.columns}  # the ledger's measurements replace columns of their names
+    led = quality_rules.ledger(docs.withColumnsRenamed(names), text="in text")
+    kept = led.where(~quality_rules.rejected(quality_rules.FULL)).select(*[F.col(f"`{c}`") for c in names.values()])
+    return kept.withColumnsRenamed({new: c for c, new in names.items()})
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +41,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and place in it."""
+    """Each row with its shard and its place there, by a map that is stored in the shared folder."""
     return sharding.shard_documents(docs, 40)
 
 
 STAGES = [("quality rules", rules), ("jaccard join", one_of_each), ("decontamination", clean), ("mixing", mix), ("sharding", shards)]
 
-#: Random rounding and the hashes of slots are not for SQL; tests hold the stages against brute force.
+#: Random rounding and the hashes of slots are not for SQL; tests/llm holds run() against brute force on a fixture.
 ORACLE_SQL = None
 
 
@@ -53,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
