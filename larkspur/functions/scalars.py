@@ -19,6 +19,19 @@ def is_valid_email(c: Column) -> Column:
     return _true(c.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"))
 
 
+def domain_of(c: Column) -> Column:
+    return F.lower(F.regexp_extract(c, r"@([^@\s]+)$", 1))
+
+
+def listed(c: Column, values: list[str]) -> Column:
+    """Whether a text is on a list, which the schema holds as a value."""
+    return _true(c.isin(values))
+
+
+#: Lists that the domain predicates read; a schema sets its own.
+LISTS: dict[str, list[str]] = {"disposable": [], "blocked": [], "public": [], "breached": [], "common": [], "statuses": []}
+
+
 def rounded_to_cents(c: Column) -> Column:
     return _true(F.round(c, 2) == c)
 
@@ -36,7 +49,15 @@ FUNCTIONS = {
     "allDigits": lambda x: _true(x.rlike(r"^[0-9]+$")),
     "isValidEmail": is_valid_email,
     "isRoundedToCents": rounded_to_cents,
+    "isDisposableDomain": lambda x: listed(domain_of(x), LISTS["disposable"]),
+    "isBlockedDomain": lambda x: listed(domain_of(x), LISTS["blocked"]),
+    "isCorporateDomain": lambda x: is_valid_email(x) & ~listed(domain_of(x), LISTS["public"] + LISTS["disposable"]),
+    "isBreached": lambda x: listed(F.lower(F.sha1(F.encode(x, "UTF-8"))), LISTS["breached"]),
+    "isCommonWord": lambda x: listed(F.lower(x), LISTS["common"]),
+    "isKnownStatus": lambda x: listed(x, LISTS["statuses"]),
     "isNothing": lambda x: x.isNull(),
+    "isJust": lambda x: x.isNotNull(),
+    "moment": lambda x: x.cast("timestamp_ntz"),
     "fromMaybe": lambda d, x: F.coalesce(x, d if isinstance(d, Column) else F.lit(d)),
     "upper": F.upper,
     "lower": F.lower,
@@ -49,6 +70,26 @@ FUNCTIONS = {
     "millis": lambda x: x.cast("double"),
     "year": lambda x: F.year(x).cast("long"),
     "round": lambda x, n: F.round(x, n),
+    "toText": lambda x: x.cast("string"),
+    "words": lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != ""),
+    "splitOn": lambda a, x: F.split(x, F.regexp_replace(a, r"([^\w\s])", r"\\$1")),
+    "isInfixOf": lambda a, x: _true(F.contains(x, a)),
+    "isSuffixOf": lambda a, x: _true(F.endswith(x, a)),
+    "take": lambda n, x: F.substring(x, 1, n),
+    "strip": F.trim,
+    "abs": F.abs,
+    "floor": lambda x: F.floor(x).cast("long"),
+    "ceiling": lambda x: F.ceil(x).cast("long"),
+    "truncate": lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"),
+    "elem": lambda x, xs: _true(F.array_contains(xs, x)),
+    "nub": F.array_distinct,
+    "sort": F.array_sort,
+    "reverse": F.reverse,
+    "lookup": lambda k, m: F.try_element_at(m, k),
+    "keys": F.map_keys,
+    "addDays": lambda n, x: F.timestamp_add("DAY", F.lit(n), x),
+    "month": lambda x: F.month(x).cast("long"),
+    "dayOfWeek": lambda x: F.dayofweek(x).cast("long"),
 }
 
 
@@ -73,6 +114,22 @@ def origin_server(row_id: Column) -> Column:
     return F.conv(F.hex(F.substring(row_id, 7, 2)), 16, 10).cast("int")
 
 
+def version_id(shard: Column, seq: Column, place: Column) -> Column:
+    """The 14 bytes of a row version: shard (4), transaction (8) and place in it (2), big-endian, so that byte order is theirs."""
+    return F.unhex(F.concat(F.lpad(F.hex(shard.cast("long")), 8, "0"), F.lpad(F.hex(seq.cast("long")), 16, "0"), F.lpad(F.hex(place.cast("long")), 4, "0")))
+
+
+def version_parts(rid: Column) -> tuple[Column, Column, Column]:
+    """(shard, transaction, place) of a row version's 14 bytes."""
+    number = lambda at, n, kind: F.conv(F.hex(F.substring(rid, at, n)), 16, 10).cast(kind)
+    return number(1, 4, "long"), number(5, 8, "long"), number(13, 2, "int")
+
+
+def transaction_id(shard: Column, seq: Column) -> Column:
+    """The version id of a transaction itself: place 0."""
+    return version_id(shard, seq, F.lit(0))
+
+
 def render_id(row_id: Column) -> Column:
     """20 characters of base 32 that sort as the ids do."""
     bits = F.rpad(F.concat(*[F.lpad(F.conv(F.hex(F.substring(row_id, i, 3)), 16, 2), 24, "0") for i in (1, 4, 7, 10)]), 100, "0")

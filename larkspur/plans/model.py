@@ -16,16 +16,25 @@ class CheckError(ValueError):
 
 @dataclass(frozen=True)
 class Edge:
-    """A reference field: `field` of one table holds the key `key` of table `to`."""
+    """A reference field: `field` of one table holds the key `key` of table `to`.
+
+    `fallback` names what a plain join tries next, tables or absences, as the field declares it.
+    """
 
     field: str
     to: str
     key: str
+    fallback: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class TableDef:
-    """Columns, candidate key (None: keyless), references, trait, default order, secret columns."""
+    """Columns, candidate key (None: keyless), references, trait, default order, secret columns.
+
+    `docs` are document fields that paths may enter, `opaque` those that are not indexed. Rows of a
+    `versioned` table are versions with the columns of a log. `behaviors` are fields that are
+    functions of the sample moment. `renamed` tells under which name a field was stored before.
+    """
 
     name: str
     columns: tuple[str, ...]
@@ -34,22 +43,37 @@ class TableDef:
     trait: str = "UserData"
     order: tuple[str, ...] = ()
     secrets: frozenset[str] = frozenset()
+    docs: frozenset[str] = frozenset()
+    opaque: frozenset[str] = frozenset()
+    versioned: bool = False
+    behaviors: tuple[tuple[str, object], ...] = ()
+    renamed: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         if self.key is None and self.trait not in ("Keyless", "LogData"):
             raise CheckError(f"table {self.name} has no candidate key; declare one or the trait Keyless")
-        for c in (*(self.key or ()), *(e.field for e in self.edges), *self.order):
+        for c in self.order:
+            if c.lstrip("-") in dict(self.behaviors):
+                raise CheckError(f"{self.name}: no order by {c.lstrip('-')}, a behavior has no value but at a moment")
+        for c in (*(self.key or ()), *(e.field for e in self.edges), *(c.lstrip("-") for c in self.order)):
             if c not in self.columns:
                 raise CheckError(f"{self.name}.{c} is not a field")
 
 
 @dataclass(frozen=True)
 class Catalog:
-    """Tables, views, absences and grants; immutable, so that a query keeps the version it was checked with."""
+    """Tables, views, absences and functions; immutable, so that a query keeps the version it was checked with.
+
+    `functions` are lambdas over values, or queries that name their rows `self`.
+    """
 
     tables: dict[str, TableDef] = field(default_factory=dict)
     views: dict[str, object] = field(default_factory=dict)
     absences: frozenset[str] = frozenset(ABSENCES)
+    functions: dict[str, object] = field(default_factory=dict)
+
+    def with_function(self, name: str, body: object) -> Catalog:
+        return replace(self, functions=self.functions | {name: body})
 
     def with_table(self, t: TableDef) -> Catalog:
         return replace(self, tables=self.tables | {t.name: t})
@@ -64,8 +88,8 @@ class Catalog:
         return [e for e in self.tables[a].edges if e.to == b] if a in self.tables else []
 
 
-def _t(name: str, columns: str, key: str | None, edges: tuple = (), trait: str = "UserData", order: str = "") -> TableDef:
-    return TableDef(name, tuple(columns.split()), tuple(key.split()) if key else None, tuple(Edge(*e) for e in edges), trait, tuple(order.split()))
+def _t(name: str, columns: str, key: str | None, edges: tuple = (), trait: str = "UserData", order: str = "", docs: str = "") -> TableDef:
+    return TableDef(name, tuple(columns.split()), tuple(key.split()) if key else None, tuple(Edge(*e) for e in edges), trait, tuple(order.split()), docs=frozenset(docs.split()))
 
 
 TESTDATA = Catalog(
@@ -85,7 +109,7 @@ TESTDATA = Catalog(
                 (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")),
                 "Keyless",
             ),
-            _t("events", "event_id ts user_id event_type value props", "event_id", (("user_id", "customer", "c_custkey"),), "LogData"),
+            _t("events", "event_id ts user_id event_type value props", "event_id", (("user_id", "customer", "c_custkey"),), "LogData", docs="props"),
             _t("documents", "doc_id text lang source n_chars", "doc_id"),
             _t("labels", "doc_id quality toxic", "doc_id", (("doc_id", "documents", "doc_id"),)),
             _t("conversations", "conv_id turn role text", "conv_id turn"),
@@ -111,6 +135,7 @@ class Context:
     catalog: Catalog = TESTDATA
     moment: str | None = None
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    history: dict[str, Catalog] = field(default_factory=dict)  # by hash, tag or branch
 
     def frame(self, table: str) -> DataFrame:
         return self.frames[table] if table in self.frames else self.spark.read.parquet(f"{self.folder}/{table}.parquet")

@@ -27,6 +27,14 @@ class Term:
     rel: Rel | None = None
 
 
+@dataclass(frozen=True)
+class Use:
+    """A query function (of the catalog or of a trait) applied to rows, which it names `self`."""
+
+    name: str
+    rel: Rel
+
+
 @dataclass(frozen=True)
 class Join:
     """`>< terms[0] | terms[1] | ...`; `on` is for the Python API only (non-key equality)."""
