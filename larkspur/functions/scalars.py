@@ -135,3 +135,8 @@ def render_id(row_id: Column) -> Column:
     bits = F.rpad(F.concat(*[F.lpad(F.conv(F.hex(F.substring(row_id, i, 3)), 16, 2), 24, "0") for i in (1, 4, 7, 10)]), 100, "0")
     digit = lambda i: F.substring(F.lit(CROCKFORD), F.conv(F.substring(bits, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
     return F.concat(*[digit(i) for i in range(20)])
+
+
+def virtual(row_id: Column) -> dict[str, Column]:
+    """The columns that every row has without storing them, from its id."""
+    return {"created_at": created_at(row_id), "origin_server": origin_server(row_id), "id": render_id(row_id)}

@@ -40,3 +40,16 @@ def shrink_variant(column: Column, moves: dict[str, str]) -> Column:
 def unknown_codes(rows: DataFrame, field: str, reference: DataFrame, code: str) -> DataFrame:
     """Codes that the reference table lacks, with their number of rows."""
     return rows.join(reference.select(F.col(code).alias("__c")), F.col(field) == F.col("__c"), "left_anti").groupBy(field).agg(F.count(F.lit(1)).alias("n"))
+
+
+def auto_extend(rows: DataFrame, field: str, reference: DataFrame, code: str, extensible: bool, connector: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(reference with new codes, violations): unknown codes extend an Extensible table, at most `most` of a batch, else they are violations.
+
+    The codes that extend are those of most rows; each row of the reference that is added says who added it.
+    """
+    new = unknown_codes(rows, field, reference, code)
+    if not extensible:
+        return reference, new.select(F.col(field).alias("observed"), "n")
+    first = new.where(F.col(field).isNotNull()).orderBy(F.desc("n"), field).limit(most)
+    grown = reference.unionByName(first.select(F.col(field).alias(code), F.lit(connector).alias("added_by")), allowMissingColumns=True)
+    return grown, new.join(first.select(field), field, "left_anti").select(F.col(field).alias("observed"), "n")

@@ -8,6 +8,7 @@ chain counts nothing twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,17 +19,39 @@ from ..plans.model import CheckError
 GRAINS = ("minute", "hour", "day", "week", "month", "quarter", "year")
 
 
+@dataclass(frozen=True)
+class MergeableAgg:
+    """A custom aggregate: `partial` of raw rows, an associative `merge` of partial results, `finish` when read."""
+
+    partial: Callable[[Column], Column]
+    merge: Callable[[Column], Column]
+    finish: Callable[[Column], Column]
+
+
+#: Sketches have a merge, so they may stand in chains of any length: distinct values, and quantiles within about 1 %.
+SKETCHES = {
+    "distinct": lambda arg: MergeableAgg(lambda c: F.hll_sketch_agg(c), lambda c: F.hll_union_agg(c), lambda c: F.hll_sketch_estimate(c)),
+    "quantile": lambda arg: MergeableAgg(lambda c: F.kll_sketch_agg_double(c.cast("double")), lambda c: F.kll_merge_agg_double(c), lambda c: F.kll_sketch_get_quantile_double(c, F.lit(arg))),
+}
+
+
 @dataclass(frozen=True)
 class Measure:
-    """An output column: a function of a field. `percentile` has no merge."""
+    """An output column: a function of a field, or a custom aggregate. `percentile` has no merge; `quantile` is its sketch."""
 
     name: str
-    fn: str
+    fn: str | MergeableAgg
     field: str | None = None
     arg: float = 0.5
 
+    @property
+    def custom(self) -> MergeableAgg | None:
+        return self.fn if isinstance(self.fn, MergeableAgg) else SKETCHES[self.fn](self.arg) if self.fn in SKETCHES else None
+
     def first(self) -> dict[str, Column]:
         c = F.col(self.field) if self.field else None
+        if self.custom:
+            return {f"{self.name}__part": self.custom.partial(c)}
         return {
             "count": lambda: {self.name: F.count(F.lit(1))},
             "sum": lambda: {self.name: F.sum(c)},
@@ -39,6 +62,8 @@ class Measure:
         }[self.fn]()
 
     def merged(self) -> dict[str, Column]:
+        if self.custom:
+            return {f"{self.name}__part": self.custom.merge(F.col(f"{self.name}__part"))}
         if self.fn == "percentile":
             raise CheckError(f"{self.name}: percentile has no merge; it may only be computed in a chain of one step")
         if self.fn == "avg":
@@ -46,6 +71,8 @@ class Measure:
         return {self.name: {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[self.fn](self.name)}
 
     def read(self) -> Column:
+        if self.custom:
+            return self.custom.finish(F.col(f"{self.name}__part"))
         return F.col(f"{self.name}__sum") / F.col(f"{self.name}__n") if self.fn == "avg" else F.col(self.name)
 
 
@@ -156,6 +183,30 @@ def with_gaps(level: DataFrame, grain: str, first: str, last: str, covered_from:
     return out.withColumns({m: F.when(F.col("tag") == "Value", F.coalesce(m, F.lit(0))) for m in measures})
 
 
+def catch_up(level: DataFrame, fresh: DataFrame, template: Template) -> DataFrame:
+    """`level` with the buckets that `fresh` has computed anew; doing it twice changes nothing."""
+    key = ["bucket_start", *template.groups]
+    return level.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
+
+
+def roll_over(raw: DataFrame, level: DataFrame, template: Template, grain: str, before: str, seq: str = "tx_seq") -> tuple[DataFrame, DataFrame]:
+    """The two appends of a rollup: rows of the level from what is older than `before`, then the record that prunes those rows.
+
+    The record names the stretch of transactions that it drops. Until it is written the raw rows
+    are still there, and writing the first append twice changes nothing, so a crash in between loses nothing.
+    """
+    old = raw.where(F.col(template.time) < F.lit(before).cast("timestamp_ntz"))
+    rows = template.level(old, grain)
+    record = old.agg(F.lit(grain).alias("grain"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count(F.lit(1)).alias("n_rows"), F.lit(before).cast("timestamp_ntz").alias("pruned_before"))
+    return catch_up(level, rows, template), record
+
+
+def pruned(raw: DataFrame, records: DataFrame, time: str) -> DataFrame:
+    """What is left of raw rows once the records' prunes are applied; the records are a handful, their latest edge is one value."""
+    edge = records.agg(F.max("pruned_before").alias("__edge"))
+    return raw.join(F.broadcast(edge)).where(F.col("__edge").isNull() | (F.col(time) >= F.col("__edge"))).drop("__edge")
+
+
 def policy_edit(template: Template, old: list[Step], new: list[Step], raw: DataFrame, moment: str) -> dict[str, object]:
     """What changing a chain would do: what it loses and how many rows that touches."""
     check_chain(template, new)

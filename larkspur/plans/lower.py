@@ -190,17 +190,18 @@ def _scan(ctx: Context, source) -> tuple[DataFrame, str | None]:
         df, t = ctx.frame(source), ctx.catalog.tables.get(source)
         if t is not None and t.versioned:
             df = versions.current(df, t.key[0], ctx.moment).drop(*versions.BOOK)
-        return (_as_declared(df, t) if ctx.history and t is not None else df), source
+        return (_as_declared(df, t, ctx) if ctx.history and t is not None else df), source
     raise CheckError(f"unknown table {source}")
 
 
-def _as_declared(df: DataFrame, t: TableDef) -> DataFrame:
+def _as_declared(df: DataFrame, t: TableDef, ctx: Context) -> DataFrame:
     """Stored rows under a version of the schema: its fields, whatever they are called now; fields that no row has are NotFound."""
-    known = dict(t.renamed)
-    backward = {old: new for new, old in known.items()}
+    every = [c.tables[t.name] for c in (ctx.catalog, *ctx.history.values()) if t.name in c.tables]
+    pairs = {p for x in every for p in x.renamed}
     out = []
     for c in t.columns:
-        stored = next((x for x in (c, known.get(c), backward.get(c)) if x in df.columns), None)
+        names = [c, *[o for n, o in pairs if n == c], *[n for n, o in pairs if o == c]]
+        stored = next((x for x in names if x in df.columns), None)
         out += [F.col(f"`{stored}`").alias(c)] if stored else [F.lit(None).cast("string").alias(c), F.lit("NotFound").alias(f"{c}__tag")]
     return df.select(*out)
 

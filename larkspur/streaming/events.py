@@ -17,10 +17,25 @@ def emit(log: DataFrame, condition: Column, fields: list[str], key: str = "id")
 def backoff(failures: Column, base_ms: int, cap_ms: int, seed: Column) -> Column:
     """base * 2 ** failures up to the cap, and up to a fifth more or less by a hash of `seed`."""
     plain = F.least(F.lit(base_ms) * F.pow(F.lit(2), failures), F.lit(cap_ms))
-    jitter = F.pmod(F.crc32(seed.cast("string").cast("binary")), F.lit(401)) - 200
+    jitter = F.conv(F.substring(F.md5(seed.cast("string").cast("binary")), 1, 6), 16, 10).cast("long") % 401 - 200
     return (plain * (F.lit(1000) + jitter) / 1000).cast("long")
 
 
+def failure_rates(attempts: DataFrame, moment: str, window: str) -> DataFrame:
+    """(destination, attempts, failures, rate) of the attempts in the window before `moment`."""
+    at = F.lit(moment).cast("timestamp_ntz")
+    recent = attempts.where((F.col("attempted_at") <= at) & (F.col("attempted_at") > at - F.expr(f"interval {window}")))
+    out = recent.groupBy("destination").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("error").isNotNull()).alias("failures"))
+    return out.withColumn("rate", F.col("failures") / F.col("attempts"))
+
+
+def volume_backoff(rates: DataFrame, threshold: float, base_ms: int, cap_ms: int) -> DataFrame:
+    """`rates` with `wait_ms`: none up to the threshold of failures, then base * 2 ** n for each further tenth, with jitter."""
+    over = F.floor((F.col("rate") - F.lit(threshold)) * 10)
+    wait = F.when(F.col("rate") > threshold, backoff(over, base_ms, cap_ms, F.col("destination"))).otherwise(0)
+    return rates.withColumn("wait_ms", wait.cast("long"))
+
+
 def due(queue: DataFrame, moment: str, depth: int) -> DataFrame:
     """The items to dispatch at `moment`, in flight: pending and due, at most `depth` a destination, the earliest first.
 
