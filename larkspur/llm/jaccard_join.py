@@ -52,7 +52,7 @@ CHUNK_TOKENS = 1 << 20
 HOT = 32  # a shingle of more documents of a chunk travels as a count
 GROUP = 256
 ROUNDS = 2
-LIST = 4096
+LIST = 1024
 SHORT = 24  # lists up to this length are searched all at once
 
 

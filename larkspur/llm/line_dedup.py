@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .state import cut
+from .state import cut, fresh
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,7 +130,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     """(doc_id, place) of every line to drop; places count from 0."""
     line = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     key = line.select("doc_id", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    rows = key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "place")
+    # cut, as the ranges are drawn from a sample: else all texts would be split twice
+    rows = cut(key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "place"))
     dealt = rows.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "place")
     seen = cut(dealt.mapInArrow(_stream(min_docs), "h1 long, h2 long, doc_id long, place int, kind byte, n long"))
     # A summary for each edge of a partition at most: never more than two rows a partition.
@@ -154,19 +155,26 @@ def keep_bitmaps(dropped: DataFrame) -> DataFrame:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`docs` with `kept_text`, `n_lines` and `n_dropped`."""
-    docs = docs.drop(*[c for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped", "keep")])
+    docs = docs.drop(*[c for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped")])
+
+    def run(s: Column, n: Column) -> Column:
+        places = F.array(F.sequence(s["at"], s["at"] + n - 1))
+        out = F.when(s["drop"] & (n > 0), F.concat(s["out"], places)).otherwise(s["out"])
+        return F.struct((s["at"] + n).alias("at"), (~s["drop"]).alias("drop"), out.alias("out"))
 
     def mask(keep: Column) -> Column:  # the dropped places
-        ends = F.aggregate(keep, F.struct(F.lit(0).alias("at"), F.lit(False).alias("drop"), F.expr("cast(array() as array<array<int>>)").alias("out")), lambda s, n: F.struct((s["at"] + n).alias("at"), (~s["drop"]).alias("drop"), F.when(s["drop"] & (n > 0), F.concat(s["out"], F.array(F.sequence(s["at"], s["at"] + n - 1)))).otherwise(s["out"]).alias("out")))
-        return F.flatten(ends["out"])
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("drop"), F.expr("cast(array() as array<array<int>>)").alias("out"))
+        return F.flatten(F.aggregate(keep, start, run)["out"])
 
-    split = docs.join(bitmaps, "doc_id", "left").withColumns({"__lines": _lines(F.col("text"))})
+    keep, lines = fresh("__keep", docs.columns), fresh("__lines", docs.columns)
+    split = docs.join(bitmaps.withColumnRenamed("keep", keep), "doc_id", "left").withColumn(lines, _lines(F.col("text")))
     # array_except works on hash sets: linear in the number of lines.
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), mask(F.col("keep"))), lambda i: F.get(F.col("__lines"), i))
-    kept = F.when(F.col("keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    n_dropped = F.coalesce(F.size(mask(F.col("keep"))), F.lit(0))
-    out = split.select(*docs.columns, kept.alias("kept_text"), F.size("__lines").cast("long").alias("n_lines"), F.when(F.col("keep").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"))
-    return out
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), mask(F.col(keep)))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n")
+    whole = F.col(keep).isNull()
+    kept = F.when(whole, F.coalesce("text", F.lit(""))).otherwise(kept)
+    n_dropped = F.when(whole, F.lit(0)).otherwise(F.coalesce(F.size(mask(F.col(keep))), F.lit(0)))
+    return split.select(*docs.columns, kept.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

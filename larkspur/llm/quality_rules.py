@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 WHITE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words")
+ALPHA_WORD = r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+"  # a word from its first place that leads to a letter
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "text_chars", "dup_line_chars")
 
 #: (name, SQL condition of failure over the measurements); the place in the list is the bit. Append only.
 RULES = [
@@ -35,6 +36,7 @@ RULES = [
     ("many_symbols", "10 * n_symbols > n_words"),
     ("duplicate_lines", "n_dup_lines * 10 > 3 * n_lines"),
     ("few_alphabetic_words", "10 * n_alpha_words < 6 * n_words"),
+    ("duplicate_line_chars", "100 * dup_line_chars > 20 * text_chars"),
 ]
 
 
@@ -53,7 +55,8 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
-FULL = Policy("full", 1, tuple(name for name, _ in RULES))
+#: Version 2 judges repeated lines by their characters: by their number, one short line that occurs twice in a text of three lines rejected it.
+FULL = Policy("full", 2, tuple(name for name, _ in RULES if name != "duplicate_lines"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -62,7 +65,7 @@ def _bind(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
 
 
 def word_count(text: Column) -> Column:
@@ -91,14 +94,16 @@ def _repeat_words(words: Column) -> Column:
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)]))
 
-    return _bind(words, lambda w: F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(_bind(windows(w), of))).cast("long")
+    hashed = F.transform(words, lambda w: F.xxhash64(w))  # each word once, not in every window
+    return _bind(hashed, lambda w: F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(_bind(windows(w), of))).cast("long")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the columns of MEASURES."""
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.drop(*[c for c in docs.columns if c in (*MEASURES, "__words", "__lines")])
-    lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, " " + WHITE, "") != "")
+    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" " + WHITE)) != "")
+    chars = lambda xs: F.aggregate(F.transform(xs, F.length), F.lit(0), lambda n, x: n + x)
     out = docs.withColumns({"__words": words_of(body)})
     return out.select(
         *docs.columns,
@@ -108,7 +113,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.split(body, "\n")).cast("long").alias("n_lines"),
         _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__words")).alias("n_repeat_words"),
-        F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
+        F.regexp_count(body, F.lit(ALPHA_WORD)).cast("long").alias("n_alpha_words"),
+        F.length(body).cast("long").alias("text_chars"),
+        _bind(lines, lambda x: chars(x) - chars(F.array_distinct(x))).cast("long").alias("dup_line_chars"),
     )
 
 
@@ -147,7 +154,7 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = apply_policy(ledger(docs), FULL)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rejected(BASE).alias("base_failed"), "kept", "failure_bits", "n_lines", "n_alpha_words", "policy")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rejected(BASE).alias("base_failed"), "kept", "failure_bits", "n_lines", "n_alpha_words", "text_chars", "dup_line_chars", "policy")
 
 
 SQL = r"""
@@ -163,14 +170,16 @@ m AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, length(translate(text, '
              len(ls)::BIGINT AS n_lines,
              (len(list_filter(ls, lambda x: translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '')) - len(list_distinct(list_filter(ls, lambda x: translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> ''))))::BIGINT AS n_dup_lines,
              coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_alpha_words
-      FROM w LEFT JOIN cov ON cov.rid = w.rid),
+             len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_alpha_words,
+             length(text)::BIGINT AS text_chars,
+             (coalesce(list_sum(list_transform(w.body, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(list_distinct(w.body), lambda x: length(x))), 0))::BIGINT AS dup_line_chars
+      FROM (SELECT *, list_filter(ls, lambda x: translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '') AS body FROM w) w LEFT JOIN cov ON cov.rid = w.rid),
 b AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
       + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 8 ELSE 0 END
       + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN n_dup_lines * 10 > 3 * n_lines THEN 32 ELSE 0 END
-      + CASE WHEN 10 * n_alpha_words < 6 * n_words THEN 64 ELSE 0 END)::BIGINT AS failure_bits FROM m)
+      + CASE WHEN 10 * n_alpha_words < 6 * n_words THEN 64 ELSE 0 END + CASE WHEN 100 * dup_line_chars > 20 * text_chars THEN 128 ELSE 0 END)::BIGINT AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 AS base_failed,
-       failure_bits = 0 AS kept, failure_bits, n_lines, n_alpha_words, 'full@1' AS policy FROM b
+       (failure_bits & 223) = 0 AS kept, failure_bits, n_lines, n_alpha_words, text_chars, dup_line_chars, 'full@2' AS policy FROM b
 """
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}
