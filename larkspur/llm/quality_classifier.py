@@ -78,9 +78,10 @@ def meta_features(texts: pa.Array, source: pa.Array, lang: pa.Array) -> np.ndarr
         if full.any():
             one[full] = np.add.reduceat(h, first[:-1][full])
         out[rows, at + (one % np.uint64(width)).astype(np.int64)] = 1
-    data, offs = flat(texts)
-    data, offs = data[offs[0] : offs[-1]], offs - offs[0]
-    size, n_lines = np.diff(offs).astype(float), _per_row(data == 10, offs) + 1.0
+    size, n_lines = np.zeros(len(rows)), np.ones(len(rows))
+    for a, b, data, offs in blocks(texts):  # a running count over all bytes of a batch would be eight times its size
+        size[a:b] = np.diff(offs)
+        n_lines[a:b] += _per_row(data == 10, offs)
     out[:, -5:] = np.stack([np.log1p(size) / 10, np.log1p(n_lines) / 5, np.log1p(size / n_lines) / 5, (size < 200).astype(float), (size / n_lines > 2000).astype(float)], 1)
     return out
 
