@@ -4,8 +4,8 @@ Entities are found by one regular expression of anchored alternatives. A surroga
 HMAC-SHA256 from a secret key, the entity's type and its canonical value (case, separators and
 titles aside), so every mention of one entity in any document gets the same surrogate, in the
 mention's own format: digits for digits, letters for letters of the same case and script,
-separators kept. Cards keep their first digit and pass the Luhn test; telephone numbers keep the
-country code; e-mail domains are replaced as wholes under reserved names; addresses stay
+separators kept. A number is a card if it begins as issuers' numbers do and passes the Luhn test;
+its surrogate keeps the first two digits and passes it too. Telephone numbers keep the country code; e-mail domains are replaced as wholes under reserved names; addresses stay
 addresses. Names after a title are replaced word by word, so that "Mr John Smith" and "Mr Smith"
 keep what they share: the last word is a family name, those before it are given names of the
 title's gender, all in the word's own script (Latin, Cyrillic or Greek) and case.
@@ -83,10 +83,28 @@ ENTITY = r"(?<![A-Za-z])(?=[\p{Lu}a-z0-9._%+(-])(?:" + "|".join(p for _, p in PA
 HINT = r"[@\d]|(?<![A-Za-z])(?:" + _TITLES + r"|password|passwd|pwd|secret|token|api_key|AKIA|gh[pousr]_|sk-|[A-Fa-f]{32})"
 
 
+def _luhn_sum(digits: Column, doubled: int) -> Column:
+    """The Luhn sum of an array of digits from the right; places with the remainder `doubled` by 2 count double."""
+
+    def worth(c: Column, i: Column) -> Column:
+        d = c.cast("int")
+        return F.when(i % 2 != doubled, d).otherwise(F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2))
+
+    return F.aggregate(F.transform(digits, worth), F.lit(0), lambda a, x: a + x)
+
+
+def is_card(e: Column) -> Column:
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    issued = digits.rlike("^(?:4|5[0-9]|2[2-7]|3[0-9]|6)")
+    return issued & (_luhn_sum(F.reverse(F.split(digits, "")), 1) % 10 == 0)
+
+
 def kind_of(e: Column) -> Column:
+    """The kind of a match, or none: a long number that is no card."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS):
-        out = F.when(e.rlike("^(?:" + pattern + ")$"), F.lit(kind)).otherwise(out)
+        hit = e.rlike("^(?:" + pattern + ")$")
+        out = F.when(hit, F.when(is_card(e), F.lit(kind)).otherwise(F.lit("none")) if kind == "card" else F.lit(kind)).otherwise(out)
     return F.coalesce(out, F.lit("phone"))
 
 
@@ -138,14 +156,9 @@ def _from_streams(e: Column, numbers: Column, small: Column, keep: Column) -> Co
 
 def _luhn(e: Column) -> Column:
     """`e` with its last digit set so that its digits pass the Luhn test."""
-    body = F.reverse(F.split(F.regexp_replace(F.substring(e, F.lit(1), F.length(e) - 1), "[^0-9]", ""), ""))
-
-    def worth(c: Column, i: Column) -> Column:
-        d = c.cast("int")
-        return F.when(i % 2 == 1, d).otherwise(F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2))
-
-    total = F.aggregate(F.transform(body, worth), F.lit(0), lambda a, x: a + x)
-    return F.concat(F.substring(e, F.lit(1), F.length(e) - 1), ((10 - total % 10) % 10).cast("string"))
+    head = F.substring(e, F.lit(1), F.length(e) - 1)
+    total = _luhn_sum(F.reverse(F.split(F.regexp_replace(head, "[^0-9]", ""), "")), 0)
+    return F.concat(head, ((10 - total % 10) % 10).cast("string"))
 
 
 def _pick(values: list[str], hexes: Column, at: int) -> Column:
@@ -201,7 +214,8 @@ def _drawn(e: Column, kind: Column, attempt: Column, hexes: Column, key: str) ->
     return (
         F.when(kind == "email", F.concat(_fit_format(local, hexes, none), _longer(hexes, attempt, LETTERS), F.lit("@"), place, F.lit(".example.org")))
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)))
-        .when(kind == "card", _luhn(_fit_format(e, hexes, F.lit(1))))
+        .when(kind == "card", _luhn(_fit_format(e, hexes, F.lit(2))))
+        .when(kind == "none", e)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_fit_format(e, hexes, none), F.lit(2), F.length(e))))
         .when(kind == "phone", F.concat(_fit_format(e, hexes, country), _longer(hexes, attempt - 3, DIGITS)))
         .when(kind.isin("given_f", "given_m", "family"), _word(e, kind, hexes, attempt))
@@ -218,7 +232,7 @@ def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     """(canon, attempt) of the entities whose first surrogate clashed, or None if there are none."""
     # explode() would have the texts searched twice more, by the filters that the optimizer derives from it
     found = docs.select(F.explode_outer(_mentions(F.col("text"))).alias("m")).where("m IS NOT NULL").select(F.explode_outer(_entities(F.col("m"), kind_of(F.col("m")))).alias("x"))
-    found = found.groupBy("x.canon").agg(F.min("x.e").alias("e"), F.min("x.kind").alias("kind"))
+    found = found.where("x.kind <> 'none'").groupBy("x.canon").agg(F.min("x.e").alias("e"), F.min("x.kind").alias("kind"))
     drawn = cut(found.withColumn("attempt", F.lit(0)))
     while True:
         made = drawn.withColumn("made", surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("attempt"), key))
@@ -273,7 +287,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     filled = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__s"), i), F.lit(""))))
     body = body.withColumn("__s", F.transform("__e", of))
     text = F.when(F.size("__e") > 0, F.array_join(filled, "")).otherwise(F.col("text"))
-    n = F.coalesce(F.size("__e"), F.lit(0)).cast("long").alias("n_entities")
+    n = F.coalesce(F.size(F.filter("__e", lambda e: kind_of(e) != "none")), F.lit(0)).cast("long").alias("n_entities")
     return body.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n)
 
 

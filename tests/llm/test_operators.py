@@ -269,6 +269,24 @@ def test_pii_against_brute_force(spark, monkeypatch, small):
     assert len(set(of.values())) == len(of) and not set(of.values()) & set(names)
 
 
+def test_numbers_that_are_no_cards(spark):
+    """Long numbers stay unless an issuer could have given them and their check digit is right."""
+
+    def check(d):
+        s = sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d))))
+        return d + str(-s % 10)
+
+    rng = random.Random(2)
+    cards = [check(p + "".join(rng.choices("0123456789", k=15 - len(p)))) for p in ("4", "51", "2221", "37", "6011")]
+    wrong = [c[:-1] + str((int(c[-1]) + 1 + i) % 10) for i, c in enumerate(cards)] + [check("9" * 15), check("0" + "7" * 14)]
+    rows = spark.createDataFrame(list(enumerate([f"no {x} here" for x in cards + wrong])), "doc_id long, text string")
+    made = {r.doc_id: r for r in pii.pseudonymize(rows, "k").collect()}
+    for i, x in enumerate(cards):
+        new = made[i].text.split()[1]
+        assert made[i].n_entities == 1 and new != x and new[:2] == x[:2] and check(new[:-1]) == new
+    assert all(made[len(cards) + i].text == f"no {x} here" and made[len(cards) + i].n_entities == 0 for i, x in enumerate(wrong))
+
+
 def test_pii_distinct(spark):
     names = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr "), F.chr(65 + F.col("id") % 26), F.lit("a"), F.chr(97 + (F.col("id") / 26).cast("int")), F.lit("zz")).alias("text"))
     assert len({r.text for r in pii.pseudonymize(names, "k").collect()}) == 400
