@@ -208,39 +208,61 @@ def _deal(k: int, range_bits: int):
     return run
 
 
+def _classes(few: list[np.ndarray], hot: list[np.ndarray], hot_n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two documents or more, ascending, and the class of their number: its logarithm, in eighths of a doubling."""
+    tok = np.sort(np.concatenate(few))
+    begins = _runs(tok)
+    count = np.diff(np.append(begins, len(tok)))
+    tok = tok[begins]
+    if any(map(len, hot)):
+        tok, count = np.concatenate([tok, *hot]), np.concatenate([count, *hot_n])
+        order = np.argsort(tok, kind="stable")
+        tok, count = tok[order], count[order]
+        begins = _runs(tok)
+        tok, count = tok[begins], np.add.reduceat(count, begins)
+    tok, count = tok[count > 1], count[count > 1]
+    return tok, np.minimum(1 + np.floor(8 * np.log2(count)), 255).astype(np.uint8)
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole ranges: each chunk's shingles that two documents or more hold, with the class of their number (idx: 3 bytes an entry)."""
-    rows, heads = [], []
+    """Whole ranges: each chunk's shingles that two documents or more hold, with the class of their number (idx: 3 bytes an entry).
+
+    Packed rows are held for all ranges of the partition, unpacked for one at a time.
+    """
+    ranges: dict[int, list[tuple[pa.RecordBatch, int]]] = {}
     for batch in batches:
         is_head = batch.column("n").is_valid()
         heads = batch.filter(is_head)
         if heads.num_rows:
             yield pa.RecordBatch.from_arrays([heads.column("chunk"), pa.array([True] * heads.num_rows), *[heads.column(c) for c in DEALT_ARROW.names[2:]]], schema=ANSWERED_ARROW)
         own = batch.filter(pc.invert(is_head))
-        for r in range(own.num_rows):
-            hot, hot_n = (np.asarray(own.column(c)[r].values, dtype=np.int64) for c in ("hot", "hotn"))
-            rows.append((own.column("chunk")[r].as_py(), _unpack(own.column("toks")[r].as_py()), own.column("idx")[r].as_py(), hot.view(np.uint64), hot_n))
-    if not rows:
-        return
-    few = np.sort(np.concatenate([x[1] for x in rows]))
-    begins = _runs(few)
-    tok = np.concatenate([few[begins], *[x[3] for x in rows]])
-    count = np.concatenate([np.diff(np.append(begins, len(few))), *[x[4] for x in rows]])
-    order = np.argsort(tok, kind="stable")
-    tok, count = tok[order], count[order]
-    begins = _runs(tok)
-    tok, count = tok[begins], np.add.reduceat(count, begins)
-    rank = np.where(count == 1, 0, np.minimum(1 + np.floor(8 * np.log2(count)), 255)).astype(np.uint8)
-    for x in range(0, len(rows), 4096):
+        for r, part in enumerate(own.column("part").to_pylist()):
+            ranges.setdefault(part, []).append((own, r))
+    while ranges:
+        _, rows = ranges.popitem()
+        lists = lambda c: [np.asarray(own.column(c)[r].values, dtype=np.int64) for own, r in rows]  # noqa: B023, E731
+        few = [_unpack(own.column("toks")[r].as_py()) for own, r in rows]
+        hot = [x.view(np.uint64) for x in lists("hot")]
+        tok, rank = _classes(few, hot, lists("hotn"))
+        if not len(tok):
+            continue
+
+        def of(x: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(tok, x), len(tok) - 1)  # noqa: B023
+            return np.where(tok[at] == x, rank[at], 0).astype(np.uint8)  # noqa: B023
+
         out = []
-        for chunk, toks, idx, hot, _ in rows[x : x + 4096]:
-            cls, hot_cls = rank[np.searchsorted(tok, toks)], rank[np.searchsorted(tok, hot)]
+        for (own, r), toks, often in zip(rows, few, hot, strict=True):
+            cls = of(toks)
             keep = cls > 0
-            if keep.any() or len(hot):
-                out.append((chunk, _pack(toks[keep]), np.frombuffer(idx, np.uint16)[keep].tobytes() + cls[keep].tobytes(), _signed(hot), hot_cls.astype(np.int64)))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        none = [None] * len(out)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([False] * len(out), pa.bool_()), *[pa.array(cols[i], ANSWERED_ARROW.field(i + 1).type) for i in range(1, 5)], *[pa.array(none, ANSWERED_ARROW.field(i).type) for i in range(6, 11)]], schema=ANSWERED_ARROW)
+            if keep.any() or len(often):
+                idx = np.frombuffer(own.column("idx")[r].as_py(), np.uint16)
+                out.append((own.column("chunk")[r].as_py(), _pack(toks[keep]), idx[keep].tobytes() + cls[keep].tobytes(), _signed(often), of(often).astype(np.int64)))
+        if out:
+            cols, none = list(zip(*out, strict=True)), [None] * len(out)
+            answers = [pa.array(cols[i], ANSWERED_ARROW.field(i + 1).type) for i in range(1, 5)]
+            empty = [pa.array(none, ANSWERED_ARROW.field(i).type) for i in range(6, 11)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([False] * len(out), pa.bool_()), *answers, *empty], schema=ANSWERED_ARROW)
 
 
 def _assemble(percent: int):
