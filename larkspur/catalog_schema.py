@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -218,7 +218,7 @@ def _stored_log(ctx: Context) -> txlog.TxLog:
 def _scratch(ctx: Context) -> str:
     """A new folder in the shared store of the cluster."""
     base = ctx.spark.conf.get("spark.checkpoint.dir", None) or ctx.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/larkspur-{next(tempfile._get_candidate_names())}"
+    return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
 
 
 _LOG = "SELECT n_nationkey, n_name, n_regionkey + 1 AS tx_seq, 'I' AS op, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row_pos FROM nation UNION ALL SELECT n_nationkey, n_name, 6, 'D', (row_number() OVER (ORDER BY n_nationkey) - 1)::INT FROM nation WHERE n_nationkey % 2 = 0"
@@ -450,3 +450,169 @@ def api_endpoint(ctx):
     ends = [registry.Endpoint("/orders", "orders where o_orderstatus == $status && o_totalprice > $least { o_orderkey, o_orderstatus }", "json", ("status", "least")), registry.Endpoint("/", "nation { n_name }")]
     end = registry.route(ends, "/orders/list")
     return connectors.rendered(run(end.text(status="F", least=250000), ctx), end.format)
+
+
+# --- what the checker refuses, and what it says
+def _said(f) -> str:
+    """The message of a refusal, or accepted."""
+    try:
+        out = f()
+    except ValueError as e:
+        return str(e)
+    return "accepted" if not isinstance(out, str) else out
+
+
+_REFUSALS = [
+    ("outer where", "documents >< labels | NoLabel as l where l.toxic == 1 { documents.doc_id }", "where on l.toxic of the guarded source l: filter before the guard, as in >< (l where ...) | ..."),
+    ("clock", "orders where o_orderdate < now 1 { o_orderkey }", "now: a query reads its sample moment, never a clock or a random source"),
+    ("secret as a filter", 'customer where "x" `matches` c_name { c_custkey }', "matches applies to one resolved row, after a unique field has narrowed the query; it is no row filter"),
+    ("no version", 'orders at "1995-01-01" { o_orderkey }', "orders keeps no versions: it has no state at 1995-01-01"),
+    ("unknown token", 'orders at "v9" { o_orderkey }', "'v9' names no version of the schema"),
+    ("ambiguous join", "lineitem >< nation { l_orderkey }", "no reference joins nation"),
+    ("reverse without as", "customer >< orders | NoEvents { c_custkey }", "a reverse join to orders that is named in the query needs `as`"),
+    ("unnamed expression", "orders { o_totalprice * 2 }", "an expression in a projection needs a name: as <name>"),
+    ("unknown function", "orders { fly o_orderkey as x }", "unknown function fly"),
+]
+
+
+def _values(rows: list[tuple[str, ...]], *names: str) -> str:
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) t({', '.join(names)})"
+
+
+@code(_values([(name, message) for name, _, message in _REFUSALS], "kind", "message"))
+def refused_queries(ctx):
+    rows = [(name, _said(lambda q=query: run(q, ctx))) for name, query, _ in _REFUSALS]
+    return ctx.spark.createDataFrame(rows, "kind string, message string")
+
+
+_CHAINS = [
+    ("merge", "events as P using ts for 7 days, by day for 40 days, by month forever", "p90: percentile has no merge; it may only be computed in a chain of one step"),
+    ("as is missing", "events using ts for 7 days, by day forever", "`as` names the aggregate if a chain has more than one step, and only then"),
+    ("as is too much", "events as S using ts forever", "`as` names the aggregate if a chain has more than one step, and only then"),
+    ("no end", "events as S using ts for 7 days, by day for 1 month", "a chain ends, and only ends, in forever or drop"),
+    ("finer", "events as S using ts for 40 days, by month for 70 days, by day forever", "each step's grain must be coarser than the one before"),
+    ("too short", "events as S using ts for 7 days, by month forever", "rows kept for 7 days do not cover one month"),
+    ("branch on a value", "events as S using ts where value > 3 for 7 days, by day forever otherwise forever", "a branch may only tell rows apart by group fields and the time, not by value"),
+    ("fine", "events as S using ts for 7 days, by day forever", "retain events"),
+]
+
+
+@code(_values([(name, message) for name, _, message in _CHAINS], "kind", "message"))
+def refused_chains(ctx):
+    s = _session(ctx, "aggregate S = events group event_type { event_type, value sum as total }", "aggregate P = events group event_type { event_type, value percentile 0.9 as p90 }")
+    rows = [(name, _said(lambda t=chain: s.execute(f"retain {t}"))) for name, chain, _ in _CHAINS]
+    return ctx.spark.createDataFrame(rows, "kind string, message string")
+
+
+_ASSERTS = [
+    ("anchored", "orders.a { self >< customer >< nation }", "orders.a"),
+    ("unanchored", "orders.b { self >< part }", "orders.b: part is not reached from self along references"),
+    ("pattern from input", "customer.c { c_name =~ c_mktsegment }", "customer.c: the right side of =~ is a literal or a reference value, never input"),
+    ("mixed", "customer.d { authed_user == c_name && c_acctbal >= 0 }", "d: a conjunct on c_acctbal does not mention authed_user and is bypassed with the rest; split it into two asserts"),
+    ("turned", "orders.a { (self >< customer >< nation) || authed_user == o_orderstatus }", "orders.a is now an ACCESS constraint (mentions authed_user). It will be evaluated on read, and rows failing it will resolve to Redacted."),
+]
+
+
+@code(_values([(name, message) for name, _, message in _ASSERTS], "kind", "message"))
+def assert_reports(ctx):
+    s = _session(ctx)
+
+    def tell(text_: str) -> str:
+        out = s.execute(f"assert {text_}")
+        return s.notes[0] if s.notes else out
+
+    return ctx.spark.createDataFrame([(name, _said(lambda t=body: tell(t))) for name, body, _ in _ASSERTS], "kind string, message string")
+
+
+# --- absences, unions, sources
+text("maybe_functions", 'documents >< labels | NoLabel as l { documents.doc_id, isNothing l.quality as absent, fromMaybe (0 - 1) l.quality as quality, contains text "the" as has }', "SELECT d.doc_id, l.quality IS NULL AS absent, coalesce(l.quality, -1) AS quality, contains(text, 'the') AS has FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+
+
+@code("SELECT 'event_type,part' AS key, max(n) AS most FROM (SELECT event_type, part, count(*) AS n FROM (SELECT DISTINCT event_type, 'low' AS part FROM events WHERE value < 50 UNION SELECT DISTINCT event_type, 'high' FROM events WHERE value >= 50) GROUP BY 1, 2)")
+def union_key(ctx):
+    """The key of a union of two grouped parts needs the discriminator; it is checked against the rows."""
+    from .plans.keys import derive
+
+    part = lambda cond, name: parse(f'(events where {cond} group event_type {{ event_type }}) {{ event_type, "{name}" as part }}')
+    rel = part("value < 50", "low") | part("value >= 50", "high")
+    key = derive(rel, CATALOG)
+    counted = run(rel, ctx).groupBy(*key.columns).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.lit(",".join(key.columns) if key.meaningful else "degenerate").alias("key"), F.max("n").alias("most"))
+
+
+@code("SELECT table_name AS \"table\", column_name AS \"column\", ordinal_position::INT AS place FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'events', 'customer')")
+def shadow_schema(ctx):
+    """Tables of a source, as discovered from its own schema."""
+    from .plans.model import discover
+
+    found = [discover(ctx.frame(n), n) for n in ("orders", "lineitem", "events", "customer")]
+    return ctx.spark.createDataFrame([(t.name, c, i + 1) for t in found for i, c in enumerate(t.columns)], "`table` string, `column` string, place int")
+
+
+@code("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 500")
+def export_import(ctx):
+    """A log's first transactions to a folder and back."""
+    path = f"{_scratch(ctx)}/export"
+    log = ctx.frame("orders").select("o_orderkey", "o_totalprice", F.col("o_orderkey").alias("tx_seq"))
+    connectors.export_log(log, path, 500)
+    return connectors.import_log(ctx.spark, path, "o_orderkey long, o_totalprice double, tx_seq long").select("o_orderkey", "o_totalprice")
+
+
+@code("SELECT o_orderkey, 'differs' AS difference FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 2 = 0")
+def verify_outside_latency(ctx):
+    """Differences that are older than the source's latency; what is younger may still be on its way."""
+    ours = ctx.frame("orders").select("o_orderkey", "o_orderstatus")
+    theirs = ours.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, F.lit("?")).otherwise(F.col("o_orderstatus")))
+    return connectors.verify_state(ours, theirs, "o_orderkey", ["o_orderstatus"], F.col("o_orderkey") % 2 == 0)
+
+
+@code("SELECT c_custkey, c_custkey % 2 = 0 AS ok FROM customer WHERE c_custkey <= 6")
+def secret_verify(ctx):
+    """A digest is compared for one resolved row at a time."""
+    users = ctx.frame("customer").select("c_custkey", writes.salted_digest(F.when(F.col("c_custkey") % 2 == 0, "right").otherwise("other"), F.col("c_custkey").cast("string"), 2).alias("secret"))
+    rows = [(k, writes.matches(users.where(F.col("c_custkey") == k), "secret", "right", 2)) for k in range(7)]
+    return ctx.spark.createDataFrame(rows, "c_custkey long, ok boolean")
+
+
+# --- queues and streams
+_QUEUE = "SELECT o_orderkey AS id, o_orderpriority AS destination, o_orderdate AS scheduled_at, CASE WHEN o_orderkey % 10 = 0 THEN 'InFlight' ELSE 'Pending' END AS status, o_orderkey % 4 AS attempt_count FROM orders"
+
+
+def _queue(ctx: Context) -> DataFrame:
+    o = ctx.frame("orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("destination"), F.col("o_orderdate").alias("scheduled_at"), F.when(F.col("o_orderkey") % 10 == 0, "InFlight").otherwise("Pending").alias("status"), (F.col("o_orderkey") % 4).alias("attempt_count"), F.lit(None).cast("string").alias("last_error"))
+
+
+@code(f"WITH q AS ({_QUEUE}), f AS (SELECT destination, count(*) AS n FROM q WHERE status = 'InFlight' GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY scheduled_at, id) AS n FROM q WHERE status = 'Pending' AND scheduled_at <= TIMESTAMP '1998-01-01') SELECT id, destination, 'InFlight' AS status FROM r JOIN f USING (destination) WHERE r.n + f.n <= 400")
+def queue_dispatch(ctx):
+    return events.due(_queue(ctx), "1998-01-01 00:00:00", 400).select("id", "destination", "status")
+
+
+@code(f"SELECT id, CASE WHEN id % 3 = 0 THEN 'InFlight' WHEN id % 20 <> 0 THEN 'Done' WHEN attempt_count + 1 < 3 THEN 'Pending' ELSE 'Failed' END AS status, CASE WHEN id % 3 <> 0 AND id % 20 = 0 THEN attempt_count + 1 ELSE attempt_count END AS attempt_count, CASE WHEN id % 3 <> 0 AND id % 20 = 0 THEN 'boom' END AS last_error FROM ({_QUEUE}) WHERE status = 'InFlight'")
+def queue_settle(ctx):
+    """Results of dispatched items: done, again after a wait, or failed for good; those without a result stay in flight."""
+    told = ctx.frame("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 20 == 0, "boom").alias("error"))
+    return events.settle(_queue(ctx), told, "1998-01-01 00:00:00", 3, 1000, 60000).select("id", "status", "attempt_count", "last_error")
+
+
+@code("SELECT date_trunc('hour', ts) AS bucket_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_buckets(ctx):
+    """Hourly buckets of a stream; those that the watermark has not passed are not written yet."""
+    base = _scratch(ctx)
+    ctx.frame("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(f"{base}/in")
+    source = ctx.spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{base}/in")
+    template = rollup.Template(("event_type",), (rollup.Measure("n", "count"),), "ts")
+    events.stream_rollup(source, template, "hour", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return ctx.spark.read.parquet(f"{base}/out").select("bucket_start", "event_type", "n")
+
+
+@code("SELECT * FROM (VALUES ('shortened', 'raw'), ('added', 'week'), ('rows moved', (SELECT count(*)::VARCHAR FROM events WHERE ts < TIMESTAMP '2024-01-24'))) t(effect, what)")
+def policy_edit_report(ctx):
+    """What a changed chain would do, before it is committed: raw rows are kept for less, a level is added."""
+    old = [rollup.Step(None, "20 days"), rollup.Step("day", None)]
+    new = [rollup.Step(None, "7 days"), rollup.Step("day", "30 days"), rollup.Step("week", None)]
+    seen = rollup.policy_edit(_PLAIN, old[:1] + [rollup.Step("day", None)], [new[0], rollup.Step("day", None)], ctx.frame("events"), "2024-01-31 00:00:00")
+    more = rollup.policy_edit(_PLAIN, old, new, ctx.frame("events"), "2024-01-31 00:00:00")
+    rows = [*[("shortened", g) for g in seen["shortened"]], *[("added", g) for g in more["added"]], ("rows moved", str(seen["raw_rows_moved"]))]
+    return ctx.spark.createDataFrame(rows, "effect string, what string")
