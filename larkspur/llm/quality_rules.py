@@ -21,8 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .state import fresh
+
 WHITE = "\t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 WINDOW = 5
 ALPHA_WORD = r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+"  # a word from its first place that leads to a letter
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "text_chars", "dup_line_chars")
@@ -65,7 +67,7 @@ def _bind(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
+    return F.array_remove(F.split(F.btrim(text, F.lit(" " + WHITE)), r"[\x20\x09-\x0D]+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -82,8 +84,14 @@ def _repeat_words(words: Column) -> Column:
     """
 
     def places(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("i"))))
-        return _bind(pairs, lambda s: F.array_sort(F.filter(F.transform(s, lambda x, i: F.when(((i > 0) & (x["h"] == F.get(s, i - 1)["h"])) | (x["h"] == F.get(s, i + 1)["h"]), x["i"])), lambda x: x.isNotNull())))
+        # sort_array compares by itself; array_sort would run an expression for every comparison
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("i"))))
+
+        def again(s: Column) -> Column:
+            double = lambda x, i: ((i > 0) & (x["h"] == F.get(s, i - 1)["h"])) | (x["h"] == F.get(s, i + 1)["h"])
+            return F.sort_array(F.transform(F.filter(s, double), lambda x: x["i"]))
+
+        return _bind(pairs, again)
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
@@ -95,28 +103,30 @@ def _repeat_words(words: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)]))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))  # each word once, not in every window
-    return _bind(hashed, lambda w: F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(_bind(windows(w), of))).cast("long")
+    return _bind(hashed, lambda w: F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(_bind(windows(w), of)))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the columns of MEASURES."""
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.drop(*[c for c in docs.columns if c in (*MEASURES, "__words", "__lines")])
+    docs = docs.drop(*[c for c in docs.columns if c in MEASURES])
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" " + WHITE)) != "")
     chars = lambda xs: F.aggregate(F.transform(xs, F.length), F.lit(0), lambda n, x: n + x)
-    out = docs.withColumns({"__words": words_of(body)})
-    return out.select(
-        *docs.columns,
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.translate(body, " " + WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size(F.split(body, "\n")).cast("long").alias("n_lines"),
-        _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__words")).alias("n_repeat_words"),
-        F.regexp_count(body, F.lit(ALPHA_WORD)).cast("long").alias("n_alpha_words"),
-        F.length(body).cast("long").alias("text_chars"),
-        _bind(lines, lambda x: chars(x) - chars(F.array_distinct(x))).cast("long").alias("dup_line_chars"),
-    )
+    of_words = lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("repeats"))
+    by_word = fresh("__words", docs.columns)
+    out = docs.withColumn(by_word, _bind(words_of(body), of_words))  # words are split once for all that counts them
+    made = {
+        "n_words": F.col(f"{by_word}.n"),
+        "word_chars": F.col(f"{by_word}.chars"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOL)),
+        "n_lines": F.size(F.split(body, "\n")),
+        "n_dup_lines": _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": F.col(f"{by_word}.repeats"),
+        "n_alpha_words": F.regexp_count(body, F.lit(ALPHA_WORD)),
+        "text_chars": F.length(body),
+        "dup_line_chars": _bind(lines, lambda x: chars(x) - chars(F.array_distinct(x))),
+    }
+    return out.select(*docs.columns, *[made[c].cast("long").alias(c) for c in MEASURES])
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
