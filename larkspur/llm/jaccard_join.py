@@ -566,7 +566,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     members = None
     for r in range(ROUNDS):
         keys = (sets if r == 0 else sets.join(members.select("sid"), "sid", "left_anti")).select("sid", F.col(f"mh{r}").alias("key"))
-        many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        many = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))  # so that a hot key's join can be split
         groups = cut(keys.join(many, "key").select("sid", "key", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP)).cast("int").alias("salt")))
         grouped = groups.join(sets.select("sid", "n", "toks"), "sid").select("key", "salt", "n", "sid", "toks").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n"), "sid")
         joined = cut(grouped.mapInArrow(_stars(percent), "sid long, lead long, more array<long>, less array<long>"))

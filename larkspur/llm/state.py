@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds between two collections of garbage, and when the last one was.
+EVERY_S = 2.0
+_collected = [0.0]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where none is named (tests), one under the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     Then let Spark delete the shuffle files behind it. Spark does so once the driver has collected
     the plan that made them as garbage, which a driver with little to do may not for long; long
     chains of large shuffles then pile up, and so do their plans and generated code on its heap.
+    Many small steps in a row are collected together.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -45,8 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     kept = df.checkpoint()
     out = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
     del df, kept
-    gc.collect()
-    sc._jvm.System.gc()
+    if time.monotonic() - _collected[0] > EVERY_S:
+        gc.collect()
+        sc._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return out
 
 
