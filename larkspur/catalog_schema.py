@@ -616,3 +616,30 @@ def policy_edit_report(ctx):
     more = rollup.policy_edit(_PLAIN, old, new, ctx.frame("events"), "2024-01-31 00:00:00")
     rows = [*[("shortened", g) for g in seen["shortened"]], *[("added", g) for g in more["added"]], ("rows moved", str(seen["raw_rows_moved"]))]
     return ctx.spark.createDataFrame(rows, "effect string, what string")
+
+
+@code("SELECT o_orderkey, o_totalprice, access FROM (SELECT CASE WHEN ok THEN o_orderkey END AS o_orderkey, CASE WHEN ok THEN o_totalprice END AS o_totalprice, CASE WHEN ok THEN 'Granted' ELSE 'Redacted' END AS access FROM (SELECT *, o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) OR o_orderstatus = 'P' AS ok FROM orders))")
+def access_asserts(ctx):
+    """Orders of the requester's nation, or still open, are readable; the others keep their place and nothing else."""
+    s = Session(ctx, MOMENT, user=7, users="nation")
+    s.execute('assert orders.mine { (self >< customer >< authed_user) || (o_orderstatus == "P" && authed_user == 7) }')
+    return s.execute("orders { o_orderkey, o_totalprice, access }")
+
+
+_MAILS = "SELECT c_custkey, 'u' || c_custkey || '@' || CASE c_custkey % 4 WHEN 0 THEN 'trash.test' WHEN 1 THEN 'free.test' WHEN 2 THEN 'corp.test' ELSE 'bad host' END AS mail FROM customer"
+
+
+@code(f"SELECT c_custkey, c_custkey % 4 = 0 AS disposable, c_custkey % 4 = 2 AS corporate, c_custkey % 4 = 1 AS blocked, c_custkey % 4 <> 3 AS valid, c_mktsegment IN ('BUILDING', 'MACHINERY') AS known, lower(c_mktsegment) = 'building' AS common FROM ({_MAILS}) JOIN customer USING (c_custkey)")
+def domain_lists(ctx):
+    """The predicates that read a list of the schema's."""
+    from .functions import scalars
+
+    scalars.LISTS.update(disposable=["trash.test"], public=["free.test"], blocked=["free.test"], statuses=["BUILDING", "MACHINERY"], common=["building"])
+    host = F.element_at(F.array(F.lit("trash.test"), F.lit("free.test"), F.lit("corp.test"), F.lit("bad host")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = ctx.frame("customer").withColumn("mail", F.concat(F.lit("u"), "c_custkey", F.lit("@"), host))
+    t = replace(CATALOG.tables["customer"], columns=(*CATALOG.tables["customer"].columns, "mail"))
+    out = run("customer { c_custkey, isDisposableDomain mail as disposable, isCorporateDomain mail as corporate, isBlockedDomain mail as blocked, isValidEmail mail as valid, isKnownStatus c_mktsegment as known, isCommonWord c_mktsegment as common }", replace(ctx, catalog=CATALOG.with_table(t), frames={"customer": rows}))
+    return out
+
+
+text("stdlib", 'part { p_partkey, take 4 p_name as start, "e" `isInfixOf` p_name as has, "1" `isSuffixOf` p_name as ends, length (strip p_name) as n, floor p_retailprice as whole, ceiling p_retailprice as up, truncate (0 - p_retailprice) as cut, elem "x" (words p_name) as x, upper p_brand as brand }', "SELECT p_partkey, left(p_name, 4) AS start, contains(p_name, 'e') AS has, ends_with(p_name, '1') AS ends, length(trim(p_name))::BIGINT AS n, floor(p_retailprice)::BIGINT AS whole, ceil(p_retailprice)::BIGINT AS up, trunc(-p_retailprice)::BIGINT AS cut, list_contains(string_split_regex(p_name, '\\s+'), 'x') AS x, upper(p_brand) AS brand FROM part")

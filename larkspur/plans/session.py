@@ -15,11 +15,11 @@ from ..operators import access, integrity, rollup, versions, writes
 from ..operators.txlog import TxLog
 from . import keys
 from . import statements as S
-from .expr import Bin, Call, Lambda, Lit, Path, lower, put
+from .expr import Bin, Call, Exists, Lambda, Lit, Path, lower, mapped, paths, put
 from .graph import Diff, Graph, diff, visibility
 from .lower import _Columns, _Scope, fetch, run
 from .model import CheckError, Context, Edge, TableDef
-from .rel import Rel
+from .rel import Rel, Term
 
 #: Kinds of the language and their Spark types (fixed values).
 KINDS = {"Text": "string", "Int": "long", "Decimal": "double", "Bool": "boolean", "Timestamp": "timestamp_ntz", "Moment": "timestamp_ntz", "Date": "date", "Duration": "long", "Doc": "string", "DataId": "string"}
@@ -40,8 +40,9 @@ class Declared:
 
 
 class Session:
-    def __init__(self, ctx: Context, moment: str, role: str | None = None, store: str | None = None):
-        self.ctx, self.moment, self.role, self.store = ctx, moment, role, store
+    def __init__(self, ctx: Context, moment: str, role: str | None = None, store: str | None = None, user: object = None, users: str = "User"):
+        """`role` is what grants name; `user` is the key of the requester's row in the table `users`."""
+        self.ctx, self.moment, self.role, self.store, self.user, self.users = ctx, moment, role, store, user, users
         self.graph = Graph().commit(ctx.catalog)
         self.types: dict[str, S.TypeDecl] = {}
         self.traits: dict[str, S.TableDecl] = {}
@@ -79,7 +80,43 @@ class Session:
 
     def query(self, rel: Rel) -> DataFrame:
         self.may_read(rel)
-        return fetch(rel, self.context())
+        ctx = self.context()
+        for name in {rel.source, *[t.name for j in rel.joins for t in j.terms]} if self.user is not None else ():
+            if isinstance(name, str) and name in self.declared and not (self.role and self.grants.bypasses(self.role, name)):
+                ctx = self.redacted(name, ctx)
+        return fetch(rel, ctx)
+
+    def redacted(self, table: str, ctx: Context) -> Context:
+        """`ctx` in which rows that fail an access assert of `table` have no value in any field, and say so in `access`.
+
+        This comes before the query's own filters, so that none can tell what a hidden row holds.
+        """
+        asserts = self.declared[table].asserts
+        rules = [self.as_user(body) for name, body in asserts.items() if access.classify({name: body})[name] == "access"]
+        if not rules:
+            return ctx
+        t = ctx.catalog.tables[table]
+        scope = _Scope(run(Rel(table), ctx), {table: {c: c for c in t.columns}}, {table: table}, set(), ctx)
+        ok = F.lit(True)
+        for body in rules:
+            ok = ok & F.coalesce(lower(body, _Columns(scope), scope.tag, scope.exists), F.lit(False))
+        fields = [F.when(F.col("__ok"), F.col(f"`{c}`")).alias(c) for c in t.columns]
+        rows = scope.df.withColumn("__ok", ok).select(*fields, F.when(F.col("__ok"), "Granted").otherwise("Redacted").alias("access"))
+        seen = replace(t, columns=(*t.columns, "access"), versioned=False)
+        return replace(ctx, catalog=ctx.catalog.with_table(seen), frames=ctx.frames | {table: rows})
+
+    def as_user(self, e):
+        """An assert for this requester: the name stands for their key, and as a source for their row."""
+        key = self.ctx.catalog.tables[self.users].key[0] if self.users in self.ctx.catalog.tables else None
+
+        def one(x):
+            if not isinstance(x, Exists):
+                return x
+            mine = Term(self.users, Rel(self.users).where(Bin("==", Path((key,)), Lit(self.user)))) if key else None
+            joins = tuple(replace(j, terms=tuple(mine if t.name == access.USER else t for t in j.terms)) for j in x.rel.joins)
+            return Exists(replace(x.rel, joins=joins, wheres=tuple(put(w, {access.USER: Lit(self.user)}) for w in x.rel.wheres)))
+
+        return mapped(put(e, {access.USER: Lit(self.user)}), one)
 
     def may_read(self, rel: Rel) -> None:
         """Default-deny where the session has a role."""
@@ -218,8 +255,6 @@ class Session:
         template = self.template(s.aggregate, s.time or "created_at") if s.aggregate else rollup.Template((), (), s.time or "created_at")
         allowed = {*template.groups, template.time}
         for cond, chain in s.branches:
-            from .expr import paths
-
             for p in paths(cond) if cond is not None else ():
                 if p.name not in allowed:
                     raise CheckError(f"a branch may only tell rows apart by group fields and the time, not by {p.name}")

@@ -207,6 +207,31 @@ def test_grants(shop):
         shop.execute("Order { order_num }")
 
 
+def test_access_asserts_redact(spark):
+    s = Session(Context(spark, "/nowhere", Catalog()), "2026-01-01 00:00:00")
+    s.execute("""
+      table User { name : Text unique, boss : Bool }
+      table Project { code : Text unique, owner : Text }
+      table Member { num : Int unique, project :> Project, user :> User }
+      table Document { title : Text unique, project :> Project, assert readable { (self >< Project >< Member >< authed_user) || authed_user == title } }
+      User { name = "ann", boss = True }  User { name = "bob", boss = False }
+      Project { code = "p", owner = "ann" }  Project { code = "q", owner = "bob" }
+      Member { num = 1, project = "p", user = "ann" }
+      Document { title = "one", project = "p" }  Document { title = "two", project = "q" }  Document { title = "bob", project = "q" }
+    """)
+    got = lambda q="Document { title, project, access }": sorted(map(str, rows(s.execute(q))))
+    s.user = "ann"
+    hidden = "(None, None, 'Redacted')"
+    assert got() == ["('one', 'p', 'Granted')", hidden, hidden]
+    assert got('Document where project == "q" { title }') == []  # a filter learns nothing of hidden rows
+    s.user = "bob"
+    assert got() == ["('bob', 'q', 'Granted')", hidden, hidden]
+    s.role = "admin"
+    for name in ("Document", "Project", "Member", "User"):
+        s.execute(f"grant admin on {name} bypass access")
+    assert got("Document { title }") == ["('bob',)", "('one',)", "('two',)"]
+
+
 def test_asserts(shop):
     with pytest.raises(CheckError, match="not reached"):
         shop.execute("assert Customer.loose { self >< Queue }")
