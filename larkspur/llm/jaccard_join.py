@@ -147,10 +147,12 @@ def _runs(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-DEALT = "part int, chunk long, toks binary, idx binary, hot array<long>, hotn array<long>, doc array<long>, sid array<long>, n array<int>, bits array<long>, mins array<long>"
-DEALT_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("toks", pa.binary()), ("idx", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("hot", "hotn", "doc", "sid")], ("n", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64()))])
-ANSWERED = "chunk long, head boolean, toks binary, idx binary, hot array<long>, hotn array<long>, doc array<long>, sid array<long>, n array<int>, bits array<long>, mins array<long>"
-ANSWERED_ARROW = pa.schema([DEALT_ARROW.field("chunk"), ("head", pa.bool_()), *[DEALT_ARROW.field(c) for c in DEALT_ARROW.names[2:]]])
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_BODY = [("toks", pa.binary()), ("idx", pa.binary()), ("hot", _LONGS), ("hotn", _LONGS), ("doc", _LONGS), ("sid", _LONGS), ("n", _INTS), ("bits", _LONGS), ("mins", _LONGS)]
+_BODY_SQL = "toks binary, idx binary, hot array<long>, hotn array<long>, doc array<long>, sid array<long>, n array<int>, bits array<long>, mins array<long>"
+#: What chunks deal out, and what they get back, for Spark and for Arrow.
+DEALT, DEALT_ARROW = f"part int, chunk long, {_BODY_SQL}", pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *_BODY])
+ANSWERED, ANSWERED_ARROW = f"chunk long, head boolean, {_BODY_SQL}", pa.schema([("chunk", pa.int64()), ("head", pa.bool_()), *_BODY])
 
 
 def _deal(k: int, range_bits: int):
@@ -301,8 +303,12 @@ def _assemble(percent: int):
         words_at = np.append(0, np.cumsum(_width(n) // 64))
         take = np.repeat(words_at[:-1], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
         mins = np.asarray(head["mins"]).reshape(-1, ROUNDS)
+        starts = lambda sizes: np.append(0, np.cumsum(sizes))
+        prefixes = _list_column(_signed(tok[head_of]), starts(head_n))
+        bitmaps = _list_column(np.asarray(head["bits"])[take], starts(width))
+        plain = [doc, pa.array(sid), pa.array(n.astype(np.int32)), pa.array(live), pa.array(alone.astype(np.int32))]
         return pa.RecordBatch.from_arrays(
-            [doc, pa.array(sid), pa.array(n.astype(np.int32)), pa.array(live), pa.array(alone.astype(np.int32)), _list_column(_signed(tok[head_of]), np.append(0, np.cumsum(head_n))), _list_column(_signed(tok), at), _list_column(np.asarray(head["bits"])[take], np.append(0, np.cumsum(width))), *[pa.array(mins[:, r]) for r in range(ROUNDS)]],
+            [*plain, prefixes, _list_column(_signed(tok), at), bitmaps, *[pa.array(mins[:, r]) for r in range(ROUNDS)]],
             ["doc_id", "sid", "n", "live", "alone", "prefix", "toks", "bits", *[f"mh{r}" for r in range(ROUNDS)]],
         )
 
@@ -318,7 +324,8 @@ def _assemble(percent: int):
                 if is_head[r]:
                     head = {c: batch.column(c)[r].values for c in ("doc", "sid", "n", "bits", "mins", "hot")}
                 else:
-                    answers.append((batch.column("toks")[r].as_py(), batch.column("idx")[r].as_py(), *[np.asarray(batch.column(c)[r].values, dtype=np.int64) for c in ("hot", "hotn")]))
+                    packed = [batch.column(c)[r].as_py() for c in ("toks", "idx")]
+                    answers.append((*packed, *[np.asarray(batch.column(c)[r].values, dtype=np.int64) for c in ("hot", "hotn")]))
         if head is not None:
             yield documents(head, answers)
 
@@ -376,7 +383,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(part.num_rows), size)
             rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.asarray(part.column(3))[row]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([toks.values.slice(offs[0], len(row)), part.column(2).take(take), pa.array(rank.astype(np.int32)), part.column(1).take(take), part.column(0).take(take), part.column(5).take(take)], ["tok", "n", "i", "star", "sid", "bits"])
+            sid, star, n, bits = (part.column(c).take(take) for c in (0, 1, 2, 5))
+            tok = toks.values.slice(offs[0], len(row))
+            yield pa.RecordBatch.from_arrays([tok, n, pa.array(rank.astype(np.int32)), star, sid, bits], ["tok", "n", "i", "star", "sid", "bits"])
 
 
 class _Lists:
@@ -396,6 +405,10 @@ class _Lists:
         na, nb = self.n[a], self.n[b]
         return (_need(nb, self.percent) <= na) & (np.minimum(na - self.i[a], nb - self.i[b]) >= _overlap(na, nb, self.percent))
 
+    def folded(self, e: np.ndarray, words: int, to: int) -> np.ndarray:
+        """The bitmaps of entries that have `words` words each, folded to `to` words."""
+        return np.bitwise_xor.reduce(self.words[self.at[e][:, None] + np.arange(words)].reshape(len(e), words // to, to), axis=1)
+
     def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of entries of different stars whose bitmaps allow a link, and the least distance that they show."""
         ok = (self.star[a] != self.star[b]) & ((self.side[a] != self.side[b]) | (self.side[a] < 0))
@@ -407,8 +420,7 @@ class _Lists:
             w, of = min(wa, wb), np.flatnonzero(shapes == shape)
             for x in range(0, len(of), 1 + (1 << 20) // w):
                 some = of[x : x + 1 + (1 << 20) // w]
-                left, right = (np.bitwise_xor.reduce(self.words[self.at[e][:, None] + np.arange(we)].reshape(len(e), we // w, w), axis=1) for e, we in ((a[some], wa), (b[some], wb)))
-                differ[some] = np.bitwise_count(left ^ right).sum(1)
+                differ[some] = np.bitwise_count(self.folded(a[some], wa, w) ^ self.folded(b[some], wb, w)).sum(1)
         na, nb = self.n[a], self.n[b]
         most = np.minimum((na + nb - differ) // 2, na)
         ok = most >= _overlap(na, nb, self.percent)
@@ -504,13 +516,16 @@ def _pairs(percent: int, forest: bool):
 
 def _candidates(sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of sets (sid, star, n, alone, prefix, bits) of different stars that may link."""
-    shared = cut(sets.select("star", F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min("star").alias("low"), F.max("star").alias("high")).where("low < high").select("tok", F.ceil(F.col("m") * 2 / LIST).cast("int").alias("parts")))
+    stars = [F.count(F.lit(1)).alias("m"), F.min("star").alias("low"), F.max("star").alias("high")]
+    lists = sets.select("star", F.explode("prefix").alias("tok")).groupBy("tok").agg(*stars).where("low < high")
+    shared = cut(lists.select("tok", F.ceil(F.col("m") * 2 / LIST).cast("int").alias("parts")))
     entries = sets.select("sid", "star", "n", "alone", "prefix", "bits").mapInArrow(_spread, "tok long, n int, i int, star long, sid long, bits array<long>").join(shared, "tok")
     mine = F.when(F.col("parts") > 2, F.pmod(F.xxhash64("sid"), "parts")).otherwise(0).cast("int")
     entries = entries.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("parts") > 2, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))))
     cell = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine"))
-    dealt = entries.select("tok", cell.alias("cell"), "n", "i", "star", "sid", side.alias("side"), "bits").repartition("tok", "cell").sortWithinPartitions("tok", "cell", "n", "i", "sid")
+    dealt = entries.select("tok", cell.alias("cell"), "n", "i", "star", "sid", side.alias("side"), "bits")
+    dealt = dealt.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "n", "i", "sid")
     return cut(dealt.mapInArrow(_pairs(percent, forest), "a long, b long").distinct())
 
 
@@ -568,7 +583,8 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
         keys = (sets if r == 0 else sets.join(members.select("sid"), "sid", "left_anti")).select("sid", F.col(f"mh{r}").alias("key"))
         many = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))  # so that a hot key's join can be split
         groups = cut(keys.join(many, "key").select("sid", "key", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP)).cast("int").alias("salt")))
-        grouped = groups.join(sets.select("sid", "n", "toks"), "sid").select("key", "salt", "n", "sid", "toks").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n"), "sid")
+        grouped = groups.join(sets.select("sid", "n", "toks"), "sid").select("key", "salt", "n", "sid", "toks")
+        grouped = grouped.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n"), "sid")
         joined = cut(grouped.mapInArrow(_stars(percent), "sid long, lead long, more array<long>, less array<long>"))
         star = cut(star.join(joined.select(F.col("sid").alias("star"), "lead"), "star", "left").select("sid", F.coalesce("lead", "star").alias("star")))
         members = joined if members is None else members.unionByName(joined)

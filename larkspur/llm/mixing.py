@@ -51,7 +51,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     every = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
     before = every.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    taken = F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0))
+    weighed = F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = (F.lit(share) * F.sum("source_size").over(whole) - taken) / (F.sum("weight").over(whole) - weighed)
     cut_off = ranked.withColumn("level", level).withColumn("over", F.lit(cap) * F.col("source_size") <= F.col("level") * F.col("weight"))
     open_level = F.first(F.when(~F.col("over"), F.col("level")), ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     target = F.when(F.col("over") | open_level.isNull(), F.lit(cap) * F.col("source_size")).otherwise(open_level * F.col("weight"))
@@ -148,7 +150,8 @@ def _settle(kinds: DataFrame, cap: float, seed: int, by: list[str]) -> DataFrame
     open_ = kinds.join(off, F.col("source").eqNullSafe(F.col("__s"))).where(can & (F.col("size") > 0) & (F.col("size") <= F.abs("off")))
     unit = F.struct(hashed.alias("h"), *by)
     some = open_.groupBy("source", "off", F.floor(F.log2("size")).alias("class"), F.pmod(hashed, F.lit(FLIPS)).alias("of")).agg(F.min(unit).alias("x"))
-    asked = some.groupBy("source", "off").agg(F.sort_array(F.collect_list(F.struct("x.size", "x.h", *[F.col(f"x.{c}").alias(f"__{i}") for i, c in enumerate(by)])), asc=False).alias("xs"))  # FLIPS * 64 a source at most
+    named = F.struct("x.size", "x.h", *[F.col(f"x.{c}").alias(f"__{i}") for i, c in enumerate(by)])
+    asked = some.groupBy("source", "off").agg(F.sort_array(F.collect_list(named), asc=False).alias("xs"))  # FLIPS * 64 a source at most
 
     def step(s: Column, x: Column) -> Column:
         fits = x["size"] <= s["left"]
