@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Nodes that a task holds at once.
+STRETCH = 1 << 20
 #: Seconds between two collections of garbage, and when the last one was.
 EVERY_S = 2.0
 _collected = [0.0]
@@ -59,15 +63,41 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as edges to the least node of what they connect within a stretch of a partition, of at most STRETCH nodes."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def flush() -> pa.RecordBatch:
+        pairs = [(x, t) for x in list(root) if (t := top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            root[max(a, b)] = min(a, b)
+            if len(root) >= STRETCH:
+                yield flush()
+                root.clear()
+    yield flush()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of an undirected graph given by its edges.
+    """Connected components of an undirected graph of long integers, given by its edges.
 
-    Returns (node, root) for every node that an edge between two different nodes touches. Each
-    round hooks every node to its least neighbour, jumps pointers until every tree is flat, and
-    contracts the trees; at least half of the nodes go in each round. Only joins and combined
-    minima are used, so a hub with millions of edges is never gathered in one place.
+    Returns (node, root) for every node that an edge between two different nodes touches. First
+    every partition flattens what it holds. Then each round hooks every node to its least
+    neighbour, jumps pointers until every tree is flat, and contracts the trees; at least half of
+    the nodes go in each round. Only joins and combined minima are used, so a hub with millions
+    of edges is never gathered in one place.
     """
-    live = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    live = cut(pairs.mapInArrow(_flat, "u long, v long").distinct())
     found = None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))

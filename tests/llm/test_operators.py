@@ -65,6 +65,25 @@ def test_jaccard_components(docs, k, percent):
     assert sorted(kept) == sorted({find(d) for d in sets})
 
 
+@pytest.mark.parametrize("stretch", [3, 1 << 20])
+def test_components_of_a_random_graph(spark, monkeypatch, stretch):
+    monkeypatch.setattr(state, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(140)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[max(find(u), find(v))] = min(find(u), find(v))
+    got = state.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "a", "b")
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    assert {r.node: r.root for r in got.collect()} == {x: find(x) for x in linked}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in state.components(edges, "a", "b").collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
