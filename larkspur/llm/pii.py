@@ -5,18 +5,19 @@ HMAC-SHA256 from a secret key, the entity's type and its canonical value (case,
 titles aside), so every mention of one entity in any document gets the same surrogate, in the
 mention's own format: digits for digits, letters for letters of the same case and script,
 separators kept. A number is a card if it begins as issuers' numbers do and passes the Luhn test;
-its surrogate keeps the first two digits and passes it too. Telephone numbers keep the country code; e-mail domains are replaced as wholes under reserved names; addresses stay
-addresses. Names after a title are replaced word by word, so that "Mr John Smith" and "Mr Smith"
-keep what they share: the last word is a family name, those before it are given names of the
-title's gender, all in the word's own script (Latin, Cyrillic or Greek) and case.
+its surrogate keeps the first two digits and passes it too. Telephone numbers keep the country
+code; e-mail domains are replaced as wholes under reserved names; addresses stay addresses. Names
+after a title are replaced word by word, so that "Mr John Smith" and "Mr Smith" keep what they
+share: the last word is a family name, those before it are given names of the title's gender,
+all in the word's own script (Latin, Cyrillic or Greek) and case.
 
 Collision checks keep distinct entities distinct: all distinct entities of the input are held
 against each other's surrogates and against each other's values, and those that clash draw anew
-until none does. With each new draw, names, the local parts of addresses, secrets and (from
-the fourth on) telephone numbers get longer by one syllable, letter or digit of the key's stream, so
-that no number of distinct entities exhausts them; IP addresses, cards and social security numbers keep
-their length, and have millions of values. Entities are few beside the texts, and are combined before
-they are shuffled.
+until none does. With each new draw, names, the local parts of addresses, secrets and (from the
+fourth on) telephone numbers get longer by one syllable, letter or digit of the key's stream, so
+that no number of distinct entities exhausts them; IP addresses, cards and social security
+numbers keep their length, and have millions of values. Entities are few beside the texts, and
+are combined before they are shuffled.
 Only entities that had to draw anew travel back to documents; mostly there are none, and then the
 texts are rewritten in one pass without any shuffle. Up to SMALL of them are broadcast, more are
 joined.
