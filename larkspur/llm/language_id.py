@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import blocks
+from .state import aside
 
 PIECE = 256
 
@@ -228,8 +229,9 @@ def predictor(spark, model: Model | None) -> Callable[[Column], Column]:
 def identify(docs: DataFrame, labelled: DataFrame, **bounds) -> DataFrame:
     """`docs` with `lang_pred` and `score`, learned from `labelled` (doc_id, text, lang)."""
     of = predictor(docs.sparkSession, train(labelled, **bounds))
-    docs = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score", "__p")])
-    return docs.withColumn("__p", of(F.col("text"))).select(*docs.columns, F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("score"))
+    docs, back = aside(docs.drop("lang_pred", "score"))
+    out = docs.withColumn("__p", of(F.col("text")))
+    return back(out.select(*docs.columns, F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("score")))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

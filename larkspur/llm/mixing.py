@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import word_count
-from .state import cut
+from .state import aside, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPS = 1e-9
@@ -196,13 +196,15 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
 
     Rows equal in doc_id, source and text are joined as one with their copies added up.
     """
+    docs, back = aside(docs)
     marked = docs.withColumn("__mark", F.xxhash64("doc_id", "source", "text"))
     taken = cut(mix_kinds(marked, keep=("__mark",), **how).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), F.col("total").alias("__n"), F.col("rows").alias("__rows")))
     if not taken.where("__rows > 1").isEmpty():
         marked = marked.dropDuplicates(["doc_id", "__mark"])
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))
     both = marked.join(taken.where("__n > 0"), same)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    copies = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return back(copies.select(*[docs[c] for c in docs.columns]))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import secrets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .state import cut
+from .state import aside, cut
 
 #: The setting that holds the secret key; where it is unset, a query draws one for its run.
 KEY_SETTING = "spark.larkspur.pii.key"
@@ -264,6 +264,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with its text rewritten under the secret `key`, and `n_entities`."""
     if not key:
         raise ValueError("surrogates need a secret key")
+    docs, back = aside(docs)
     columns = [c for c in docs.columns if c != "n_entities"]
     again = redraws(docs.select("text"), key)
     body = docs.select(*columns, _mentions(F.col("text")).alias("__e"))
@@ -289,7 +290,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     body = body.withColumn("__s", F.transform("__e", of))
     text = F.when(F.size("__e") > 0, F.array_join(filled, "")).otherwise(F.col("text"))
     n = F.coalesce(F.size(F.filter("__e", lambda e: kind_of(e) != "none")), F.lit(0)).cast("long").alias("n_entities")
-    return body.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n)
+    return back(body.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

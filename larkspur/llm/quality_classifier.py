@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SPACE, blocks, flat, grams, mix, words
-from .state import cut
+from .state import aside, cut
 
 HASHED, SOURCES, LANGS = 256, 64, 16
 TEXT_WIDTH, META_WIDTH = HASHED + 8, SOURCES + LANGS + 5
@@ -230,9 +230,9 @@ def classify(docs: DataFrame, model: CoTrained) -> DataFrame:
         got = shared.value.score(text_features(text), meta_features(text, source, lang))
         return pa.StructArray.from_arrays([pa.array(x) for x in got], ["p_text", "p_meta", "score"])
 
-    docs = docs.drop(*[c for c in docs.columns if c in ("p_text", "p_meta", "score", "__s")])
+    docs, back = aside(docs.drop("p_text", "p_meta", "score"))
     out = docs.withColumn("__s", of(F.coalesce("text", F.lit("")), F.col("source").cast("string"), F.col("lang").cast("string")))
-    return out.select(*docs.columns, "__s.p_text", "__s.p_meta", "__s.score")
+    return back(out.select(*docs.columns, "__s.p_text", "__s.p_meta", "__s.score"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

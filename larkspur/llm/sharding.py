@@ -30,7 +30,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .state import cut, shared_folder
+from .state import aside, cut, shared_folder
 
 N_SLOTS = 8192
 OVERHEAD = 16
@@ -175,10 +175,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
     size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + OVERHEAD).cast("long")
     crc = F.crc32(raw)
     vslot = slot_of(F.col("doc_id"), n_slots, F.concat_ws(":", crc.cast("string"), size.cast("string")))
+    docs, back = aside(docs)
     rows = docs.drop(*MADE).withColumns({"size": size, "text_crc32": crc, "vslot": vslot})
     sizes = cut(slot_sizes(rows, n_slots))
     slots = current_map(sizes, n_shards, path or f"{shared_folder(docs.sparkSession)}/shard-map-{uuid.uuid4().hex}")
-    return assign(rows, slots, sizes, ["doc_id", "size", "text_crc32"])
+    return back(assign(rows, slots, sizes, ["doc_id", "size", "text_crc32"]))
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

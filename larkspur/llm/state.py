@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,13 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with columns renamed whose names begin as those that operators use inside, and what names them back."""
+    names = {c: f"column {i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+    back = {new: c for c, new in names.items()}
+    return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed(back)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there: lost executors lose nothing.
 

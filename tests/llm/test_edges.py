@@ -10,7 +10,7 @@ from larkspur.llm import chat_format, decontamination, jaccard_join, language_id
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators make themselves, or might use inside.
-CLASH = ["keep", "kept", "kept_text", "n_lines", "n_words", "size", "shard", "slot", "leaks", "score", "lang_pred", "n_entities", "copies", "target", "component_id", "__keep", "failure_bits", "p_text", "rows", "total", "n"]
+CLASH = ["keep", "kept", "kept_text", "n_lines", "n_words", "size", "shard", "slot", "leaks", "score", "lang_pred", "n_entities", "copies", "target", "component_id", "__keep", "failure_bits", "p_text", "rows", "total", "n", "__e", "__m", "__k", "__s", "__p", "__mark", "__id", "__n", "__base", "__rank", "__part", "__words"]
 LONG = "lorem ipsum dolor sit amet consectetur " * 12000
 
 
