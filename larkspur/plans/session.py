@@ -56,6 +56,7 @@ class Session:
         self.levels: list[tuple[str, str]] = []
         self.hidden: set[str] = set()
         self.let: dict[str, Rel] = {}
+        self.notes: list[str] = []  # what the last checked asserts gave cause to say
         self.space = ""
         self.seq = 0
 
@@ -470,7 +471,7 @@ class Session:
         a = s.args
         if s.kind == "commit":
             self.graph = self.graph.commit(self.ctx.catalog)
-            return [self.graph.branches["main"], *getattr(self, "notes", [])]
+            return [self.graph.branches["main"], *self.notes]
         if s.kind == "rollback":
             self.stage(catalog=self.graph.commits[self.graph.branches["main"]].catalog)
             return "rolled back"
