@@ -161,7 +161,10 @@ text("reverse_guard", "customer >< events | NoEvents as e { c_custkey, e.event_i
     "WHERE c_mktsegment = 'BUILDING') b ON o.o_custkey = b.c_custkey"
 )
 def fallback_chain(ctx):
-    return run(Rel("orders").join(*_fallback(), "Missing", alias="who").project("o_orderkey", (Path(("who", "c_name")), "name"), (Path(("who", "tag")), "variant")), _tables(ctx))
+    return run(
+        Rel("orders").join(*_fallback(), "Missing", alias="who").project("o_orderkey", (Path(("who", "c_name")), "name"), (Path(("who", "tag")), "variant")),
+        _tables(ctx),
+    )
 
 
 @code(
@@ -191,7 +194,11 @@ def _tables(ctx):
 
 @code("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def presence_semi(ctx):
-    return ctx.frame("customer").join(run("orders where o_totalprice > 300000", ctx), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+    return ctx.frame("customer").join(
+        run("orders where o_totalprice > 300000", ctx),
+        F.col("o_custkey") == F.col("c_custkey"),
+        "left_semi",
+    ).select("c_custkey", "c_name")
 
 
 @code("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -242,7 +249,10 @@ text("order_by_unprojected", "customer { c_name } order by c_acctbal desc, c_cus
 )
 def group_sum(ctx):
     joined = run("orders >< customer where o_totalprice > 100000 { c_mktsegment, o_totalprice }", ctx)
-    return joined.groupBy("c_mktsegment").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(38,2)")).cast("double"), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return joined.groupBy("c_mktsegment").agg(
+        F.round(F.sum(F.col("o_totalprice").cast("decimal(38,2)")).cast("double"), 2).alias("revenue"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 @code("SELECT p_brand, round(avg(p_size), 6) AS mean, round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY p_brand")
@@ -269,7 +279,11 @@ def union_discriminator(ctx):
 
 
 # --- rollups and retention
-_EVENTS = rollup.Template(("event_type",), (rollup.Measure("requests", "count"), rollup.Measure("volume", "sum", "v"), rollup.Measure("least", "min", "v"), rollup.Measure("most", "max", "v")), "ts")
+_EVENTS = rollup.Template(
+    ("event_type",),
+    (rollup.Measure("requests", "count"), rollup.Measure("volume", "sum", "v"), rollup.Measure("least", "min", "v"), rollup.Measure("most", "max", "v")),
+    "ts",
+)
 _MEAN = rollup.Template(("event_type",), (rollup.Measure("mean", "avg", "v"),), "ts")
 _STEPS = [rollup.Step(None, "3 days"), rollup.Step("hour", "7 days"), rollup.Step("day", None)]
 _MOMENT = "2024-01-30 12:00:00"
@@ -384,7 +398,15 @@ _LOG_SQL = """log AS (
 def _log(ctx):
     o = ctx.frame("orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_orderstatus").alias("s"))
     steps = [("I", 0, F.col("s"), 1), ("U", 10, F.lit("X"), 3), ("D", 20, F.lit(None).cast("string"), 5), ("U", 30, F.lit("R"), 10)]
-    each = F.array(*[F.when(F.col("id") % m == 0, F.struct(F.lit(i + 1).cast("long").alias("tx_seq"), F.lit(op).alias("op"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(d))).alias("valid_from"), v.alias("status"))) for i, (op, d, v, m) in enumerate(steps)])
+    each = F.array(*[F.when(
+        F.col("id") % m == 0,
+        F.struct(
+            F.lit(i + 1).cast("long").alias("tx_seq"),
+            F.lit(op).alias("op"),
+            (F.col("o_orderdate") + F.make_dt_interval(F.lit(d))).alias("valid_from"),
+            v.alias("status"),
+        ),
+    ) for i, (op, d, v, m) in enumerate(steps)])
     return o.select("id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("v")).select("id", "v.*")
 
 
@@ -410,7 +432,10 @@ def tombstone_revive(ctx):
     log = _log(ctx)
     alive = versions.current(log).select("id", F.lit(1).alias("alive"))
     seen = log.groupBy("id").agg(F.max((F.col("op") == "D").cast("int")).alias("d")).join(alive, "id", "left")
-    return seen.agg(F.count_if((F.col("d") == 1) & F.col("alive").isNull()).alias("deleted"), F.count_if((F.col("d") == 1) & F.col("alive").isNotNull()).alias("revived"))
+    return seen.agg(
+        F.count_if((F.col("d") == 1) & F.col("alive").isNull()).alias("deleted"),
+        F.count_if((F.col("d") == 1) & F.col("alive").isNotNull()).alias("revived"),
+    )
 
 
 @code(
@@ -546,7 +571,11 @@ def bypass_access(ctx):
     "WHEN json_extract(props, '$.nothing') IS NULL THEN 'NotFound' ELSE 'Value' END AS missing FROM events"
 )
 def doc_path(ctx):
-    return ctx.frame("events").select("event_id", documents.value_at(F.col("props"), "k", "string").alias("k"), documents.tag_at(F.col("props"), "nothing").alias("missing"))
+    return ctx.frame("events").select(
+        "event_id",
+        documents.value_at(F.col("props"), "k", "string").alias("k"),
+        documents.tag_at(F.col("props"), "nothing").alias("missing"),
+    )
 
 
 @code(
@@ -588,7 +617,12 @@ def state_verification_diff(ctx):
     "ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
 )
 def conflict_lww(ctx):
-    return connectors.last_writer(ctx.frame("events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+    return connectors.last_writer(
+        ctx.frame("events").select("user_id", "event_id", "event_type", "ts"),
+        "user_id",
+        "ts",
+        "event_id",
+    ).select("user_id", "event_id", "event_type")
 
 
 @code("SELECT c_custkey, c_name, c_acctbal FROM customer")

@@ -40,13 +40,32 @@ _VERSIONED = (
 
 
 def _order_log(ctx: Context) -> DataFrame:
-    o = ctx.frame("orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit("I").alias("op"), F.lit(1).cast("long").alias("tx_seq"), F.col("o_orderdate").alias("valid_from"))
-    again = o.where("o_orderkey % 3 = 0").withColumns({"o_totalprice": F.col("o_totalprice") * 2, "op": F.when(F.col("o_orderkey") % 2 == 0, "D").otherwise("U"), "tx_seq": F.lit(2).cast("long"), "valid_from": F.col("valid_from") + F.expr("interval 365 days")})
+    o = ctx.frame("orders").select(
+        "o_orderkey",
+        "o_custkey",
+        "o_totalprice",
+        F.lit("I").alias("op"),
+        F.lit(1).cast("long").alias("tx_seq"),
+        F.col("o_orderdate").alias("valid_from"),
+    )
+    again = o.where("o_orderkey % 3 = 0").withColumns({
+        "o_totalprice": F.col("o_totalprice") * 2,
+        "op": F.when(F.col("o_orderkey") % 2 == 0, "D").otherwise("U"),
+        "tx_seq": F.lit(2).cast("long"),
+        "valid_from": F.col("valid_from") + F.expr("interval 365 days"),
+    })
     return o.unionByName(again)
 
 
 def _versioned(ctx: Context) -> Context:
-    t = TableDef("Placed", ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderkey",), (Edge("o_custkey", "customer", "c_custkey"),), order=("-o_totalprice",), versioned=True)
+    t = TableDef(
+        "Placed",
+        ("o_orderkey", "o_custkey", "o_totalprice"),
+        ("o_orderkey",),
+        (Edge("o_custkey", "customer", "c_custkey"),),
+        order=("-o_totalprice",),
+        versioned=True,
+    )
     return replace(ctx, catalog=CATALOG.with_table(t), frames={"Placed": _order_log(ctx)})
 
 
@@ -124,7 +143,14 @@ text("union_text",
 )
 def user_functions(ctx):
     """Global functions and a global query, as text; coercions are such functions."""
-    s = _session(ctx, "toSize x = if x > 100000 then \"large\" else \"small\"", "normalize x = upper (trim x)", "applyTax rate x = x * (1 + rate)", "premium = orders where o_totalprice > 1000", 'done self = self where o_orderstatus == "F"')
+    s = _session(
+        ctx,
+        "toSize x = if x > 100000 then \"large\" else \"small\"",
+        "normalize x = upper (trim x)",
+        "applyTax rate x = x * (1 + rate)",
+        "premium = orders where o_totalprice > 1000",
+        'done self = self where o_orderstatus == "F"',
+    )
     return s.execute("done premium { o_orderkey, toSize o_totalprice as size, normalize o_orderpriority as priority, applyTax 0.2 o_totalprice as gross }")
 
 
@@ -166,7 +192,10 @@ def behavior_text(ctx):
 )
 def sum_values(ctx):
     col = lambda p: F.col(p.name)
-    made = ctx.frame("part").select("p_partkey", F.struct(F.when(F.col("p_size") < 10, "small").otherwise("large").alias("tag"), F.col("p_size").cast("double").alias("payload")).alias("s"))
+    made = ctx.frame("part").select(
+        "p_partkey",
+        F.struct(F.when(F.col("p_size") < 10, "small").otherwise("large").alias("tag"), F.col("p_size").cast("double").alias("payload")).alias("s"),
+    )
     arms = (("small", Path(("x",))), ("large", Bin("-", Lit(0.0), Lit(1.0))))
     return made.select("p_partkey", F.col("s.tag").alias("part"), lower(Match(Path(("s",)), arms, ("small", "large")), col, None).alias("v"))
 
@@ -178,7 +207,16 @@ def sum_values(ctx):
 )
 def insert_update_delete(ctx):
     t = replace(CATALOG.tables["customer"], columns=("c_custkey", "c_acctbal"), edges=())
-    slim = replace(ctx, catalog=CATALOG.with_table(t), frames={"customer": ctx.frame("customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 5 == 0).alias("a"), (F.col("c_custkey") % 7 == 0).alias("b"))})
+    slim = replace(
+        ctx,
+        catalog=CATALOG.with_table(t),
+        frames={"customer": ctx.frame("customer").select(
+            "c_custkey",
+            "c_acctbal",
+            (F.col("c_custkey") % 5 == 0).alias("a"),
+            (F.col("c_custkey") % 7 == 0).alias("b"),
+        )},
+    )
     slim = replace(slim, catalog=slim.catalog.with_table(replace(t, columns=("c_custkey", "c_acctbal", "a", "b"))))
     s = _session(slim, "customer where a == True { c_acctbal = c_acctbal + 100 }", "delete customer where b == True",
         "customer { c_custkey = 900001, c_acctbal = 5.5, a = False, b = False }"
@@ -228,7 +266,15 @@ def field_write_steps(ctx):
     rows = ctx.frame("customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_name")
     before = ctx.frame("customer").where("c_custkey % 2 = 0").select("c_custkey", "c_acctbal")
     rules = [writes.FieldRule("customer.c_acctbal / >= 0", "c_acctbal", F.col("c_acctbal") >= 0, "enforce forward")]
-    out = writes.write(rows, "customer", "c_custkey", rules, kinds={"c_custkey": "long", "c_acctbal": "double"}, transforms={"c_name": writes.salted_digest(F.col("c_name"), F.col("c_custkey").cast("string"))}, before=before)
+    out = writes.write(
+        rows,
+        "customer",
+        "c_custkey",
+        rules,
+        kinds={"c_custkey": "long", "c_acctbal": "double"},
+        transforms={"c_name": writes.salted_digest(F.col("c_name"), F.col("c_custkey").cast("string"))},
+        before=before,
+    )
     part = lambda df, how: df.select("c_custkey", F.lit(how).alias("outcome"), F.col("c_name").alias("stored"))
     return part(out.accepted, "accepted").unionByName(part(out.refused, "refused"))
 
@@ -239,7 +285,10 @@ def field_write_steps(ctx):
     "'Redacted' FROM customer WHERE length(c_name) > 18"
 )
 def violations_at_node(ctx):
-    rules = [writes.FieldRule("customer.c_acctbal / >= 0", "c_acctbal", F.col("c_acctbal") >= 0, "monitor"), writes.FieldRule("customer.c_name / short", "c_name", F.length("c_name") <= 18, "monitor", secret=True)]
+    rules = [
+        writes.FieldRule("customer.c_acctbal / >= 0", "c_acctbal", F.col("c_acctbal") >= 0, "monitor"),
+        writes.FieldRule("customer.c_name / short", "c_name", F.length("c_name") <= 18, "monitor", secret=True),
+    ]
     return writes.write(ctx.frame("customer"), "customer", "c_custkey", rules, node="n1").violations.select("subject", "functor", "schema_node", "observed")
 
 
@@ -263,7 +312,12 @@ def virtual_columns(ctx):
     e = ctx.frame("events")
     rid = data_id(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") % 7, F.col("event_id"))
     made = virtual(F.col("rid"))
-    return e.select("event_id", rid.alias("rid")).select("event_id", made["created_at"].alias("created"), made["origin_server"].alias("server"), made["id"].alias("id"))
+    return e.select("event_id", rid.alias("rid")).select(
+        "event_id",
+        made["created_at"].alias("created"),
+        made["origin_server"].alias("server"),
+        made["id"].alias("id"),
+    )
 
 
 @code(
@@ -282,7 +336,12 @@ def origin_server_join(ctx):
     nodes = ctx.spark.range(5).select(F.col("id").cast("int").alias("node_id"), F.concat(F.lit("node"), F.col("id")).alias("host"))
     rid = data_id(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") % 7, F.col("event_id"))
     made = ctx.frame("events").select("event_id", virtual(rid)["origin_server"].alias("origin_server"))
-    catalog = CATALOG.with_table(TableDef("Node", ("node_id", "host"), ("node_id",))).with_table(TableDef("Made", ("event_id", "origin_server"), ("event_id",), (Edge("origin_server", "Node", "node_id"),)))
+    catalog = CATALOG.with_table(TableDef("Node", ("node_id", "host"), ("node_id",))).with_table(TableDef(
+        "Made",
+        ("event_id", "origin_server"),
+        ("event_id",),
+        (Edge("origin_server", "Node", "node_id"),),
+    ))
     return run("Made >< Node { event_id, host }", replace(ctx, catalog=catalog, frames={"Made": made, "Node": nodes}))
 
 
@@ -406,7 +465,13 @@ def schema_rank(ctx):
 )
 def grants_reach(ctx):
     g = access.Grants().grant("ann", "app.pm").grant("adm", "app", True)
-    rows = [(r, t, g.can_read(r, t), g.bypasses(r, t)) for r, t in (("ann", "app.pm.Doc"), ("ann", "app.hr.Pay"), ("ann", "app"), ("adm", "app.pm.Doc"), ("adm", "sys.Log"))]
+    rows = [(r, t, g.can_read(r, t), g.bypasses(r, t)) for r, t in (
+        ("ann", "app.pm.Doc"),
+        ("ann", "app.hr.Pay"),
+        ("ann", "app"),
+        ("adm", "app.pm.Doc"),
+        ("adm", "sys.Log"),
+    )]
     return ctx.spark.createDataFrame(rows, "role string, target string, readable boolean, bypass boolean")
 
 
@@ -424,7 +489,19 @@ def doc_key_census(ctx):
 
 
 # --- rollups
-_TEMPLATE = rollup.Template(("event_type",), (rollup.Measure("n", "count"), rollup.Measure("users", "distinct", "user_id"), rollup.Measure("spread", rollup.MergeableAgg(lambda c: F.struct(F.max(c).alias("a"), F.min(c).alias("b")), lambda c: F.struct(F.max(c["a"]).alias("a"), F.min(c["b"]).alias("b")), lambda c: c["a"] - c["b"]), "value")), "ts")
+_TEMPLATE = rollup.Template(
+    ("event_type",),
+    (
+        rollup.Measure("n", "count"),
+        rollup.Measure("users", "distinct", "user_id"),
+        rollup.Measure(
+            "spread",
+            rollup.MergeableAgg(lambda c: F.struct(F.max(c).alias("a"), F.min(c).alias("b")), lambda c: F.struct(F.max(c["a"]).alias("a"), F.min(c["b"]).alias("b")), lambda c: c["a"] - c["b"]),
+            "value",
+        ),
+    ),
+    "ts",
+)
 
 
 @code("SELECT date_trunc('month', ts) AS bucket_start, event_type, count(*) AS n, max(value) - min(value) AS spread, true AS near FROM events GROUP BY 1, 2")
@@ -434,7 +511,13 @@ def sketch_chain(ctx):
     level = _TEMPLATE.level(raw, "hour")
     month = _TEMPLATE.read(_TEMPLATE.coarser(_TEMPLATE.coarser(level, "day"), "month"))
     exact = raw.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
-    return month.join(exact, "event_type").select("bucket_start", "event_type", "n", "spread", (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+    return month.join(exact, "event_type").select(
+        "bucket_start",
+        "event_type",
+        "n",
+        "spread",
+        (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"),
+    )
 
 
 _PLAIN = rollup.Template(("event_type",), (rollup.Measure("n", "count"), rollup.Measure("total", "sum", "value")), "ts")
@@ -455,7 +538,12 @@ def rollup_two_appends(ctx):
     left = rollup.pruned(raw, record, "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     out = level.select(F.lit("level").alias("part"), F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "event_type", "n")
     out = out.unionByName(left.select(F.lit("raw").alias("part"), F.lit(None).cast("string").alias("bucket"), "event_type", "n"))
-    said = record.select(F.lit("record").alias("part"), F.concat_ws("-", "first_seq", "last_seq").alias("bucket"), F.lit(None).cast("string").alias("event_type"), F.col("n_rows").alias("n"))
+    said = record.select(
+        F.lit("record").alias("part"),
+        F.concat_ws("-", "first_seq", "last_seq").alias("bucket"),
+        F.lit(None).cast("string").alias("event_type"),
+        F.col("n_rows").alias("n"),
+    )
     return out.unionByName(said)
 
 
@@ -516,7 +604,10 @@ def webhook_rows(ctx):
 
 @code("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"at.region\":' || n_regionkey || ',\"at.name\":\"' || n_name || '\"}' AS line FROM nation")
 def format_json_flat(ctx):
-    return connectors.rendered(ctx.frame("nation").select("n_nationkey", F.struct(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name")).alias("at")), "json-flat")
+    return connectors.rendered(
+        ctx.frame("nation").select("n_nationkey", F.struct(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name")).alias("at")),
+        "json-flat",
+    )
 
 
 @code(
@@ -537,7 +628,12 @@ def format_rows(ctx):
 def conflict_cascade(ctx):
     c = ctx.frame("customer")
     ours = c.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, "1.2.3").otherwise("1.2").alias("seq"), F.lit(10).alias("at"))
-    theirs = c.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("!"))).alias("c_name"), F.when(F.col("c_custkey") % 3 == 0, "1.2").otherwise("1.5").alias("seq"), F.when(F.col("c_custkey") % 3 == 1, 20).otherwise(10).alias("at"))
+    theirs = c.select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("!"))).alias("c_name"),
+        F.when(F.col("c_custkey") % 3 == 0, "1.2").otherwise("1.5").alias("seq"),
+        F.when(F.col("c_custkey") % 3 == 1, 20).otherwise(10).alias("at"),
+    )
     return connectors.resolve(ours, theirs, "c_custkey", ["c_name"], "seq", "at")
 
 
@@ -563,7 +659,11 @@ def auto_extension(ctx):
     "ELSE 0 END AS wait_ms FROM w"
 )
 def failure_backoff(ctx):
-    attempts = ctx.frame("events").select(F.col("event_type").alias("destination"), F.col("ts").alias("attempted_at"), F.when(F.col("value") > 50, "failed").alias("error"))
+    attempts = ctx.frame("events").select(
+        F.col("event_type").alias("destination"),
+        F.col("ts").alias("attempted_at"),
+        F.when(F.col("value") > 50, "failed").alias("error"),
+    )
     rates = events.failure_rates(attempts, "2024-01-20 00:00:00", "10 days")
     return events.volume_backoff(rates, 0.1, 1000, 60000).select("destination", "attempts", "failures", F.col("wait_ms").cast("decimal(18,3)").alias("wait_ms"))
 
@@ -749,7 +849,10 @@ def verify_outside_latency(ctx):
 @code("SELECT c_custkey, c_custkey % 2 = 0 AS ok FROM customer WHERE c_custkey <= 6")
 def secret_verify(ctx):
     """A digest is compared for one resolved row at a time."""
-    users = ctx.frame("customer").select("c_custkey", writes.salted_digest(F.when(F.col("c_custkey") % 2 == 0, "right").otherwise("other"), F.col("c_custkey").cast("string"), 2).alias("secret"))
+    users = ctx.frame("customer").select(
+        "c_custkey",
+        writes.salted_digest(F.when(F.col("c_custkey") % 2 == 0, "right").otherwise("other"), F.col("c_custkey").cast("string"), 2).alias("secret"),
+    )
     rows = [(k, writes.matches(users.where(F.col("c_custkey") == k), "secret", "right", 2)) for k in range(7)]
     return ctx.spark.createDataFrame(rows, "c_custkey long, ok boolean")
 
@@ -763,7 +866,14 @@ _QUEUE = (
 
 def _queue(ctx: Context) -> DataFrame:
     o = ctx.frame("orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("destination"), F.col("o_orderdate").alias("scheduled_at"), F.when(F.col("o_orderkey") % 10 == 0, "InFlight").otherwise("Pending").alias("status"), (F.col("o_orderkey") % 4).alias("attempt_count"), F.lit(None).cast("string").alias("last_error"))
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("destination"),
+        F.col("o_orderdate").alias("scheduled_at"),
+        F.when(F.col("o_orderkey") % 10 == 0, "InFlight").otherwise("Pending").alias("status"),
+        (F.col("o_orderkey") % 4).alias("attempt_count"),
+        F.lit(None).cast("string").alias("last_error"),
+    )
 
 
 @code(

@@ -94,7 +94,15 @@ class Registry:
                 out = f.run(column)
             else:
                 nxt = f.run(out["value"])
-                out = F.when(out["ok"], nxt).otherwise(F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("value"), out["error"].alias("error"))) if f.target in ("Text", "a") else F.struct((out["ok"] & nxt["ok"]).alias("ok"), F.when(out["ok"], nxt["value"]).alias("value"), F.coalesce(out["error"], nxt["error"]).alias("error"))
+                out = F.when(out["ok"], nxt).otherwise(F.struct(
+                    F.lit(False).alias("ok"),
+                    F.lit(None).cast("string").alias("value"),
+                    out["error"].alias("error"),
+                )) if f.target in ("Text", "a") else F.struct(
+                    (out["ok"] & nxt["ok"]).alias("ok"),
+                    F.when(out["ok"], nxt["value"]).alias("value"),
+                    F.coalesce(out["error"], nxt["error"]).alias("error"),
+                )
             kind = kind if f.target == "a" else f.target
         return out
 

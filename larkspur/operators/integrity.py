@@ -23,14 +23,34 @@ class Rule:
 
 
 def _row(table: str, key: str, functor: str, observed: Column, origin: str = "Observed") -> list[Column]:
-    return [F.lit(table).alias("subject_table"), F.col(key).cast("string").alias("subject"), F.lit(functor).alias("functor"), F.lit(origin).alias("origin"), observed.cast("string").alias("observed"), F.lit("Open").alias("state")]
+    return [
+        F.lit(table).alias("subject_table"),
+        F.col(key).cast("string").alias("subject"),
+        F.lit(functor).alias("functor"),
+        F.lit(origin).alias("origin"),
+        observed.cast("string").alias("observed"),
+        F.lit("Open").alias("state"),
+    ]
 
 
 def violations(df: DataFrame, table: str, key: str, rules: list[Rule]) -> DataFrame:
     """One row for each row and rule that fails; all rules in one pass over the table."""
-    hits = F.array(*[F.when(~F.coalesce(r.holds, F.lit(False)), F.struct(F.lit(r.name).alias("functor"), (F.lit("Redacted") if r.secret else F.col(r.observed).cast("string") if r.observed else F.lit(None).cast("string")).alias("observed"))) for r in rules])
+    hits = F.array(*[F.when(
+        ~F.coalesce(r.holds, F.lit(False)),
+        F.struct(
+            F.lit(r.name).alias("functor"),
+            (F.lit("Redacted") if r.secret else F.col(r.observed).cast("string") if r.observed else F.lit(None).cast("string")).alias("observed"),
+        ),
+    ) for r in rules])
     each = df.select(F.col(key).cast("string").alias("subject"), F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
-    return each.select(F.lit(table).alias("subject_table"), "subject", F.col("h.functor").alias("functor"), F.lit("Observed").alias("origin"), F.col("h.observed").alias("observed"), F.lit("Open").alias("state"))
+    return each.select(
+        F.lit(table).alias("subject_table"),
+        "subject",
+        F.col("h.functor").alias("functor"),
+        F.lit("Observed").alias("origin"),
+        F.col("h.observed").alias("observed"),
+        F.lit("Open").alias("state"),
+    )
 
 
 def orphans(df: DataFrame, table: str, key: str, field: str, target: DataFrame, target_key: str) -> DataFrame:

@@ -197,7 +197,13 @@ def roll_over(raw: DataFrame, level: DataFrame, template: Template, grain: str,
     """
     old = raw.where(F.col(template.time) < F.lit(before).cast("timestamp_ntz"))
     rows = template.level(old, grain)
-    record = old.agg(F.lit(grain).alias("grain"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count(F.lit(1)).alias("n_rows"), F.lit(before).cast("timestamp_ntz").alias("pruned_before"))
+    record = old.agg(
+        F.lit(grain).alias("grain"),
+        F.min(seq).alias("first_seq"),
+        F.max(seq).alias("last_seq"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(before).cast("timestamp_ntz").alias("pruned_before"),
+    )
     return catch_up(level, rows, template), record
 
 

@@ -77,4 +77,10 @@ def tree_path(*places, width: int = 8):
 def prune_record(log: DataFrame, table: str, before: str, moment: str) -> DataFrame:
     """What a chain's prune node says: the table, the stretch of transactions and the number of rows that it drops."""
     gone = log.where(F.col("valid_from") < F.lit(before).cast("timestamp_ntz"))
-    return gone.agg(F.lit(table).alias("pruned_table"), F.min("tx_seq").alias("first_seq"), F.max("tx_seq").alias("last_seq"), F.count(F.lit(1)).alias("n_rows"), F.lit(moment).cast("timestamp_ntz").alias("pruned_at"))
+    return gone.agg(
+        F.lit(table).alias("pruned_table"),
+        F.min("tx_seq").alias("first_seq"),
+        F.max("tx_seq").alias("last_seq"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(moment).cast("timestamp_ntz").alias("pruned_at"),
+    )

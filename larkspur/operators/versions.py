@@ -32,7 +32,10 @@ def field_times(log: DataFrame, field: str, key: str = "id", absent: Column | No
     changed = (F.row_number().over(over) == 1) | ~F.col(field).eqNullSafe(before)
     present = ~absent if absent is not None else F.col(field).isNotNull()
     marked = log.where("op <> 'D'").select(key, "valid_from", changed.alias("changed"), present.alias("present"))
-    return marked.groupBy(key).agg(F.min(F.when(F.col("present"), F.col("valid_from"))).alias("created_at"), F.max(F.when(F.col("changed"), F.col("valid_from"))).alias("updated_at"))
+    return marked.groupBy(key).agg(
+        F.min(F.when(F.col("present"), F.col("valid_from"))).alias("created_at"),
+        F.max(F.when(F.col("changed"), F.col("valid_from"))).alias("updated_at"),
+    )
 
 
 def append(log: DataFrame, rows: DataFrame, op: str, tx_seq: int, valid_from: str) -> DataFrame:

@@ -58,7 +58,17 @@ def binding(rule: FieldRule, unchanged: Column | None) -> Column:
     return F.lit(False)
 
 
-def write(rows: DataFrame, table: str, key: str, rules: list[FieldRule], *, kinds: dict[str, str] | None = None, transforms: dict[str, Column] | None = None, before: DataFrame | None = None, node: str = "0") -> Written:
+def write(
+    rows: DataFrame,
+    table: str,
+    key: str,
+    rules: list[FieldRule],
+    *,
+    kinds: dict[str, str] | None = None,
+    transforms: dict[str, Column] | None = None,
+    before: DataFrame | None = None,
+    node: str = "0",
+) -> Written:
     """Steps 1 to 5 for `rows`; `before` has the stored rows, against which `enforce forward` tells changed values."""
     kinds, transforms = kinds or {}, transforms or {}
     typed = rows.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()})  # coerce
@@ -68,12 +78,29 @@ def write(rows: DataFrame, table: str, key: str, rules: list[FieldRule], *, kind
         old = before.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__was_{c}") for c in fields])
         typed = typed.join(old, F.col(key) == F.col("__key"), "left")
         unchanged = {c: F.col("__key").isNotNull() & F.col(c).eqNullSafe(F.col(f"__was_{c}")) for c in fields}
-    faults = [F.when(_fails(r), F.struct(F.lit(r.address).alias("functor"), F.lit(r.mode).alias("mode"), F.lit(r.queue).alias("queue"), (F.lit("Redacted") if r.secret else F.col(r.field).cast("string")).alias("observed"), binding(r, unchanged.get(r.field)).alias("refuses"))) for r in rules]
+    faults = [F.when(
+        _fails(r),
+        F.struct(
+            F.lit(r.address).alias("functor"),
+            F.lit(r.mode).alias("mode"),
+            F.lit(r.queue).alias("queue"),
+            (F.lit("Redacted") if r.secret else F.col(r.field).cast("string")).alias("observed"),
+            binding(r, unchanged.get(r.field)).alias("refuses"),
+        ),
+    ) for r in rules]
     kind = "array<struct<functor:string,mode:string,queue:string,observed:string,refuses:boolean>>"
     found = F.filter(F.array(*faults), lambda x: x.isNotNull()) if faults else F.expr(f"cast(array() as {kind})")
     judged = typed.withColumn("__faults", found)
     refuses = F.exists("__faults", lambda x: x["refuses"])
-    violations = judged.select(F.col(key).cast("string").alias("subject"), F.explode("__faults").alias("f")).select(F.lit(table).alias("subject_table"), "subject", "f.functor", F.lit(node).alias("schema_node"), F.lit("Derived").alias("origin"), "f.observed", F.lit("Open").alias("state"))
+    violations = judged.select(F.col(key).cast("string").alias("subject"), F.explode("__faults").alias("f")).select(
+        F.lit(table).alias("subject_table"),
+        "subject",
+        "f.functor",
+        F.lit(node).alias("schema_node"),
+        F.lit("Derived").alias("origin"),
+        "f.observed",
+        F.lit("Open").alias("state"),
+    )
     stored = [transforms.get(c, F.col(c)).alias(c) for c in rows.columns]  # transform, and what is encoded
     queues = {r.queue for r in rules if r.mode == "repair into"}
     asks = lambda q: F.exists("__faults", lambda x: x["queue"] == q)

@@ -89,7 +89,15 @@ class Catalog:
 
 
 def _t(name: str, columns: str, key: str | None, edges: tuple = (), trait: str = "UserData", order: str = "", docs: str = "") -> TableDef:
-    return TableDef(name, tuple(columns.split()), tuple(key.split()) if key else None, tuple(Edge(*e) for e in edges), trait, tuple(order.split()), docs=frozenset(docs.split()))
+    return TableDef(
+        name,
+        tuple(columns.split()),
+        tuple(key.split()) if key else None,
+        tuple(Edge(*e) for e in edges),
+        trait,
+        tuple(order.split()),
+        docs=frozenset(docs.split()),
+    )
 
 
 TESTDATA = Catalog(
@@ -101,7 +109,13 @@ TESTDATA = Catalog(
             _t("customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "c_custkey", (("c_nationkey", "nation", "n_nationkey"),)),
             _t("supplier", "s_suppkey s_name s_nationkey s_acctbal", "s_suppkey", (("s_nationkey", "nation", "n_nationkey"),)),
             _t("part", "p_partkey p_name p_brand p_type p_size p_retailprice", "p_partkey"),
-            _t("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "o_orderkey", (("o_custkey", "customer", "c_custkey"),), order="o_orderdate"),
+            _t(
+                "orders",
+                "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+                "o_orderkey",
+                (("o_custkey", "customer", "c_custkey"),),
+                order="o_orderdate",
+            ),
             _t(
                 "lineitem",
                 "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",

@@ -275,7 +275,23 @@ class _Parser:
         word = self.toks[self.i][1]
         if self.by_line and self.toks[self.i][2] != self.toks[self.i - 1][2]:
             return False
-        return word not in (_CLAUSES | set(AGGREGATES) | {"as", "is", "then", "else", "via", "by", "asc", "desc", "not", "in", "let", "if", "emit", "unique", "indexed"})
+        return word not in (_CLAUSES | set(AGGREGATES) | {
+            "as",
+            "is",
+            "then",
+            "else",
+            "via",
+            "by",
+            "asc",
+            "desc",
+            "not",
+            "in",
+            "let",
+            "if",
+            "emit",
+            "unique",
+            "indexed",
+        })
 
     def atom(self):
         k, v, _ = self.toks[self.i]

@@ -22,7 +22,18 @@ from .model import CheckError, Context, Edge, TableDef
 from .rel import Rel, Term
 
 #: Kinds of the language and their Spark types (fixed values).
-KINDS = {"Text": "string", "Int": "long", "Decimal": "double", "Bool": "boolean", "Timestamp": "timestamp_ntz", "Moment": "timestamp_ntz", "Date": "date", "Duration": "long", "Doc": "string", "DataId": "string"}
+KINDS = {
+    "Text": "string",
+    "Int": "long",
+    "Decimal": "double",
+    "Bool": "boolean",
+    "Timestamp": "timestamp_ntz",
+    "Moment": "timestamp_ntz",
+    "Date": "date",
+    "Duration": "long",
+    "Doc": "string",
+    "DataId": "string",
+}
 _KEYLESS = ("LogData", "Keyless", "Component", "Reference")
 
 
@@ -72,7 +83,20 @@ class Session:
     def one(self, s):
         if isinstance(s, Rel):
             return self.query(s)
-        handler = {S.TypeDecl: self.declare_type, S.TraitDecl: self.declare_trait, S.TableDecl: self.declare, S.ViewDecl: self.view, S.Binding: self.bind, S.AggregateDecl: self.aggregate, S.RetainDecl: self.retain, S.Mode: self.mode, S.Constraint: self.constraint, S.Mutation: self.mutate, S.Evolution: self.evolve, S.Command: self.command}
+        handler = {
+            S.TypeDecl: self.declare_type,
+            S.TraitDecl: self.declare_trait,
+            S.TableDecl: self.declare,
+            S.ViewDecl: self.view,
+            S.Binding: self.bind,
+            S.AggregateDecl: self.aggregate,
+            S.RetainDecl: self.retain,
+            S.Mode: self.mode,
+            S.Constraint: self.constraint,
+            S.Mutation: self.mutate,
+            S.Evolution: self.evolve,
+            S.Command: self.command,
+        }
         return handler[type(s)](s)
 
     def context(self) -> Context:
@@ -169,14 +193,30 @@ class Session:
                 kind = self.declared[target.name].kinds.get(target.key[0], "string") if target.name in self.declared else "long"
             kinds[f.name] = kind
             own = [(f"{s.name}.{f.name} / {S.predicate_name(p)}", p) for p in f.predicates]
-            rules += [self.rule(f.name, address if address.startswith(s.name) else f"{s.name}.{f.name} / {address.split(' / ')[1]}", p) for address, p in inherited + own]
+            rules += [self.rule(
+                f.name,
+                address if address.startswith(s.name) else f"{s.name}.{f.name} / {address.split(' / ')[1]}",
+                p,
+            ) for address, p in inherited + own]
         uniques = dict(s.uniques) | {f.name: (f.name,) for f in stored if f.unique}
         key = next(iter(uniques.values()), None)
         trait = next((t for t in s.traits if t in _KEYLESS), "UserData")
         columns = tuple(f.name for f in stored)
         renamed = tuple((f.name, f.renamed) for f in stored if f.renamed)
         docs = {f.name: f.indexed for f in stored if f.kinds[0] == "Doc"}
-        made = TableDef(s.name, columns, key, tuple(edges), trait if key is None else "UserData", s.order, docs=frozenset(c for c, i in docs.items() if i), opaque=frozenset(c for c, i in docs.items() if not i), versioned=key is not None, behaviors=behaviors, renamed=renamed)
+        made = TableDef(
+            s.name,
+            columns,
+            key,
+            tuple(edges),
+            trait if key is None else "UserData",
+            s.order,
+            docs=frozenset(c for c, i in docs.items() if i),
+            opaque=frozenset(c for c, i in docs.items() if not i),
+            versioned=key is not None,
+            behaviors=behaviors,
+            renamed=renamed,
+        )
         old = tables.get(s.name)
         absences = {v for f in stored for v in f.kinds[1:] if v not in tables and v not in self.types}
         catalog = self.ctx.catalog.with_table(made).with_absence(*absences)
@@ -419,7 +459,11 @@ class Session:
             table, _, field = name.rpartition(".")
             if table in catalog.tables:  # one field
                 t = catalog.tables[table]
-                self.stage(catalog=catalog.with_table(replace(t, columns=tuple(c for c in t.columns if c != field), edges=tuple(e for e in t.edges if e.field != field))))
+                self.stage(catalog=catalog.with_table(replace(
+                    t,
+                    columns=tuple(c for c in t.columns if c != field),
+                    edges=tuple(e for e in t.edges if e.field != field),
+                )))
                 return f"{name} is hidden"
             for view, rel in catalog.views.items():
                 key = keys.derive(rel, catalog)
@@ -436,7 +480,10 @@ class Session:
             users = [v for v, rel in catalog.views.items() if name in _sources(rel)] + [x.name for x in catalog.tables.values() if any(e.to == name for e in x.edges)]
             if users:
                 raise CheckError(f"{name} is in use by {', '.join(users)}")
-            self.stage(catalog=replace(catalog, tables={k: v for k, v in catalog.tables.items() if k != name}), frames={k: v for k, v in self.ctx.frames.items() if k != name})
+            self.stage(
+                catalog=replace(catalog, tables={k: v for k, v in catalog.tables.items() if k != name}),
+                frames={k: v for k, v in self.ctx.frames.items() if k != name},
+            )
             return f"{name} is gone"
         if s.kind == "split":
             t, rows = catalog.tables[name], run(Rel(name), self.context())

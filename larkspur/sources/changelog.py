@@ -29,7 +29,13 @@ def to_log(rows: DataFrame, table: str, fields: str) -> DataFrame:
     op = F.coalesce(*[F.when(F.col("operation") == k, F.lit(v)) for k, v in OPS.items()])
     payload = F.from_json("external_payload", fields)
     out = rows.where((F.col("external_table") == table) & op.isNotNull())
-    out = out.select(F.col("external_key").alias("id"), F.col("external_seq").alias("tx_seq"), op.alias("op"), F.col("external_timestamp").cast("timestamp_ntz").alias("valid_from"), payload.alias("__p"))
+    out = out.select(
+        F.col("external_key").alias("id"),
+        F.col("external_seq").alias("tx_seq"),
+        op.alias("op"),
+        F.col("external_timestamp").cast("timestamp_ntz").alias("valid_from"),
+        payload.alias("__p"),
+    )
     return out.select("id", "tx_seq", "op", "valid_from", "__p.*")
 
 

@@ -28,7 +28,16 @@ def last_writer(versions: DataFrame, key: str, time: str, tie: str) -> DataFrame
     return best.select(key, "v.*")
 
 
-def resolve(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str], seq: str, time: str, semantic: dict[str, Column] | None = None, authority: str | None = None) -> DataFrame:
+def resolve(
+    ours: DataFrame,
+    theirs: DataFrame,
+    key: str,
+    fields: list[str],
+    seq: str,
+    time: str,
+    semantic: dict[str, Column] | None = None,
+    authority: str | None = None,
+) -> DataFrame:
     """(key, fields..., resolution) of rows that both sides have changed, by the first rule that decides.
 
     Equal rows need none; `semantic` merges single fields (columns over o_<field> and t_<field>);
