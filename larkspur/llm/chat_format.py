@@ -36,12 +36,22 @@ class Template:
     """What is written around turns, what is learned, and which role may follow which state."""
 
     begin: str = "<s>"
-    roles: dict[str, tuple[str, str]] = field(default_factory=lambda: {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("[RESP]", "</s>")})
+    roles: dict[str, tuple[str, str]] = field(default_factory=lambda: {
+        "system": ("[SYS]", "[/SYS]"),
+        "user": ("[INST]", "[/INST]"),
+        "assistant": ("[RESP]", "</s>"),
+    })
     other: tuple[str, str, str] = ("[ROLE]", "[/ROLE]", "[/TURN]")
     loss: tuple[str, ...] = ("assistant",)
     start: str = "start"
     moves: dict[tuple[str, str], str] = field(
-        default_factory=lambda: {("start", "system"): "told", ("start", "user"): "asked", ("told", "user"): "asked", ("asked", "assistant"): "answered", ("answered", "user"): "asked"}
+        default_factory=lambda: {
+            ("start", "system"): "told",
+            ("start", "user"): "asked",
+            ("told", "user"): "asked",
+            ("asked", "assistant"): "answered",
+            ("answered", "user"): "asked",
+        }
     )
     accept: tuple[str, ...] = ("answered",)
 
@@ -81,7 +91,12 @@ def segments(turns: DataFrame, template: Template | None = None) -> DataFrame:
     closing = _lookup(role, {k: b for k, (_, b) in t.roles.items()}, F.lit(t.other[2]))
     part = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
     loss = role.isin(*t.loss)
-    rows = turns.select("conv_id", F.struct("turn", "role", "text").alias("at"), role.alias("role"), F.array(part(opening, F.lit(False)), part(_escape(text, t), loss), part(closing, F.lit(False))).alias("parts"))
+    rows = turns.select(
+        "conv_id",
+        F.struct("turn", "role", "text").alias("at"),
+        role.alias("role"),
+        F.array(part(opening, F.lit(False)), part(_escape(text, t), loss), part(closing, F.lit(False))).alias("parts"),
+    )
     conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "parts"))).alias("ts"))
     moves = F.create_map(*[F.lit(x) for (s, r), to in t.moves.items() for x in (f"{s}\n{r}", to)])
 
@@ -93,7 +108,13 @@ def segments(turns: DataFrame, template: Template | None = None) -> DataFrame:
     walked = F.aggregate("ts", F.struct(F.lit(t.start).alias("state"), F.lit(-1).alias("bad"), F.lit(0).alias("n")), step)
     first = F.array(part(F.lit(t.begin), F.lit(False)))
     out = conv.select("conv_id", F.size("ts").cast("long").alias("n_turns"), F.concat(first, F.flatten(F.col("ts.parts"))).alias("segments"), walked.alias("w"))
-    return out.select("conv_id", "n_turns", "segments", ((F.col("w.bad") < 0) & F.col("w.state").isin(*t.accept)).alias("valid"), F.when(F.col("w.bad") >= 0, F.col("w.bad")).alias("first_bad_turn"))
+    return out.select(
+        "conv_id",
+        "n_turns",
+        "segments",
+        ((F.col("w.bad") < 0) & F.col("w.state").isin(*t.accept)).alias("valid"),
+        F.when(F.col("w.bad") >= 0, F.col("w.bad")).alias("first_bad_turn"),
+    )
 
 
 def formatted(segs: Column) -> Column:
@@ -116,7 +137,11 @@ def parse(text: Column, template: Template | None = None) -> Column:
 
     def turn(p: Column) -> Column:
         name = F.substring_index(F.substring(p, len(t.other[0]) + 1, 2**31 - 1), t.other[1], 1)
-        body = F.substring(p, len(t.other[0]) + F.length(name) + len(t.other[1]) + 1, F.length(p) - len(t.other[0]) - F.length(name) - len(t.other[1]) - len(t.other[2]))
+        body = F.substring(
+            p,
+            len(t.other[0]) + F.length(name) + len(t.other[1]) + 1,
+            F.length(p) - len(t.other[0]) - F.length(name) - len(t.other[1]) - len(t.other[2]),
+        )
         out = F.struct(_unescape(name).alias("role"), _unescape(body).alias("text"))
         for role, (a, b) in t.roles.items():
             own = F.struct(F.lit(role).alias("role"), _unescape(F.substring(p, F.lit(len(a) + 1), F.length(p) - len(a) - len(b))).alias("text"))

@@ -148,7 +148,17 @@ def _runs(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
 
 
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_BODY = [("toks", pa.binary()), ("idx", pa.binary()), ("hot", _LONGS), ("hotn", _LONGS), ("doc", _LONGS), ("sid", _LONGS), ("n", _INTS), ("bits", _LONGS), ("mins", _LONGS)]
+_BODY = [
+    ("toks", pa.binary()),
+    ("idx", pa.binary()),
+    ("hot", _LONGS),
+    ("hotn", _LONGS),
+    ("doc", _LONGS),
+    ("sid", _LONGS),
+    ("n", _INTS),
+    ("bits", _LONGS),
+    ("mins", _LONGS),
+]
 _BODY_SQL = "toks binary, idx binary, hot array<long>, hotn array<long>, doc array<long>, sid array<long>, n array<int>, bits array<long>, mins array<long>"
 #: What chunks deal out, and what they get back, for Spark and for Arrow.
 DEALT, DEALT_ARROW = f"part int, chunk long, {_BODY_SQL}", pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *_BODY])
@@ -236,7 +246,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_head = batch.column("n").is_valid()
         heads = batch.filter(is_head)
         if heads.num_rows:
-            yield pa.RecordBatch.from_arrays([heads.column("chunk"), pa.array([True] * heads.num_rows), *[heads.column(c) for c in DEALT_ARROW.names[2:]]], schema=ANSWERED_ARROW)
+            yield pa.RecordBatch.from_arrays(
+                [heads.column("chunk"), pa.array([True] * heads.num_rows), *[heads.column(c) for c in DEALT_ARROW.names[2:]]],
+                schema=ANSWERED_ARROW,
+            )
         own = batch.filter(pc.invert(is_head))
         for r, part in enumerate(own.column("part").to_pylist()):
             ranges.setdefault(part, []).append((own, r))
@@ -259,7 +272,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = cls > 0
             if keep.any() or len(often):
                 idx = np.frombuffer(own.column("idx")[r].as_py(), np.uint16)
-                out.append((own.column("chunk")[r].as_py(), _pack(toks[keep]), idx[keep].tobytes() + cls[keep].tobytes(), _signed(often), of(often).astype(np.int64)))
+                out.append((
+                    own.column("chunk")[r].as_py(),
+                    _pack(toks[keep]),
+                    idx[keep].tobytes() + cls[keep].tobytes(),
+                    _signed(often),
+                    of(often).astype(np.int64),
+                ))
         if out:
             cols, none = list(zip(*out, strict=True)), [None] * len(out)
             answers = [pa.array(cols[i], ANSWERED_ARROW.field(i + 1).type) for i in range(1, 5)]
@@ -367,7 +386,10 @@ def _stars(percent: int):
                     leaders.append((n[r], sid[r], toks))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), *[pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]], ["sid", "lead", "more", "less"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0]), pa.array(cols[1]), *[pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]],
+                    ["sid", "lead", "more", "less"],
+                )
 
     return run
 
@@ -521,7 +543,10 @@ def _candidates(sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     shared = cut(lists.select("tok", F.ceil(F.col("m") * 2 / LIST).cast("int").alias("parts")))
     entries = sets.select("sid", "star", "n", "alone", "prefix", "bits").mapInArrow(_spread, "tok long, n int, i int, star long, sid long, bits array<long>").join(shared, "tok")
     mine = F.when(F.col("parts") > 2, F.pmod(F.xxhash64("sid"), "parts")).otherwise(0).cast("int")
-    entries = entries.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("parts") > 2, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))))
+    entries = entries.withColumn("mine", mine).withColumn(
+        "other",
+        F.explode(F.when(F.col("parts") > 2, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))),
+    )
     cell = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine"))
     dealt = entries.select("tok", cell.alias("cell"), "n", "i", "star", "sid", side.alias("side"), "bits")
@@ -558,7 +583,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int)
     """The pairs (a, b) that link, by the contents of `sets` and the differences of `members` to their leaders."""
     diff = members.select(F.col("sid").alias("b"), "lead", "more", "less")
     empty = F.array().cast("array<long>")
-    named = pairs.join(diff, "b", "left").select("a", "b", F.coalesce("lead", "b").alias("lead"), F.coalesce("more", empty).alias("more"), F.coalesce("less", empty).alias("less"))
+    named = pairs.join(diff, "b", "left").select(
+        "a",
+        "b",
+        F.coalesce("lead", "b").alias("lead"),
+        F.coalesce("more", empty).alias("more"),
+        F.coalesce("less", empty).alias("less"),
+    )
     body = lambda x, n, t: sets.select(F.col("sid").alias(x), F.col("n").alias(n), F.col("toks").alias(t))
     full = named.join(body("a", "na", "ta"), "a").join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b").join(body("lead", "nl", "tl"), "lead")
     full = full.select("a", "b", "na", "nb", "lead", "ta", "tl", "more", "less").sortWithinPartitions("a", "lead", "b")
@@ -572,7 +603,10 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     dealt = texts.mapInArrow(_deal(k, range_bits), DEALT).repartition("part")
     by_chunk = dealt.mapInArrow(_answer, ANSWERED).repartition("chunk").sortWithinPartitions("chunk", F.desc("head"))
     mins = ", ".join(f"mh{r} long" for r in range(ROUNDS))
-    every = cut(by_chunk.mapInArrow(_assemble(percent), f"doc_id long, sid long, n int, live boolean, alone int, prefix array<long>, toks array<long>, bits array<long>, {mins}"))
+    every = cut(by_chunk.mapInArrow(
+        _assemble(percent),
+        f"doc_id long, sid long, n int, live boolean, alone int, prefix array<long>, toks array<long>, bits array<long>, {mins}",
+    ))
     rows = every.select("doc_id", "sid", "n")
     sets = cut(every.where("live").drop("doc_id", "live").dropDuplicates(["sid"]))
 

@@ -51,7 +51,10 @@ def _stream(min_docs: int):
     def table(h1, h2, doc, place, kind, n) -> pa.RecordBatch:
         m = len(h1)
         full = lambda x, t: np.full(m, x, t) if np.isscalar(x) else np.asarray(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(full(x, t)) for x, t in ((h1, np.int64), (h2, np.int64), (doc, np.int64), (place, np.int32), (kind, np.int8), (n, np.int64))], ["h1", "h2", "doc_id", "place", "kind", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full(x, t)) for x, t in ((h1, np.int64), (h2, np.int64), (doc, np.int64), (place, np.int32), (kind, np.int8), (n, np.int64))],
+            ["h1", "h2", "doc_id", "place", "kind", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, first_run, docs, top, last = None, True, 0, 0, 0

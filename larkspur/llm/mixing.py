@@ -167,7 +167,16 @@ def _settle(kinds: DataFrame, cap: float, seed: int, by: list[str]) -> DataFrame
     return kinds.join(flips, same, "left").withColumn("total", F.col("total") + F.coalesce("by", F.lit(0))).select(*kinds.columns)
 
 
-def mix_kinds(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, block: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_kinds(
+    docs: DataFrame,
+    *,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 0,
+    block: int = 128,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """(doc_id, source, size, keep..., rows, source_size, target, total): equal rows, of which `total` copies are taken.
 
     Equal rows are one unit: of their joint copies the whole part is certain and one fraction is
@@ -198,7 +207,12 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """
     docs, back = aside(docs)
     marked = docs.withColumn("__mark", F.xxhash64("doc_id", "source", "text"))
-    taken = cut(mix_kinds(marked, keep=("__mark",), **how).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), F.col("total").alias("__n"), F.col("rows").alias("__rows")))
+    taken = cut(mix_kinds(marked, keep=("__mark",), **how).select(
+        F.col("doc_id").alias("__id"),
+        F.col("__mark").alias("__m"),
+        F.col("total").alias("__n"),
+        F.col("rows").alias("__rows"),
+    ))
     if not taken.where("__rows > 1").isEmpty():
         marked = marked.dropDuplicates(["doc_id", "__mark"])
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))

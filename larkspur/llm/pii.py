@@ -62,7 +62,11 @@ FAMILY = {
     "greek": "Αλεξίου Βασιλείου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Παύλου".split(),
 }
 # Syllables that lengthen family names by script, letters and digits that lengthen other values.
-SYLLABLES = {s: [a + b for a in onsets for b in vowels] for s, onsets, vowels in (("latin", "bdfgklmnprstvz", "aeiou"), ("cyrillic", "бвгдзклмнпрстф", "аеиоу"), ("greek", "βγδζκλμνπρστφχ", "αεηιο"))}
+SYLLABLES = {s: [a + b for a in onsets for b in vowels] for s, onsets, vowels in (
+    ("latin", "bdfgklmnprstvz", "aeiou"),
+    ("cyrillic", "бвгдзклмнпрстф", "аеиоу"),
+    ("greek", "βγδζκλμνπρστφχ", "αεηιο"),
+)}
 LETTERS, DIGITS = list("bcdfghjklmnpqrst"), list("0123456789")
 
 _TITLES = "|".join((*FEMALE, *MALE))
@@ -75,7 +79,10 @@ PATTERNS = [
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
     ("card", r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w|-\d)"),
     ("ssn", r"(?<!\w|\d-)\d{3}-\d{2}-\d{4}(?!\w|-\d)"),
-    ("phone", r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<!\w|\d-)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|-\d)"),
+    (
+        "phone",
+        r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<!\w|\d-)\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|-\d)",
+    ),
     ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,2}}"),
 ]
 #: No pattern matches right after an ASCII letter, nor begins with another character than these: most places are left at once.

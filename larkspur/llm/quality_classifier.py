@@ -64,7 +64,16 @@ def text_features(texts: pa.Array) -> np.ndarray:
 
         pairs, at = grams(h, first, 2)
         letters = _per_row(~SPACE[data], offs) / n
-        more = [distinct(h, first) / n, distinct(pairs, at) / n, letters / 10, _per_row(_SYMBOL[data], offs) / size, _per_row(_DIGIT[data], offs) / size, np.log1p(n) / 10, np.abs(letters - 5) / 5, (np.diff(first) < 10).astype(float)]
+        more = [
+            distinct(h, first) / n,
+            distinct(pairs, at) / n,
+            letters / 10,
+            _per_row(_SYMBOL[data], offs) / size,
+            _per_row(_DIGIT[data], offs) / size,
+            np.log1p(n) / 10,
+            np.abs(letters - 5) / 5,
+            (np.diff(first) < 10).astype(float),
+        ]
         out[a:b, HASHED:] = np.stack(more, 1)
     return out
 
@@ -82,7 +91,10 @@ def meta_features(texts: pa.Array, source: pa.Array, lang: pa.Array) -> np.ndarr
     for a, b, data, offs in blocks(texts):  # a running count over all bytes of a batch would be eight times its size
         size[a:b] = np.diff(offs)
         n_lines[a:b] += _per_row(data == 10, offs)
-    out[:, -5:] = np.stack([np.log1p(size) / 10, np.log1p(n_lines) / 5, np.log1p(size / n_lines) / 5, (size < 200).astype(float), (size / n_lines > 2000).astype(float)], 1)
+    out[:, -5:] = np.stack(
+        [np.log1p(size) / 10, np.log1p(n_lines) / 5, np.log1p(size / n_lines) / 5, (size < 200).astype(float), (size / n_lines > 2000).astype(float)],
+        1,
+    )
     return out
 
 
@@ -186,7 +198,10 @@ def _surest(model, known, most: tuple[int, int]):
                 order = order[np.sort(first)][: most[y]]
                 best[v, y] = rank[order], ids[order]
         for (v, y), (rank, ids) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([v] * len(ids), pa.int32()), pa.array([y] * len(ids), pa.int32()), pa.array(rank), pa.array(ids)], ["view", "y", "rank", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * len(ids), pa.int32()), pa.array([y] * len(ids), pa.int32()), pa.array(rank), pa.array(ids)],
+                ["view", "y", "rank", "doc_id"],
+            )
 
     return run
 

@@ -158,13 +158,32 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
     rows = masks.select("m", "n", F.explode(F.array(*rules)).alias("r"))
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     has = F.col("m").bitwiseAND(F.col("r.bit")) != 0
-    return rows.groupBy(F.col("r.rule").alias("rule")).agg(n(has).alias("n_failed"), n(F.col("m") == F.col("r.bit")).alias("n_only"), n((F.col("m") == 0) | (F.col("m") == F.col("r.bit"))).alias("n_kept_without"))
+    return rows.groupBy(F.col("r.rule").alias("rule")).agg(
+        n(has).alias("n_failed"),
+        n(F.col("m") == F.col("r.bit")).alias("n_only"),
+        n((F.col("m") == 0) | (F.col("m") == F.col("r.bit"))).alias("n_kept_without"),
+    )
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = apply_policy(ledger(docs), FULL)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rejected(BASE).alias("base_failed"), "kept", "failure_bits", "n_lines", "n_alpha_words", "text_chars", "dup_line_chars", "policy")
+    return out.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        rejected(BASE).alias("base_failed"),
+        "kept",
+        "failure_bits",
+        "n_lines",
+        "n_alpha_words",
+        "text_chars",
+        "dup_line_chars",
+        "policy",
+    )
 
 
 SQL = r"""

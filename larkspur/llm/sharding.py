@@ -154,7 +154,13 @@ def assign(records: DataFrame, slots: DataFrame, sizes: DataFrame, order: list[s
     """
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("rows").over(before("shard").orderBy("vslot")), F.lit(0))
-    small = sizes.join(slots, "vslot").select("vslot", "shard", F.col("version").alias("map_version"), offset.alias("__base"), F.ceil(F.col("rows") / PART).cast("int").alias("__parts"))
+    small = sizes.join(slots, "vslot").select(
+        "vslot",
+        "shard",
+        F.col("version").alias("map_version"),
+        offset.alias("__base"),
+        F.ceil(F.col("rows") / PART).cast("int").alias("__parts"),
+    )
     part = F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.greatest("__parts", F.lit(1))).cast("int")
     known = records.drop("map_version", "shard", "slot").join(F.broadcast(small), "vslot").withColumn("__part", part)  # n_slots rows, whatever the input
     large = small.agg(F.max("__parts")).first()[0] or 0
@@ -186,7 +192,17 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     """Law `bytes`: shards are near equal in bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = shard_documents(docs, 40)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "vslot",
+        "map_version",
+    )
 
 
 QUERIES = {"op8_sharding": op8_sharding}
