@@ -10,8 +10,8 @@ automata are dense transition tables, and many pieces of `PIECE` bytes walk a ta
 one very long text is as parallel as many short ones. Pieces are a matter of speed only: each is
 first parsed from its own first byte, then from the state in which the piece before it ends, up
 to the first phrase that begins at one place in both parses; from there on both are the same.
-Pieces that end in another state than before pass it on, until none does. So the phrases are
-those of one parse of the whole text.
+Pieces that end in another state than before pass it on, at last one by one in the order of the
+text. So the phrases are those of one parse of the whole text, in time linear in its length.
 
 Bound on what is learned and broadcast: at most `n_excerpts` excerpts of `excerpt` characters a
 language and `max_languages` languages; more languages raise an error. The excerpts come from
@@ -37,6 +37,7 @@ from .bytewords import blocks
 from .state import aside
 
 PIECE = 256
+ROUNDS = 2  # of passing on states between all pieces at once
 
 
 def _classes() -> np.ndarray:
@@ -118,10 +119,27 @@ class Automaton:
                 state[:m] = to
         return synced
 
-    def phrases(self, steps: np.ndarray, active: list[int], before: np.ndarray) -> np.ndarray:
+    def _step(self, symbols: list[int], state: int, begins: np.ndarray) -> int | None:
+        """As _walk with `until`, for one piece, symbol by symbol: the state at its end, or None if it was left."""
+        table, root, begin = memoryview(self.flat), memoryview(self.root), self.width
+        old, new = begins.tolist(), []
+        for t, s in enumerate(symbols):
+            to = table[state + s]
+            first = state == begin or to == 0
+            new.append(first)
+            if first and old[t]:
+                begins[: t + 1] = new
+                return None
+            state = to or root[s] or begin
+        begins[: len(new)] = new
+        return state
+
+    def phrases(self, steps: np.ndarray, active: list[int], before: np.ndarray, turn: np.ndarray) -> np.ndarray:
         """Phrases that begin in each piece; steps[t] has the pieces' t-th symbols, pieces sorted by length descending.
 
-        before[piece] is the piece that it follows in its text, or -1.
+        before[piece] is the piece that it follows in its text, or -1; turn has the pieces in the
+        order of the texts. What a few rounds over all pieces leave open, as in a text that
+        repeats itself, is parsed in that order, each piece once.
         """
         begins = np.zeros(steps.shape, bool)
         ends = np.full(steps.shape[1], self.width, np.int32)
@@ -130,7 +148,7 @@ class Automaton:
         for m in active:
             length[:m] += 1
         entered = np.full(steps.shape[1], self.width, np.int32)  # the state in which each piece was last parsed
-        while True:
+        for _ in range(ROUNDS):
             now = np.where(before >= 0, ends[before], self.width)
             todo = np.flatnonzero(now != entered)
             if not len(todo):
@@ -141,6 +159,12 @@ class Automaton:
             synced = self._walk(steps[:, todo], some, state, part, True)
             begins[:, todo] = part
             ends[todo[~synced]] = state[~synced]
+        for p in turn.tolist():
+            now = int(ends[before[p]]) if before[p] >= 0 else self.width
+            if now != entered[p]:
+                end = self._step(steps[: length[p], p].tolist(), now, begins[: length[p], p])
+                ends[p] = ends[p] if end is None else end
+        return begins.sum(0)
 
 
 class Model:
@@ -178,7 +202,7 @@ class Model:
             before = np.where(place[order] > 0, rank[np.maximum(order - 1, 0)], -1)
             bits = np.empty((len(self.langs), len(size)))
             for k, auto in enumerate(self.automata):
-                n = np.bincount(row, auto.phrases(steps, active, before), len(size))
+                n = np.bincount(row, auto.phrases(steps, active, before, rank), len(size))
                 bits[k] = n * auto.bits / np.maximum(size, 1)
             win = bits.argmin(0)
             best[a:b] = win

@@ -353,19 +353,20 @@ def brute_phrases(sample, text):
     return n
 
 
-@pytest.mark.parametrize("piece", [3, 256])
-def test_language_id_against_brute_force(monkeypatch, piece):
+@pytest.mark.parametrize("piece, rounds", [(3, 0), (3, 2), (256, 0), (256, 2), (7, 100)])
+def test_language_id_against_brute_force(monkeypatch, piece, rounds):
     import math
 
     import numpy as np
     import pyarrow as pa
 
     monkeypatch.setattr(language_id, "PIECE", piece)
+    monkeypatch.setattr(language_id, "ROUNDS", rounds)
     rng = random.Random(piece)
     say = {"xx": "ba bo bu be ab".split(), "yy": "ki ko ku ba".split(), "zz": "é ö bak".split()}
     speak = lambda lang, n: " ".join("".join(rng.choices(say[lang], k=rng.randrange(1, 6))) for _ in range(n))
     samples = {lang: speak(lang, 150).encode() for lang in say}
-    texts = [speak("xx", 900), speak("yy", 700) + speak("zz", 300), "q" * 700, "", "a", speak("zz", 1500), "bababa" * 400, "12" * 300 + "ki"]
+    texts = [(samples["xx"].decode()[:400] + " ") * 3, speak("xx", 900), speak("yy", 700) + speak("zz", 300), "q" * 700, "", "a", speak("zz", 1500), "bababa" * 400, "12" * 300 + "ki"]
     model = language_id.Model(samples)
     best, score = model.predict(pa.array(texts))
     clean = lambda x: re.sub(rb"[^a-z\x80-\xff]", b" ", x)
